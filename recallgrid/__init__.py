@@ -1 +1,8 @@
 """PySpark-native hybrid retrieval, ranking and relevance-learning engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
