@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recallgrid.llm.cooccurrence import pair_associations
 from recallgrid.llm.distinctive import most_distinctive, term_weights
 from recallgrid.llm.frequency import word_frequencies
+from recallgrid.llm.neighbours import nearest_neighbours
 from recallgrid.llm.similar_sets import expand_pairs, similar_sets
 from recallgrid.session import read_table
 
@@ -60,6 +61,16 @@ def p6_pairs(spark, sf_dir):
     return classes.unionByName(links)
 
 
+def p7_neighbours(spark, sf_dir):
+    out = nearest_neighbours(read_table(spark, sf_dir, "vectors"), "node_id", "vec", 64, min_similarity=0.88, k=5)
+    return out.select(F.col("id").alias("node_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "place")
+
+
+def p7_found(spark, sf_dir):
+    near = nearest_neighbours(read_table(spark, sf_dir, "vectors"), "node_id", "vec", 64, min_similarity=0.88, k=5)
+    return near.select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_weights": p1_weights,
@@ -69,6 +80,8 @@ QUERIES = {
     "p3_pairs": p3_pairs,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
 }
 
 _PAIRS = """
