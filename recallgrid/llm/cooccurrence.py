@@ -58,7 +58,7 @@ def pair_associations(
     if min_lift > 0:
         items = items.filter(F.col("n") * min_lift <= n)
     kept = hot_split_join(rows, items, "item")
-    pairs = _pairs_of_baskets(_bounded_baskets(kept, chunk_items))
+    pairs = _pairs_of_baskets(cut_lineage(_bounded_baskets(kept, chunk_items)))
     counted = (
         pairs.groupBy(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"))
         .agg(F.count(F.lit(1)).alias("n_ab"), F.first("a.n").alias("n_a"), F.first("b.n").alias("n_b"))

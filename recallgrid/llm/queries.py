@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from recallgrid.llm.cooccurrence import pair_associations
 from recallgrid.llm.distinctive import most_distinctive, term_weights
 from recallgrid.llm.frequency import word_frequencies
+from recallgrid.llm.mixing import mix_sources
 from recallgrid.llm.neighbours import nearest_neighbours
+from recallgrid.llm.packing import pack_texts, packing_report
 from recallgrid.llm.similar_sets import expand_pairs, similar_sets
 from recallgrid.session import read_table
 
@@ -71,6 +73,22 @@ def p7_found(spark, sf_dir):
     return near.select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
 
 
+def p8_containers(spark, sf_dir):
+    return pack_texts(read_table(spark, sf_dir, "documents"))
+
+
+def p8_report(spark, sf_dir):
+    return packing_report(p8_containers(spark, sf_dir))
+
+
+def p9_mixture(spark, sf_dir):
+    return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark, sf_dir):
+    return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "source_targets"))[1]
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_weights": p1_weights,
@@ -82,6 +100,10 @@ QUERIES = {
     "p6_pairs": p6_pairs,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
 }
 
 _PAIRS = """
