@@ -11,6 +11,7 @@ from recallgrid.llm.mixing import mix_sources
 from recallgrid.llm.neighbours import nearest_neighbours
 from recallgrid.llm.packing import pack_texts, packing_report
 from recallgrid.llm.similar_sets import expand_pairs, similar_sets
+from recallgrid.llm.spam import FEATURES, spam_scores
 from recallgrid.session import read_table
 
 
@@ -89,6 +90,15 @@ def p9_shares(spark, sf_dir):
     return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "source_targets"))[1]
 
 
+def p10_scores(spark, sf_dir):
+    out = spam_scores(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "group", *[F.round(f, 6).alias(f) for f in FEATURES], F.round("distance", 4).alias("distance"), "spam")
+
+
+def p10_found(spark, sf_dir):
+    return spam_scores(read_table(spark, sf_dir, "documents")).filter("spam").select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_weights": p1_weights,
@@ -104,6 +114,8 @@ QUERIES = {
     "p8_report": p8_report,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
 }
 
 _PAIRS = """
