@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,19 +17,34 @@ from recallgrid.session import cut_lineage, pieces
 MAX_CELLS = 16_384
 
 
+def _unit_rows(dim: int):
+    """Rows whose vector has ``dim`` finite values, not all zero, scaled to length 1."""
+
+    def run(batches):
+        for batch in batches:
+            vec = batch.column("vec")
+            long_enough = pc.equal(pc.list_value_length(vec), dim).fill_null(False)
+            batch = batch.filter(long_enough)
+            if not batch.num_rows:
+                continue
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = x[good] / np.abs(x[good]).max(axis=1, keepdims=True, initial=0)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            offsets = pa.array(np.arange(0, len(x) * dim + 1, dim, dtype=np.int32))
+            unit = pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(good)), unit], names=["id", "vec"])
+
+    return run
+
+
 def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """``id, vec``: unit vectors of the rows with ``dim`` finite values, not all zero; one row per id.
 
     Of an id's differing usable vectors the smallest (as an array) stands for it.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
-    rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.filter(F.exists("vec", lambda x: x != 0))
-    one = rows.groupBy("id").agg(F.min("vec").alias("vec"))
-    largest = F.array_max(F.transform("vec", F.abs))
-    scaled = one.select("id", F.transform("vec", lambda x: x / largest).alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    return scaled.select("id", F.transform("vec", lambda x: (x / norm).cast("float")).alias("vec"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter("id is not null and vec is not null")
+    return rows.mapInArrow(_unit_rows(dim), "id string, vec array<float>").groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def fit_pivots(sample: np.ndarray, cells: int, rounds: int = 3, seed: int = 7) -> np.ndarray:
@@ -176,7 +192,7 @@ def similar_vector_pairs(
     unit: DataFrame,
     min_similarity: float,
     k: int = 5,
-    rows_per_cell: int = 300,
+    rows_per_cell: int = 180,
     probes: int = 5,
     sample_rows: int = 40_000,
     max_cell_rows: int = 3_000,
@@ -230,8 +246,8 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vec_col: str, dim: int,
     best = Window.partitionBy("rep").orderBy(F.col("similarity").desc(), "other")
     links = both.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= k).drop("i")
     # Groups of equal vectors: all members, and the first few that can be anybody's neighbours.
-    groups = heads.filter("n > 1").select("vec", F.col("id").alias("rep"), "n")
-    members = hot_split_join(unit, groups, "vec").select("rep", "id", "n")
+    groups = heads.filter("n > 1").select(F.xxhash64("vec").alias("h"), F.col("vec").alias("same"), F.col("id").alias("rep"), "n")
+    members = cut_lineage(hot_split_join(unit.withColumn("h", F.xxhash64("vec")), groups, "h").filter("vec = same").select("rep", "id", "n"))
     in_group = Window.partitionBy("rep").orderBy("id")
     firsts = members.withColumn("i", F.row_number().over(in_group)).filter(F.col("i") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("firsts"))
     copies = hot_split_join(members.select("rep", "id"), firsts, "rep").select("id", F.explode("firsts").alias("neighbour"), F.lit(1.0).alias("similarity")).filter("id <> neighbour")
