@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from recallgrid.plans import quality
+from recallgrid.plans import corpus, quality
 
-MODULES = [quality]
+MODULES = [quality, corpus]
 
 
 def flagship(spark, sf_dir):
-    return quality.p5_results(spark, sf_dir)
+    return corpus.bm25_topk(spark, sf_dir)
