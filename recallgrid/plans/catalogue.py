@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallgrid.plans import corpus, quality
+from recallgrid.plans import corpus, quality, retrieval
 
-MODULES = [quality, corpus]
+MODULES = [quality, corpus, retrieval]
 
 
 def flagship(spark, sf_dir):

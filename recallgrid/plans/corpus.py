@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -269,13 +271,14 @@ _COUNTS = f"with {_TEXTS}, src as (select doc_id as id, text as body from docs),
 _LENS = "lens as (select id, count(*) as doc_len from toks group by id)"
 
 
+def _renamed(sql: str, prefix: str) -> str:
+    """Token CTEs under other names, for a second token stream in one statement."""
+    return re.sub(r"\b(split|placed|marked|runs|spans|stems|parts|flat|toks)\b", rf"{prefix}\1", sql)
+
+
 def _bm25_sql(queries: dict[str, str]) -> str:
     rows = ", ".join(f"({_quoted([k, v])})" for k, v in queries.items())
-    mine = tokens_sql("qsrc", 256)
-    for name in ("split", "placed", "marked", "runs", "spans", "stems", "parts", "flat", "toks"):
-        import re
-
-        mine = re.sub(rf"\b{name}\b", f"q{name}", mine)
+    mine = _renamed(tokens_sql("qsrc", 256), "q")
     return f"""{_COUNTS}, {_LENS}, qsrc(id, body) as (values {rows}), {mine},
 qt as (select id as qid, term, 1 + ln(count(*)::double) as weight from qtoks group by id, term),
 stat as (select greatest(1, (select count(*) from docs))::double as n, greatest(1.0::double, (select coalesce(sum(doc_len), 0) from lens)::double / greatest(1, (select count(*) from docs))) as mean),
@@ -331,6 +334,12 @@ ORACLES = {
     "ko_cross_space": f"{_COUNTS} select term, cast(sum(n) as bigint) as n_total, count(*) as n_docs from tc where starts_with(term, '{text.CROSS_MARK}') group by term",
     "doc_len": f"{_COUNTS}, {_LENS} select id as doc_id, cast(doc_len as int) as doc_len from lens",
     "tf_sublinear": f"{_COUNTS} select id as doc_id, term, round(1 + ln(n::double), 6) as tf from tc",
+    "title_boost_tf": rf"""with {_TEXTS}, fronts as (select *, {_FRONT_SQL} as front from docs),
+      titled as (select doc_id, text, regexp_replace(trim(regexp_extract(front, '(?m)^title:(.*)$', 1), ' '), '^"|"$', '', 'g') as title from fronts where regexp_matches(front, '(?m)^title:')),
+      src as (select doc_id as id, title || chr(10) || text as body from titled where title <> ''), tsrc as (select doc_id as id, title as body from titled where title <> ''),
+      {tokens_sql('src', 2048)}, {_renamed(tokens_sql('tsrc', 64), 't')},
+      tc as (select id, term, 1 + ln(count(*)::double) as tf from toks group by id, term union all select distinct id, term, 1.0::double from ttoks)
+      select id as doc_id, count(*) as n_terms, round(sum(tf), 5) as tf_sum from (select id, term, sum(tf) as tf from tc group by id, term) group by id""",
     "df_idf": f"{_COUNTS} select term, count(*) as df, round(ln(1 + ((select count(*) from docs)::double - count(*) + 0.5::double) / (count(*) + 0.5::double)), 6) as idf from tc group by term",
     "bm25_scores": _bm25_sql(QUERY_TEXTS) + " select qid, doc_id, round(score, 6) as score from scored",
     "bm25_topk": _bm25_sql(QUERY_TEXTS) + " select qid, doc_id, round(score, 6) as score, cast(i - 1 as int) as rank from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as i from scored) where i <= 24",
