@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallgrid.plans import corpus, quality, retrieval
+from recallgrid.plans import corpus, interactions, quality, retrieval
 
-MODULES = [quality, corpus, retrieval]
+MODULES = [quality, corpus, retrieval, interactions]
 
 
 def flagship(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.operators import dense, features, fusion, graph, lexical, metrics, ranker
 from recallgrid.operators.skew import hot_split_join
-from recallgrid.session import cut_lineage, read_table
+from recallgrid.session import cut_lineage, numbered, read_table
 
 NOW = 1_770_000_000.0
 SEED_K, SLICE_K = 24, 96
@@ -145,16 +145,10 @@ def zscore(spark, sf_dir):
 
 
 def tag_edges(spark, sf_dir):
-    rows = _nodes(spark, sf_dir).select((F.row_number().over(_by_nid()) - 1).alias("seq"), "node_id", "tags")
+    rows = numbered(_nodes(spark, sf_dir).select("nid", "node_id", "tags"), "nid")
     return graph.tag_edges(rows).select("src", "dst", F.round("w", 6).alias("w"))
 
 
-def _by_nid():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("nid")
-
-
 def adjacency(spark, sf_dir):
     return graph.adjacency(_edges(spark, sf_dir), NOW).select("etype", "src", "dst", F.round("p", 6).alias("p"))
 

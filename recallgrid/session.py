@@ -7,6 +7,8 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, by: str, name: str = "seq") -> DataFrame:
+    """``df`` with the rank of each row by ``by`` (unique, not null) from 0, without a task that sees all rows.
+
+    Rows are range-partitioned; only one count per partition is read on to place the partitions.
+    """
+    parts = cut_lineage(df.repartitionByRange(shuffle_width(df.sparkSession), by).withColumn("__p", F.spark_partition_id()))
+    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__before")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(by)) - 1
+    # One row per partition.
+    return parts.join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + place).drop("__p", "__before")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
