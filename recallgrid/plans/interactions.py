@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recallgrid.functions.text import is_held_out, query_hash
 from recallgrid.operators import graph, learning, ranker
 from recallgrid.operators.features import FEATURES, LINEAR_WEIGHTS, effective_trust
 from recallgrid.plans.retrieval import EFFECTIVE, NOW, _FEEDBACK
-from recallgrid.session import read_table
+from recallgrid.session import ensure_checkpoint_dir, read_table
 from recallgrid.sources import store
+from recallgrid.streaming.feedback import run_available, trust_stream, usage_per_window
 
 
 def _feedback(spark, sf_dir):
@@ -168,7 +171,37 @@ def nodes_lookup(spark, sf_dir):
     return decoded.select("node_id", "kind", "title", F.size("tags").alias("n_tags"), "pinned", "trust")
 
 
-_NAMES = """hebbian_coaccess coaccess_pruned trust_fold trust_effective referee_counts blend_gate ranker_gate mlp_score holdout_split query_tokens
+def _feedback_stream(spark, sf_dir):
+    schema = _feedback(spark, sf_dir).schema
+    # A pattern, as a stream doesn't take the path of a single file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/feedback.parque[t]")
+
+
+def _streamed(spark, stream, mode, keys):
+    """The last row per key that a stream emits, through a table in the shared folder."""
+    out = f"{ensure_checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}"
+
+    def write(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    run_available(stream, mode, write)
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *values)).alias("v")).select(*keys, *[f"v.{c}" for c in values])
+
+
+def stream_trust(spark, sf_dir):
+    events = _feedback_stream(spark, sf_dir).select("node_id", "ts", F.col("used").alias("helpful"), "rid")
+    out = _streamed(spark, trust_stream(events), "update", ["node_id"])
+    return out.select("node_id", F.round("trust", 6).alias("trust"), "trust_updated")
+
+
+def stream_usage(spark, sf_dir):
+    out = _streamed(spark, usage_per_window(_feedback_stream(spark, sf_dir).select("ts", "shown", "used"), late="3650 days"), "update", ["window_start"])
+    return out.select(F.unix_seconds("window_start").alias("window_start"), "n_shown", "n_used")
+
+
+_NAMES = """stream_trust stream_usage hebbian_coaccess coaccess_pruned trust_fold trust_effective referee_counts blend_gate ranker_gate mlp_score holdout_split query_tokens
 ignored_nodes access_touch touch_updated feedback_ring replay_window recent_queries remove_cascade upsert_trust edges_pruned engine_stats nodes_lookup""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -190,6 +223,8 @@ _L1 = _LOWER.format(n="(wins + losses)::double", w="wins")
 _L2 = _LOWER.format(n="events::double", w="events")
 
 ORACLES = {
+    "stream_trust": _TRUST + " select node_id, round(s.t, 6) as trust, s.at as trust_updated from s",
+    "stream_usage": "select cast(floor(ts / 86400) as bigint) * 86400 as window_start, count(*) filter (shown) as n_shown, count(*) filter (used) as n_used from feedback where ts is not null group by 1",
     "hebbian_coaccess": _PAIR_TIMES + " select src, dst, round(s.w, 6) as w, s.at as updated from s",
     "coaccess_pruned": _PAIR_TIMES + f" select src, dst, round(s.w, 6) as w, s.at as updated from s where s.w * pow(0.9::double, ({NOW}::double - s.at) / 604800) >= 0.05::double",
     "trust_fold": _TRUST + " select node_id, round(s.t, 6) as trust, s.at as trust_updated from s",

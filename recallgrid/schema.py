@@ -11,6 +11,7 @@ _DDL = {
     "teachers": "node_id string, model string, vec array<float>",
     "edges": "src string, dst string, etype int, w double, updated double",
     "feedback": "rid long, ts double, query_hash string, node_id string, features array<float>, shown boolean, used boolean, label_src string",
+    "embedder": "bucket int, vec array<float>",
     "params": "key string, value string",
 }
 KEYS = {
@@ -21,6 +22,7 @@ KEYS = {
     "teachers": ["node_id"],
     "edges": ["src", "dst", "etype"],
     "feedback": ["rid"],
+    "embedder": ["bucket"],
     "params": ["key"],
 }
 
