@@ -29,7 +29,7 @@ def parse_notes(rows: DataFrame, raw: str, name: str) -> DataFrame:
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.md`` files below a folder; a note's id is its file name without the ending."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
     return parse_notes(files.select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1).alias("name")), "value", "name")
 
 
