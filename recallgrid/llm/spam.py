@@ -14,13 +14,14 @@ from recallgrid.session import cut_lineage
 
 # English function words; endings that close a Korean clause.
 FUNCTION_WORDS = frozenset(
-    """a about after all an and any anyone are as at be because been before but by can could did do does everyone for from
-    had has have he how i if in is it may most my no nobody not of on only or our she should since so someone that the their
-    then there they this to was we were what when where which who why will with without would you your""".split()
+    """a about after again all also an and any anyone are as at be because been before between but by can could did do does each even every everyone
+    for from had has have he her his how i if in instead into is it its just may me more most my no nobody not now of on once one only or other our out
+    over same she should since so some someone still such than that the their them then there these they this those though to two under until up us was
+    we were what when where which while who why will with without would yet you your""".split()
 )
 CLAUSE_ENDINGS = "다 요 까 죠 함 음 됨 것 자 네 라 줘 해 군 걸".split()
 
-_LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|\[\[[^\]\n]*\]\]|(?:https?://|www\.)[^\s、|,]+|(?<!\w)#[^\s#,|、·/]+")
+_LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|\[\[[^\]\n]*\]\]|(?:https?://|www\.)[\w.~:/?#@!$&()*+;=%-]+|(?<!\w)#[^\s#,|、·★/]+", re.ASCII)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _HANGUL = re.compile(r"[가-힣]")
 _LATIN = re.compile(r"[A-Za-z]")
@@ -52,8 +53,10 @@ def is_sentence(text: str) -> bool:
     words = [w.lower() for w in _WORD.findall(core)]
     hangul, latin = len(_HANGUL.findall(core)), len(_LATIN.findall(core))
     korean = len(words) >= 3 and hangul > 0 and _CLOSES.search(core) is not None
-    english = len(words) >= 4 and latin > hangul / 2 and sum(w in FUNCTION_WORDS for w in words) >= 0.2 * len(words)
-    return (korean or english) and _varied(words)
+    bound = [w for w in words if w in FUNCTION_WORDS]
+    english = len(words) >= 4 and latin > hangul / 2 and len(bound) >= 0.2 * len(words)
+    # Keyword templates repeat few function words; a sentence that returns to its subject has many.
+    return (korean or english) and (_varied(words) or (english and len(set(bound)) >= 5))
 
 
 def segments(text: str):
@@ -94,7 +97,9 @@ def text_features(text: str) -> tuple:
     for kind, part in segments(text):
         links = [_length(m.group()) for m in _LINK.finditer(part)]
         counted = sum(min(x, LINK_CHARS) for x in links)
-        size[kind] += max(0, _length(part) - sum(links)) + counted
+        # A few links belong to their sentence; a string of them is a list, whatever sentence it runs into.
+        size["listed" if len(links) >= 3 and kind == "sentence" else kind] += counted
+        size[kind] += max(0, _length(part) - sum(links))
         linked += counted
     whole = sum(size.values()) or 1
     words = [w.lower() for w in _WORD.findall(_LINK.sub(" ", text)) if not w.isdigit()]
@@ -105,7 +110,9 @@ def text_features(text: str) -> tuple:
     hangul, latin = len(_HANGUL.findall(text)), len(_LATIN.findall(_LINK.sub(" ", text)))
     latin = latin or (0 if hangul else len(_LATIN.findall(text)))
     group = "none" if not hangul + latin else "ko" if hangul >= 3 * latin else "en" if latin >= 3 * hangul else "mixed"
-    return group, size["listed"] / whole, min(1.0, linked / whole), min(1.0, max(0.0, order)), 1 - len(counts) / n if n else 0.0, 1 - bound / n if n else 1.0
+    # A word or two string nothing together.
+    listed = size["listed"] / whole if n > 3 or linked else 0.0
+    return group, listed, min(1.0, linked / whole), min(1.0, max(0.0, order)), 1 - len(counts) / n if n else 0.0, 1 - bound / n if n else 1.0
 
 
 def _featurise(batches):
