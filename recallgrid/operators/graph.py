@@ -86,28 +86,21 @@ def pagerank_loop(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds:
     return rank
 
 
-def walk(starts: np.ndarray, targets: np.ndarray, shares: np.ndarray, restart: dict[int, float], alpha: float, rounds: int, tolerance: float | None) -> dict[int, float]:
-    """Power iteration over a compressed adjacency, touching only nodes that hold mass."""
-    nodes = np.fromiter(restart, dtype=np.int64)
-    mass = np.fromiter(restart.values(), dtype=np.float64)
-    home, home_mass = nodes, mass
+def walk(src: np.ndarray, dst: np.ndarray, p: np.ndarray, size: int, home: np.ndarray, restart: np.ndarray, alpha: float, rounds: int, tolerance: float | None) -> np.ndarray:
+    """Power iteration over an edge list of ``size`` nodes; the mass of each node."""
+    ends = np.ones(size, dtype=bool)
+    ends[src] = False
+    mass = np.zeros(size)
+    mass[home] = restart
     for _ in range(rounds):
-        size = starts[nodes + 1] - starts[nodes]
         share = (1 - alpha) * mass
-        lost = share[size == 0].sum()
-        at = np.repeat(starts[nodes] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        reached = np.concatenate([targets[at], home])
-        sent = np.concatenate([np.repeat(share, size) * shares[at], home_mass * (alpha + lost)])
-        fresh, where = np.unique(reached, return_inverse=True)
-        new = np.bincount(where, weights=sent, minlength=len(fresh))
-        if tolerance is not None:
-            merged, back = np.unique(np.concatenate([fresh, nodes]), return_inverse=True)
-            gap = np.abs(np.bincount(back, weights=np.concatenate([new, -mass]), minlength=len(merged))).sum()
-            nodes, mass = fresh, new
-            if gap < tolerance:
-                break
-        nodes, mass = fresh, new
-    return dict(zip(nodes.tolist(), mass.tolist()))
+        new = np.bincount(dst, weights=share[src] * p, minlength=size)
+        new[home] += restart * (alpha + share[ends].sum())
+        gap = np.abs(new - mass).sum()
+        mass = new
+        if tolerance is not None and gap < tolerance:
+            break
+    return mass
 
 
 def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int = 20, tolerance: float | None = 1e-5, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -128,9 +121,8 @@ def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int =
     src, dst, p = code[:n], code[n:], edges.column("p").to_numpy()
     for etype in np.unique(etypes).tolist():
         rows = np.flatnonzero(etypes == etype)
-        rows = rows[np.lexsort((dst[rows], src[rows]))]
-        starts = np.concatenate([[0], np.cumsum(np.bincount(src[rows], minlength=len(names)))])
-        graphs[etype] = (starts, dst[rows], p[rows])
+        rows = rows[np.argsort(src[rows], kind="stable")]
+        graphs[etype] = (src[rows], dst[rows], p[rows])
     shared = spark.sparkContext.broadcast((names, graphs))
     kind = seeds.schema["node_id"].dataType.simpleString()
     key = seeds.schema["qid"].dataType.simpleString()
@@ -143,16 +135,16 @@ def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int =
         # Seeds that no edge touches get numbers beyond the graph's.
         extra = found[absent]
         at[absent] = len(names) + np.arange(len(extra))
-        label = lambda i: names[i] if i < len(names) else extra[i - len(names)]
-        restart = dict(zip(at.tolist(), value.tolist()))
+        label = np.concatenate([names, extra])
         out: tuple[list, ...] = ([], [], [])
-        for etype, (starts, targets, shares) in graphs.items():
-            padded = np.append(starts, np.full(len(extra), starts[-1]))
-            for i, score in walk(padded, targets, shares, restart, alpha, rounds, tolerance).items():
-                for column, x in zip(out, (etype, label(i), score)):
-                    column.append(x)
-        qid = pa.array([group.column("qid")[0].as_py()] * len(out[0]), group.schema.field("qid").type)
-        return pa.table({"qid": qid, "etype": pa.array(out[0], pa.int32()), "node_id": pa.array(out[1], group.schema.field("node_id").type), "score": pa.array(out[2], pa.float64())})
+        for etype, (src, dst, p) in graphs.items():
+            mass = walk(src, dst, p, len(label), at, value, alpha, rounds, tolerance)
+            there = np.flatnonzero(mass)
+            for column, x in zip(out, (np.full(len(there), etype), label[there], mass[there])):
+                column.append(x)
+        etype, node, score = (np.concatenate(x) if x else np.empty(0) for x in out)
+        qid = pa.array([group.column("qid")[0].as_py()] * len(etype), group.schema.field("qid").type)
+        return pa.table({"qid": qid, "etype": pa.array(etype, pa.int32()), "node_id": pa.array(node, group.schema.field("node_id").type), "score": pa.array(score, pa.float64())})
 
     return _restart(seeds).groupBy("qid").applyInArrow(run, f"qid {key}, etype int, node_id {kind}, score double")
 

@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions.text import lexical_tokens
+from recallgrid.session import shuffle_width, spread
 
+#: Terms of a batch of queries that are sent to every task; larger batches are joined by a shuffle.
+MOST_BROADCAST_TERMS = 500_000
 
-def postings(docs: DataFrame, title_boost: float = 2.0, limit: int = 2048, title_limit: int = 64, **tokens) -> DataFrame:
+
+def postings(docs: DataFrame, title_boost: float = 2.0, limit: int = 2048, title_limit: int = 64, only: set[str] | None = None, **tokens) -> DataFrame:
     """``term, node_id, n, tf, doc_len`` of ``docs(node_id, body, title)``, without a shuffle.
 
+    With ``only``, a batch of queries' terms, just these come out, and a row per document with a null term.
+
     ``n`` counts the term in the body's first ``limit`` tokens, ``tf`` is ``1 + ln n`` plus ``title_boost - 1``
     for a term of the title (which the body is expected to contain), ``doc_len`` the body's tokens. Null or
     empty bodies give no rows.
@@ -30,13 +36,15 @@ def postings(docs: DataFrame, title_boost: float = 2.0, limit: int = 2048, title
                 if title and title_boost > 1:
                     for t in set(lexical_tokens(title, limit=title_limit, **tokens)):
                         weights[t] = weights.get(t, 0.0) + title_boost - 1
+                if only is not None:
+                    weights = {t: w for t, w in weights.items() if t in only} | {None: 0.0}
                 for term, tf in weights.items():
                     for column, value in zip(out, (term, node, counts.get(term, 0), tf, len(stream))):
                         column.append(value)
             kinds = (pa.string(), batch.schema.field("node_id").type, pa.int32(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["term", "node_id", "n", "tf", "doc_len"])
 
-    rows = docs.select("node_id", "body", "title")
+    rows = spread(docs.select("node_id", "body", "title"), "node_id")
     kind = rows.schema["node_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"term string, node_id {kind}, n int, tf double, doc_len int")
 
@@ -59,14 +67,19 @@ def bm25(terms: DataFrame, index: DataFrame, n_docs: int, mean_len: float, k1: f
     """``qid, node_id, score`` for every query and every document that shares a term with it.
 
     ``terms(qid, term, weight)`` is the batch of queries, ``index(term, node_id, tf, doc_len)`` the postings; a
-    null ``doc_len`` counts as the mean. Only postings of the queries' terms are read on, document
-    frequencies are counted before they move, and a query's scores are summed before the shuffle.
+    null ``doc_len`` counts as the mean. The postings of the queries' terms are gathered by document, so that
+    a document's scores are summed where they are and a frequent term's postings lie in all tasks. The
+    batch's weighted terms go to every task if there are few enough (they are counted).
     """
     wanted = terms.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi").select("term", "node_id", "tf", "doc_len")
+    few = terms.count() <= MOST_BROADCAST_TERMS
+    small = F.broadcast if few else (lambda rows: rows)
+    hits = index.join(small(wanted), "term", "left_semi").select("term", "node_id", "tf", "doc_len")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").select("qid", "term", (F.col("weight") * idf).alias("w"))
     length = F.coalesce(F.col("doc_len").cast("double"), F.lit(mean_len))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / mean_len))
-    return hits.join(weighted, "term").groupBy("qid", "node_id").agg(F.sum(part).alias("score"))
+    if few:
+        hits = hits.repartition(shuffle_width(index.sparkSession), "node_id")
+    return hits.join(small(weighted), "term").groupBy("qid", "node_id").agg(F.sum(part).alias("score"))

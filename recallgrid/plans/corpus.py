@@ -103,11 +103,11 @@ def df_idf(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, queries):
-    index = cut_lineage(postings(_plain(spark, sf_dir), title_boost=1.0))
-    texts = _texts(spark, sf_dir)
-    lengths = index.groupBy("node_id").agg(F.max("doc_len").alias("doc_len"))
-    mean = (lengths.agg(F.sum("doc_len")).first()[0] or 0) / max(1, texts.count())
-    return bm25(query_terms(queries), index, max(1, texts.count()), max(1.0, mean))
+    terms = cut_lineage(query_terms(queries))
+    asked = {r["term"] for r in terms.select("term").distinct().collect()}  # the fixed query texts' terms
+    rows = cut_lineage(postings(_plain(spark, sf_dir), title_boost=1.0, only=asked))
+    lengths = rows.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean")).first()
+    return bm25(terms, rows.filter("term is not null"), max(1, lengths["n"]), max(1.0, lengths["mean"] or 0.0))
 
 
 def bm25_scores(spark, sf_dir):

@@ -57,6 +57,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores, for costly work on each row.
+
+    Only input in fewer partitions (a small file) is moved, by the hash of ``by``; larger input stays as read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
+
+
 def pieces(rows: int, per_piece: int) -> int:
     """Number of pieces of about ``per_piece`` rows."""
     return max(1, math.ceil(rows / per_piece))
