@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.session import cut_lineage
+from recallgrid.session import cut_lineage, spread
 
 # English function words; endings that close a Korean clause.
 FUNCTION_WORDS = frozenset(
@@ -188,7 +188,7 @@ def spam_scores(documents: DataFrame, cutoff: float = 20.5, greater_part: float
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
     schema = "doc_id long, group string, " + ", ".join(f"{f} double" for f in FEATURES)
-    features = cut_lineage(rows.mapInArrow(_featurise, schema))
+    features = cut_lineage(spread(rows, "doc_id").mapInArrow(_featurise, schema))
     models = robust_scatter(features)
     if not models:
         return features.select("*", F.lit(0.0).alias("distance"), F.lit(False).alias("spam"))

@@ -6,6 +6,8 @@ import base64
 
 import pyarrow as pa
 
+from recallgrid.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 # Fixed value: the pattern that splits text before the merges of the rank files.
@@ -32,7 +34,7 @@ def count_tokens(documents, keep: list[str], text: str = "text", path: str = DEF
     """The columns ``keep`` and ``n_tokens long`` of the whole text (0 for a null or empty one)."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    rows = documents.select(*keep, text)
+    rows = spread(documents.select(*keep, text), keep[0])
     schema = StructType([*(rows.schema[c] for c in keep), StructField("n_tokens", LongType())])
 
     def run(batches):
