@@ -151,6 +151,12 @@ class MemoryEngine:
         rows = [self.store.read(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("what"), "n") for t in ("nodes", "feedback")]
         return rows[0].unionByName(rows[1]).unionByName(edges)
 
+    def _lexical(self, queries: DataFrame) -> tuple:
+        """The batch's terms, the index, document frequencies, corpus statistics and parameters."""
+        c, index = self.config, self.store.read("postings")
+        terms = cut_lineage(lexical.query_terms(queries, c.max_query_tokens, **c.tokens))
+        return terms, index, cut_lineage(lexical.document_frequency(terms, index)), *lexical.corpus_stats(self.store.read("nodes"), "text_len")
+
     def _bm25(self, queries: DataFrame) -> DataFrame:
         c = self.config
         n, mean = lexical.corpus_stats(self.store.read("nodes"), "text_len")
@@ -172,13 +178,14 @@ class MemoryEngine:
         """Every candidate of ``queries(qid, text)`` with its features."""
         c = self.config
         queries = queries.select("qid", "text")
-        bm25 = cut_lineage(self._bm25(queries))
+        corpus, form = self._lexical(queries), {"k1": c.bm25_k1, "b": c.bm25_b}
         asked = self._embed(queries.select(F.col("qid").alias("node_id"), F.col("text").alias("body")), c.max_query_tokens).select(F.col("node_id").alias("qid"), "vec")
         cosine = cut_lineage(dense.cosine_top_k(asked, self.store.read("vectors"), max(64, 4 * c.vector_seed_k)))
-        rrf = cut_lineage(fusion.reciprocal_rank_fusion([fusion.top_k(bm25, c.bm25_seed_k), cosine.filter(F.col("rank") < c.vector_seed_k)]))
+        rrf = cut_lineage(fusion.reciprocal_rank_fusion([lexical.bm25_top_k(*corpus, c.bm25_seed_k, **form), cosine.filter(F.col("rank") < c.vector_seed_k)]))
         adj = graph.adjacency(self.store.read("edges"), now, c.hebb_decay)
-        walks = cut_lineage(graph.pagerank(adj, rrf.withColumnRenamed("rrf", "score"), c.ppr_alpha, c.ppr_iters))
+        walks = cut_lineage(graph.pagerank(adj, rrf.withColumnRenamed("rrf", "score"), c.ppr_alpha, c.ppr_iters, others=c.graph_expand_k))
         chosen = rrf.select("qid", "node_id").unionByName(graph.expansion(walks, rrf, c.graph_expand_k).select("qid", "node_id"))
+        bm25 = lexical.bm25_of(chosen, *corpus, **form)
         words = F.udf(lambda t, korean: [w for w in lexical_tokens(t or "", sizes=c.char_ngrams if korean else (), strip=c.suffix_strip, cross=korean and c.cross_space, limit=256 if korean else 32) if len(w) > 1], "array<string>", useArrow=True)
         chosen = chosen.join(queries.select("qid", words("text", F.lit(True)).alias("q_words")), "qid")
         nodes = self.store.read("nodes").withColumn("title_words", words("title", F.lit(False)))

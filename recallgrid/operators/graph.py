@@ -103,9 +103,12 @@ def walk(src: np.ndarray, dst: np.ndarray, p: np.ndarray, size: int, home: np.nd
     return mass
 
 
-def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int = 20, tolerance: float | None = 1e-5, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int = 20, tolerance: float | None = 1e-5, local_edges: int = LOCAL_EDGES, others: int | None = None) -> DataFrame:
     """``qid, etype, node_id, score`` of every query and edge type.
 
+    With ``others``, a query's rows may be limited to its seeds and the ``others`` best nodes besides (by the
+    largest score over all types), which is what an expansion needs.
+
     Up to ``local_edges`` edges (counted first) travel to the tasks once, as integer arrays, and each query
     walks on its own with an early stop; a larger graph is walked by :func:`pagerank_loop`.
     """
@@ -136,17 +139,35 @@ def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int =
         extra = found[absent]
         at[absent] = len(names) + np.arange(len(extra))
         label = np.concatenate([names, extra])
+        masses = {e: walk(src, dst, p, len(label), at, value, alpha, rounds, tolerance) for e, (src, dst, p) in graphs.items()}
+        wanted = np.ones(len(label), dtype=bool)
+        if others is not None and masses:
+            most = np.round(np.max(list(masses.values()), axis=0), 9)
+            most[at] = -1.0
+            wanted[:] = False
+            wanted[at] = True
+            if others < len(most):
+                last = np.partition(most, len(most) - others)[len(most) - others] if others else np.inf
+                wanted |= most >= max(last, 1e-300)
+                # So many may tie for the last place that nothing is told apart: then the smaller ids hold.
+                tied = np.flatnonzero((most == last) & (last > 0))
+                over = (wanted & (most > 0)).sum() - others
+                if over > 0 and len(tied):
+                    wanted[sorted(tied, key=lambda i: label[i])[len(tied) - over :]] = False
+            else:
+                wanted[:] = True
         out: tuple[list, ...] = ([], [], [])
-        for etype, (src, dst, p) in graphs.items():
-            mass = walk(src, dst, p, len(label), at, value, alpha, rounds, tolerance)
-            there = np.flatnonzero(mass)
+        for etype, mass in masses.items():
+            there = np.flatnonzero((mass > 0) & wanted)
             for column, x in zip(out, (np.full(len(there), etype), label[there], mass[there])):
                 column.append(x)
         etype, node, score = (np.concatenate(x) if x else np.empty(0) for x in out)
         qid = pa.array([group.column("qid")[0].as_py()] * len(etype), group.schema.field("qid").type)
         return pa.table({"qid": qid, "etype": pa.array(etype, pa.int32()), "node_id": pa.array(node, group.schema.field("node_id").type), "score": pa.array(score, pa.float64())})
 
-    return _restart(seeds).groupBy("qid").applyInArrow(run, f"qid {key}, etype int, node_id {kind}, score double")
+    # A fixed number of partitions: the few rows would be merged into one, but each query takes a while.
+    width = 4 * spark.sparkContext.defaultParallelism
+    return _restart(seeds).repartition(width, "qid").groupBy("qid").applyInArrow(run, f"qid {key}, etype int, node_id {kind}, score double")
 
 
 def expansion(ppr: DataFrame, seeds: DataFrame, k: int = 16) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from math import log
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions.text import lexical_tokens
+from recallgrid.operators.fusion import top_k
 from recallgrid.session import shuffle_width, spread
 
 #: Terms of a batch of queries that are sent to every task; larger batches are joined by a shuffle.
@@ -83,3 +86,86 @@ def bm25(terms: DataFrame, index: DataFrame, n_docs: int, mean_len: float, k1: f
     if few:
         hits = hits.repartition(shuffle_width(index.sparkSession), "node_id")
     return hits.join(small(weighted), "term").groupBy("qid", "node_id").agg(F.sum(part).alias("score"))
+
+
+def bm25_of(pairs: DataFrame, terms: DataFrame, index: DataFrame, df: DataFrame, n_docs: int, mean_len: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The scores of given ``pairs(qid, node_id)``; pairs without a common term don't come out."""
+    idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = F.coalesce(F.col("doc_len").cast("double"), F.lit(mean_len))
+    part = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / mean_len))
+    hits = pairs.select("qid", "node_id").distinct().join(index.select("term", "node_id", "tf", "doc_len"), "node_id")
+    return hits.join(terms.join(df, "term"), ["qid", "term"]).groupBy("qid", "node_id").agg(F.sum(part).alias("score"))
+
+
+def document_frequency(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """``term, df`` of the batch's terms."""
+    return index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def bm25_top_k(terms: DataFrame, index: DataFrame, df: DataFrame, n_docs: int, mean_len: float, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``qid, node_id, score, rank``: the ``k`` best documents per query of a batch.
+
+    The batch's weighted terms travel to the tasks, in at most ``MOST_BROADCAST_TERMS`` rows (more fall back
+    to :func:`bm25`). Postings are gathered by document; a block of documents adds up all its queries' scores
+    as a matrix and passes on only its own ``k`` best per query, so frequent terms cost no shuffle of pairs.
+    """
+    rows = terms.join(df, "term").select("qid", "term", "weight", "df").limit(MOST_BROADCAST_TERMS + 1).toArrow()
+    if rows.num_rows > MOST_BROADCAST_TERMS:
+        return top_k(bm25(terms, index, n_docs, mean_len, k1, b), k)
+    asked = rows.column("qid").combine_chunks().dictionary_encode()
+    known = rows.column("term").combine_chunks().dictionary_encode()
+    query_of, term_of = asked.indices.to_numpy(), known.indices.to_numpy()
+    many = rows.column("df").to_numpy()
+    weight = rows.column("weight").to_numpy() * np.log(1 + (n_docs - many + 0.5) / (many + 0.5))
+    order = np.argsort(term_of, kind="stable")
+    query_of, weight = query_of[order], weight[order]
+    starts = np.searchsorted(term_of[order], np.arange(len(known.dictionary) + 1))
+    shared = terms.sparkSession.sparkContext.broadcast((asked.dictionary, known.dictionary, query_of, weight, starts))
+    names = {c: terms.schema[c].dataType.simpleString() for c in ("qid", "term")} | {"node_id": index.schema["node_id"].dataType.simpleString()}
+
+    def best_of(node, term, part, queries, query_of, weight, starts):
+        docs = node.dictionary_encode()
+        doc = docs.indices.to_numpy()
+        out_q, out_d, out_s = [], [], []
+        by_doc = np.argsort(doc, kind="stable")
+        for low in range(0, len(docs.dictionary), 2048):
+            size = min(2048, len(docs.dictionary) - low)
+            own = by_doc[np.searchsorted(doc[by_doc], low) : np.searchsorted(doc[by_doc], low + size)]
+            own = own[np.argsort(term[own], kind="stable")]
+            scores = np.zeros((len(queries), size))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(term[own])) + 1, [len(own)]])
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                t, at = term[own[s]] if e > s else 0, own[s:e]
+                q = slice(starts[t], starts[t + 1])
+                # A (query, term) and a (term, document) occur once, so no cell is added to twice.
+                scores[query_of[q][:, None], doc[at] - low] += weight[q][:, None] * part[at]
+            keep = min(k, size)
+            last = np.round(np.partition(scores, size - keep, axis=1)[:, size - keep], 9)
+            q, d = np.nonzero((np.round(scores, 9) >= last[:, None]) & (scores > 0))
+            out_q.append(q)
+            out_d.append(d + low)
+            out_s.append(scores[q, d])
+        take = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
+        return queries.take(pa.array(take(out_q, np.int64))), docs.dictionary.take(pa.array(take(out_d, np.int64))), pa.array(take(out_s, np.float64))
+
+    def run(batches):
+        queries, words, query_of, weight, starts = shared.value
+        nodes, terms_seen, parts = [], [], []
+        for batch in batches:
+            code = pc.index_in(batch.column("term"), words)
+            hit = code.is_valid()
+            batch, code = batch.filter(hit), code.filter(hit)
+            length = batch.column("doc_len").fill_null(mean_len).to_numpy(zero_copy_only=False) / mean_len
+            tf = batch.column("tf").to_numpy(zero_copy_only=False)
+            nodes.append(batch.column("node_id"))
+            terms_seen.append(code.to_numpy(zero_copy_only=False).astype(np.int64))
+            parts.append(tf * (k1 + 1) / (tf + k1 * (1 - b + b * length)))
+        if nodes:
+            node = pa.chunked_array(nodes).combine_chunks()
+            cols = best_of(node, np.concatenate(terms_seen), np.concatenate(parts), queries, query_of, weight, starts)
+            yield pa.RecordBatch.from_arrays(list(cols), names=["qid", "node_id", "score"])
+
+    hits = index.select("term", "node_id", "tf", F.col("doc_len").cast("double").alias("doc_len")).join(df.select("term"), "term", "left_semi")
+    width = max(shuffle_width(index.sparkSession), index.sparkSession.sparkContext.defaultParallelism)
+    found = hits.repartition(width, "node_id").mapInArrow(run, f"qid {names['qid']}, node_id {names['node_id']}, score double")
+    return top_k(found, k)

@@ -12,7 +12,7 @@ from recallgrid.operators.skew import hot_split_join
 from recallgrid.session import cut_lineage, numbered, read_table
 
 NOW = 1_770_000_000.0
-SEED_K, SLICE_K = 24, 96
+SEED_K, SLICE_K, EXPAND_K = 24, 96, 16
 
 
 def _nodes(spark, sf_dir):
@@ -41,11 +41,17 @@ def _edges(spark, sf_dir):
     return graph.latest_edges(read_table(spark, sf_dir, "edges"))
 
 
-def _bm25(spark, sf_dir):
+def _lexical(spark, sf_dir):
+    """The queries' terms, the index, their document frequencies, and the corpus statistics."""
     index = cut_lineage(_index(spark, sf_dir))
     stats = _nodes(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("text_len", F.lit(0))).alias("mean")).first()
-    terms = _queries(spark, sf_dir).join(index, "node_id").select("qid", "term", F.lit(1.0).alias("weight"))
-    return lexical.bm25(terms, index, max(1, stats["n"]), max(1.0, stats["mean"] or 0.0))
+    terms = cut_lineage(_queries(spark, sf_dir).join(index, "node_id").select("qid", "term", F.lit(1.0).alias("weight")))
+    df = cut_lineage(lexical.document_frequency(terms, index))
+    return terms, index, df, max(1, stats["n"]), max(1.0, stats["mean"] or 0.0)
+
+
+def _best(spark, sf_dir, k):
+    return lexical.bm25_top_k(*_lexical(spark, sf_dir), k)
 
 
 def _cosine(spark, sf_dir):
@@ -55,25 +61,26 @@ def _cosine(spark, sf_dir):
 
 
 def _seeds(bm25, cosine):
-    return fusion.reciprocal_rank_fusion([fusion.top_k(bm25, SEED_K), cosine.filter(F.col("rank") < SEED_K)])
+    return fusion.reciprocal_rank_fusion([bm25, cosine.filter(F.col("rank") < SEED_K)])
 
 
-def _walks(spark, sf_dir, rrf):
+def _walks(spark, sf_dir, rrf, others=None):
     adj = graph.adjacency(_edges(spark, sf_dir), NOW)
-    return graph.pagerank(adj, rrf.withColumnRenamed("rrf", "score"), tolerance=None)
+    return graph.pagerank(adj, rrf.withColumnRenamed("rrf", "score"), tolerance=None, others=others)
 
 
-def _stages(spark, sf_dir):
-    bm25 = cut_lineage(_bm25(spark, sf_dir))
+def _stages(spark, sf_dir, others=None):
+    corpus = _lexical(spark, sf_dir)
     cosine = cut_lineage(_cosine(spark, sf_dir))
-    rrf = cut_lineage(_seeds(bm25, cosine))
-    walks = cut_lineage(_walks(spark, sf_dir, rrf))
-    return bm25, cosine, rrf, walks
+    rrf = cut_lineage(_seeds(lexical.bm25_top_k(*corpus, SEED_K), cosine))
+    walks = cut_lineage(_walks(spark, sf_dir, rrf, others))
+    return corpus, cosine, rrf, walks
 
 
 def _candidates(spark, sf_dir):
-    bm25, cosine, rrf, walks = _stages(spark, sf_dir)
-    chosen = rrf.select("qid", "node_id").unionByName(graph.expansion(walks, rrf).select("qid", "node_id"))
+    corpus, cosine, rrf, walks = _stages(spark, sf_dir, others=EXPAND_K)
+    chosen = cut_lineage(rrf.select("qid", "node_id").unionByName(graph.expansion(walks, rrf, EXPAND_K).select("qid", "node_id")))
+    bm25 = lexical.bm25_of(chosen, *corpus)
     titles = _queries(spark, sf_dir).join(_nodes(spark, sf_dir).select("node_id", F.col("title").alias("q_title")), "node_id").select("qid", "q_title")
     nodes = _nodes(spark, sf_dir)
     own = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), " "), lambda w: F.length(w) > 1))
@@ -94,7 +101,7 @@ def _ranked(spark, sf_dir):
 
 
 def stored_bm25(spark, sf_dir):
-    return fusion.top_k(_bm25(spark, sf_dir), SEED_K).select("qid", "node_id", F.round("score", 6).alias("score"), "rank")
+    return _best(spark, sf_dir, SEED_K).select("qid", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
 def cosine_topk(spark, sf_dir):
@@ -102,7 +109,7 @@ def cosine_topk(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    return _seeds(cut_lineage(_bm25(spark, sf_dir)), _cosine(spark, sf_dir)).select("qid", "node_id", F.round("rrf", 9).alias("rrf"))
+    return _seeds(_best(spark, sf_dir, SEED_K), _cosine(spark, sf_dir)).select("qid", "node_id", F.round("rrf", 9).alias("rrf"))
 
 
 def ppr_by_type(spark, sf_dir):
@@ -111,7 +118,7 @@ def ppr_by_type(spark, sf_dir):
 
 
 def graph_expand(spark, sf_dir):
-    _, _, rrf, walks = _stages(spark, sf_dir)
+    _, _, rrf, walks = _stages(spark, sf_dir, others=EXPAND_K)
     return graph.expansion(walks, rrf).select("qid", "node_id", F.round("score", 8).alias("score"))
 
 
@@ -193,7 +200,7 @@ def hash_embed_norms(spark, sf_dir):
 def retrieval_quality(spark, sf_dir):
     """Quality of the lexical ranking against the probes' direct neighbours."""
     gold = _queries(spark, sf_dir).join(_edges(spark, sf_dir).select(F.col("src").alias("node_id"), "dst"), "node_id").select("qid", F.col("dst").alias("node_id"))
-    per_query = metrics.retrieval_metrics(fusion.top_k(_bm25(spark, sf_dir), 10), gold)
+    per_query = metrics.retrieval_metrics(_best(spark, sf_dir, 10), gold)
     return per_query.select("qid", "r1", "r5", "r10", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
 
 
