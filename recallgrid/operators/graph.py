@@ -15,16 +15,30 @@ WEEK = 7 * 86400.0
 LOCAL_EDGES = 4_000_000
 
 
-def tag_edges(nodes: DataFrame, fanout: int = 6, common_share: float = 0.30, common_least: int = 40) -> DataFrame:
+def tag_edges(nodes: DataFrame, fanout: int = 6, common_share: float = 0.30, common_least: int = 40, chunk_rows: int = 1_000_000) -> DataFrame:
     """``src, dst, w`` between ``nodes(seq, node_id, tags)`` and earlier nodes with a common tag.
 
     ``seq`` numbers the nodes from 0 in insertion order. A tag counts for a node if at least 2 earlier nodes
     have it but no more than the larger of ``common_least`` and the share ``common_share`` of them. It links
-    the last ``fanout`` of these with half its inverse frequency; the best ``2 * fanout`` links stay.
+    the last ``fanout`` of these with half its inverse frequency; the best ``2 * fanout`` links stay. A tag's
+    nodes are taken in chunks of the insertion order; of the chunks before its own, a node needs only their
+    number of nodes and their last few, so a tag on a third of all nodes is no single task.
     """
     tagged = nodes.filter("tags is not null").select("seq", "node_id", F.explode(F.array_distinct("tags")).alias("tag")).filter("tag is not null")
-    by_tag = Window.partitionBy("tag").orderBy("seq")
-    framed = tagged.select("seq", "node_id", (F.row_number().over(by_tag) - 1).alias("df"), F.collect_list("node_id").over(by_tag.rowsBetween(-fanout, -1)).alias("mates"))
+    tagged = tagged.withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
+    in_chunk = Window.partitionBy("tag", "chunk").orderBy("seq")
+    rows = tagged.select(
+        "tag", "chunk", "seq", "node_id",
+        (F.row_number().over(in_chunk) - 1).alias("place"),
+        F.collect_list("node_id").over(in_chunk.rowsBetween(-fanout, -1)).alias("near"),
+        F.collect_list("node_id").over(in_chunk.rowsBetween(1 - fanout, 0)).alias("tail"),
+    )
+    ends = rows.groupBy("tag", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max_by("tail", "seq").alias("tail"))
+    before = Window.partitionBy("tag").orderBy("chunk")
+    # Every chunk listed holds a node, so the last ``fanout`` chunks hold the last ``fanout`` nodes.
+    ends = ends.select("tag", "chunk", (F.sum("n").over(before) - F.col("n")).alias("df_before"), F.flatten(F.collect_list("tail").over(before.rowsBetween(-fanout, -1))).alias("far"))
+    framed = rows.join(ends, ["tag", "chunk"]).select("seq", "node_id", (F.col("df_before") + F.col("place")).alias("df"), F.concat("far", "near").alias("all"))
+    framed = framed.withColumn("mates", F.slice("all", F.greatest(F.lit(1), F.size("all") - fanout + 1), F.lit(fanout)))
     n = F.greatest(F.lit(1), F.col("seq"))
     counted = framed.filter((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(common_least), F.floor(n * common_share))))
     links = counted.select(F.col("node_id").alias("src"), F.explode("mates").alias("dst"), (0.5 * F.log(1 + n / F.col("df"))).alias("w"))

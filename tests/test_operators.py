@@ -66,7 +66,8 @@ def test_tag_edges_match_a_loop(spark):
         for tag in own:
             members.setdefault(tag, []).append(seq)
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(tags)], "seq long, node_id long, tags array<string>")
-    assert {(r["src"], r["dst"], round(r["w"], 6)) for r in graph.tag_edges(rows).collect()} == want
+    for chunk_rows in (7, 10**6):
+        assert {(r["src"], r["dst"], round(r["w"], 6)) for r in graph.tag_edges(rows, chunk_rows=chunk_rows).collect()} == want
 
 
 def test_knn_edges_match_brute_force(spark):
