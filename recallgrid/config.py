@@ -43,7 +43,7 @@ class Config:
     l2: float = 1e-4
     replay_cap: int = 4096
     blend_min_events: int = 100
-    epsilon: float = 0.0
+    epsilon: float = 0.05
     trust_helpful: float = 0.05
     trust_unhelpful: float = 0.10
     trust_half_life_days: float = 45.0

@@ -191,10 +191,12 @@ class MemoryEngine:
         nodes = self.store.read("nodes").withColumn("title_words", words("title", F.lit(False)))
         return features.candidate_features(chosen, bm25, cosine, rrf, walks, nodes, now, F.arrays_overlap("q_words", "title_words"))
 
-    def search(self, queries: DataFrame, top_k: int | None = None, kinds: list[str] | None = None, now: float | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, top_k: int | None = None, kinds: list[str] | None = None, now: float | None = None, seed: int | None = None) -> DataFrame:
         """``qid, node_id, score, title, kind, features, sources, rank, query_token`` for ``queries(qid, text)``.
 
-        ``top_k`` of 0 or less gives nothing. ``kinds`` filters after candidates are made.
+        ``top_k`` of 0 or less gives nothing. ``kinds`` filters after candidates are made. With the configured
+        ``epsilon``, the last place of some queries goes to another candidate; ``seed`` (by default the time)
+        repeats the choice.
         """
         c, now = self.config, time.time() if now is None else now
         learner, share = self._state()
@@ -207,7 +209,7 @@ class MemoryEngine:
             rows = rows.withColumn("features", F.array(*features.FEATURES))
             rows = ranker.score_rows(rows, learner).withColumn("linear_score", (1 - share) * F.col("linear_score") + share * F.col("learned"))
         rows = rows.withColumn("score", F.col("linear_score") + features.trust_bonus(now, c.trust_half_life_days, c.trust_weight))
-        best = fusion.top_k(features.of_kinds(rows, kinds), c.top_k if top_k is None else top_k)
+        best = fusion.explore(features.of_kinds(rows, kinds), c.top_k if top_k is None else top_k, c.epsilon, int(now) if seed is None else seed)
         named = F.create_map(*[x for f in features.FEATURES for x in (F.lit(f), F.col(f))])
         best = best.join(queries.select("qid", "text"), "qid")
         token = query_hash(F.concat("text", F.lit(f"|{now}"))).alias("query_token")
@@ -242,7 +244,9 @@ class MemoryEngine:
         asked = sets.join(ids.select("node_id").distinct(), "node_id", "left_semi")
         n, mean = lexical.corpus_stats(self.store.read("nodes"), "text_len")
         terms = asked.select(F.col("node_id").alias("qid"), F.explode("words").alias("term"), F.lit(1.0).alias("weight"))
-        hits = lexical.bm25(terms, self.store.read("postings"), n, mean, c.bm25_k1, c.bm25_b).filter("qid <> node_id")
+        index = self.store.read("postings")
+        df = cut_lineage(lexical.document_frequency(terms, index))
+        hits = lexical.bm25_top_k(terms, index, df, n, mean, candidates + 1, c.bm25_k1, c.bm25_b).filter("qid <> node_id").drop("rank")
         best = fusion.top_k(hits, candidates).select(F.col("qid").alias("node_id"), F.col("node_id").alias("other_id"))
         vectors = self._embed(sets.select("node_id", "body"), c.max_doc_tokens)
         mine = asked.join(vectors, "node_id").select("node_id", "words", "negated", "vec")

@@ -61,3 +61,27 @@ def test_contradictions(spark, tmp_path):
         e.remove(spark.createDataFrame([("y",)], "node_id string"))
         assert e.contradictions(spark.createDataFrame([("x",)], "node_id string")).count() == 0
         assert {r["what"]: r["n"] for r in e.stats().collect()}["nodes"] == 2
+
+
+def test_handles(spark, tmp_path):
+    import asyncio
+
+    from recallgrid.adapter import Retriever, VectorHandle
+
+    async def use(e):
+        handle, retriever = VectorHandle(e), Retriever(e)
+        assert handle.descriptor["dimension"] == 16
+        docs = [{"id": "n1", "text": "server deploy log", "metadata": {"category": "fact", "tags": ["ops"], "importance": 0}}, {"id": "n2", "text": "cat food"}]
+        assert await handle.index_batch(docs) == 2
+        await handle.index("n3", "server room key", {"title": "Key"})
+        assert (await handle.search("server deploy", top_k=1, score_threshold=-100.0))[0]["id"] == "n1"
+        assert (await handle.fetch_document("n1"))["kind"] == "fact" and (await handle.fetch_document("n1"))["importance"] == 1.0
+        hits = await retriever.retrieve("server", top_k=3)
+        assert (await retriever.feedback(hits[0]["query_token"], [hits[0]["node_id"]]))["applied"] == 1.0
+        assert await retriever.feedback("unknown", []) == {"applied": 0.0}
+        assert await handle.reindex() == 0
+        await handle.remove("n1")
+        assert await handle.fetch_document("n1") is None
+
+    with MemoryEngine.open(spark, str(tmp_path / "h"), dim=16, vocab_size=256, epsilon=0.0) as e:
+        asyncio.run(use(e))

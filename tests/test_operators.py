@@ -34,6 +34,44 @@ def test_rrf_starts_at_rank_zero(spark):
     assert fusion.top_k(one.withColumn("score", F.lit(1.0)).drop("rank"), 0).count() == 0
 
 
+def test_exploration_swaps_the_last_place(spark):
+    rows = spark.createDataFrame([(f"q{q}", f"n{i}", float(-i)) for q in range(200) for i in range(6)] + [("few", "n0", 1.0)], "qid string, node_id string, score double")
+    got = {}
+    for r in fusion.explore(rows, 3, 0.3, seed=5).collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = r["node_id"]
+    assert got.pop("few") == {0: "n0"} and len(got) == 200
+    assert all(len(g) == 3 and g[0] == "n0" and g[1] == "n1" for g in got.values())
+    swapped = [g[2] for g in got.values() if g[2] != "n2"]
+    assert 30 <= len(swapped) <= 90 and set(swapped) == {"n3", "n4", "n5"}
+    assert {tuple(r) for r in fusion.explore(rows, 3, 0.0, seed=5).collect()} == {tuple(r) for r in fusion.top_k(rows, 3).collect()}
+
+
+def test_bm25_kernels_agree(spark):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(f"w{x}" for x in rng.zipf(1.4, 30) % 60), "") for i in range(150)], "node_id string, body string, title string")
+    index = lexical.postings(docs)
+    terms = lexical.query_terms(spark.createDataFrame([(f"q{i}", " ".join(f"w{x}" for x in rng.integers(0, 60, 6))) for i in range(20)] + [("none", "zz")], "qid string, text string"))
+    full = lexical.bm25(terms, index, 150, 30.0)
+    want = {(r["qid"], r["rank"]): (r["node_id"], round(r["score"], 9)) for r in fusion.top_k(full, 7).collect()}
+    df = lexical.document_frequency(terms, index)
+    got = {(r["qid"], r["rank"]): (r["node_id"], round(r["score"], 9)) for r in lexical.bm25_top_k(terms, index, df, 150, 30.0, 7).collect()}
+    assert got == want
+    pairs = full.select("qid", "node_id").limit(40)
+    some = {(r["qid"], r["node_id"]): r["score"] for r in lexical.bm25_of(pairs, terms, index, df, 150, 30.0).collect()}
+    whole = {(r["qid"], r["node_id"]): r["score"] for r in full.collect()}
+    assert all(some[k] == pytest.approx(whole[k]) for k in some) and len(some) == 40
+
+
+def test_limited_walks_give_the_same_expansion(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"n{a}", f"n{b}", int(t), 1.0, 0.0) for a, b, t in zip(rng.integers(0, 60, 200), rng.integers(0, 60, 200), rng.integers(0, 4, 200))]
+    adj = graph.adjacency(graph.latest_edges(spark.createDataFrame(rows, "src string, dst string, etype int, w double, updated double")), 0.0)
+    seeds = spark.createDataFrame([(f"q{i}", f"n{(i * 7 + j) % 60}", 1.0 + j) for i in range(8) for j in range(3)], "qid string, node_id string, score double")
+    whole, few = graph.pagerank(adj, seeds, tolerance=None), graph.pagerank(adj, seeds, tolerance=None, others=5)
+    assert {tuple(r)[:2] for r in graph.expansion(whole, seeds, 5).collect()} == {tuple(r)[:2] for r in graph.expansion(few, seeds, 5).collect()}
+    assert few.count() < whole.count()
+
+
 def test_mutual_link_counts_once(spark):
     edges = spark.createDataFrame([("A", "B", 0, 1.0, 0.0), ("B", "A", 0, 1.0, 0.0), ("A", "C", 1, 0.0, 0.0)], "src string, dst string, etype int, w double, updated double")
     assert {tuple(r) for r in graph.adjacency(edges, 0.0).collect()} == {(0, "A", "B", 1.0), (0, "B", "A", 1.0)}
