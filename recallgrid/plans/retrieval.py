@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.operators import dense, features, fusion, graph, lexical, metrics, ranker
 from recallgrid.operators.skew import hot_split_join
+from recallgrid.plans.corpus import _words_of
 from recallgrid.session import cut_lineage, numbered, read_table
 
 NOW = 1_770_000_000.0
@@ -321,4 +322,5 @@ ORACLES = {
         round(coalesce(1.0::double / (first + 1), 0), 6) as mrr, round(coalesce(dcg / list_sum(list_transform(range(0, least(n, 10)), lambda i: 1.0::double / log2(i + 2))), 0), 6) as ndcg from sz left join h using (qid)""",
     "postings_spelled": """select t.term, count(*) as n, round(sum(p.tf), 6) as tf from postings_v2 p join terms t using (tid) where p.tf > 0 and not isnan(p.tf) and p.nid in (select nid from node_map) group by t.term""",
 }
+ORACLES["hash_embed_norms"] = f"select doc_id, case when coalesce(len({_words_of('text')}), 0) > 0 then 1.0::double else 0.0::double end as norm from documents"
 ORACLES["quality_means"] = f"select count(*) as n_queries, round(avg(r1), 5) as r1, round(avg(r5), 5) as r5, round(avg(r10), 5) as r10, round(avg(mrr), 5) as mrr, round(avg(ndcg), 5) as ndcg from ({ORACLES['retrieval_quality']})"
