@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from recallgrid.llm.postings import valid_postings
 from recallgrid.operators.skew import hot_split_join
+from recallgrid.session import cut_lineage
 
 _MODEL = "tid long, elite_share double, elite_rate double, rest_rate double, mean_rate double, n_records long"
 
@@ -83,7 +84,7 @@ def term_weights(postings: DataFrame, node_map: DataFrame, only: DataFrame | Non
     term included. ``only`` (a column ``nid``) restricts the records that come out, not the fit. Empty
     tables give no rows; other columns are ignored.
     """
-    valid = valid_postings(postings, node_map)
+    valid = cut_lineage(valid_postings(postings, node_map))
     models = term_models(valid, node_map.count()).drop("n_records")
     wanted = valid
     if only is not None:
