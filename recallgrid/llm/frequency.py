@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from recallgrid.llm.postings import valid_postings
 from recallgrid.operators.skew import hot_split_join
-from recallgrid.session import pieces
+from recallgrid.session import cut_lineage, pieces
 
 
 def fold_word(text: str) -> str:
@@ -44,7 +44,7 @@ def word_frequencies(postings: DataFrame, terms: DataFrame, node_map: DataFrame,
     counted in as many buckets as the data needs. Words without postings come out with zeros.
     """
     words = distinct_words(terms)
-    tokens = hot_split_join(valid_postings(postings, node_map), words.select("tid", "word_tid"), "tid")
+    tokens = hot_split_join(cut_lineage(valid_postings(postings, node_map)), words.select("tid", "word_tid"), "tid")
     salts = pieces(postings.count(), bucket_rows)
     tokens = tokens.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(salts)))
     last_seen = F.lag("nid").over(Window.partitionBy("word_tid", "salt").orderBy("nid"))
