@@ -15,6 +15,8 @@ from recallgrid.operators.skew import hot_split_join
 from recallgrid.session import cut_lineage, pieces
 
 MAX_CELLS = 16_384
+#: Half a window's width against the radius it is to catch.
+WINDOW = 1.33
 
 
 def _unit_rows(dim: int):
@@ -91,8 +93,8 @@ def collision_candidates(x: np.ndarray, directions: np.ndarray, width: float, th
     Every projection is one sorted array. A level's window around each row's projection is twice as wide as
     the level before (virtual rehashing: the arrays stay, only the windows grow), so that just the ring
     between the two windows is counted anew. ``verify(i, j)`` gets each pair once, when it first reaches
-    the threshold, and returns the distances. The search ends early if every row has ``k`` verified
-    neighbours nearer than the level's radius.
+    the threshold, and returns the distances. A level's radius is its half window over ``WINDOW``; the search
+    ends early if every row has ``k`` verified neighbours nearer than that.
     """
     n = len(x)
     projected = x @ directions
@@ -121,19 +123,30 @@ def collision_candidates(x: np.ndarray, directions: np.ndarray, width: float, th
         seen[found] = True
         i, j = found // n, found % n
         distance = verify(i, j)
-        inside = distance <= half
+        # Pairs at the level's radius collide on all but a few projections of the window around it.
+        inside = distance <= half / WINDOW
         np.add.at(near, i[inside], 1)
         np.add.at(near, j[inside], 1)
         if n > k and near.min() >= k:
             return
 
 
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that two rows of the sorted number lists ``a`` and ``b`` share."""
+    out = np.full(len(a), np.iinfo(np.int32).max)
+    for x in range(a.shape[1]):
+        for y in range(b.shape[1]):
+            out = np.where(a[:, x] == b[:, y], np.minimum(out, a[:, x]), out)
+    return out
+
+
 def _search_cells(min_similarity: float, k: int, projections: int, width: float, threshold: int, seed: int = 11):
-    """Pairs of similar vectors of each cell (or pair of a large cell's blocks), from rows sorted by cell."""
+    """The ``k`` most similar vectors of each vector of a cell (or of a pair of a large cell's blocks), from rows
+    sorted by cell. A pair counts in the first cell that both share, which keeps every vector's best ``k``."""
 
-    def cell_pairs(key, ids, cells, x):
+    def best_of(key, ids, cells, blocks, x):
         directions = np.random.default_rng(seed).standard_normal((x.shape[1], projections)).astype(np.float32)
-        out = []
+        parts = []
 
         def verify(i, j):
             similarity = np.empty(len(i), dtype=np.float64)
@@ -141,54 +154,59 @@ def _search_cells(min_similarity: float, k: int, projections: int, width: float,
                 e = slice(s, s + 100_000)
                 similarity[e] = np.einsum("ij,ij->i", x[i[e]], x[j[e]], dtype=np.float64)
             hit = np.flatnonzero(similarity >= min_similarity)
-            out.extend(zip(i[hit].tolist(), j[hit].tolist(), similarity[hit].tolist()))
+            parts.append((i[hit], j[hit], similarity[hit]))
             return np.sqrt(np.maximum(0.0, 2 - 2 * similarity))
 
         collision_candidates(x, directions, width, threshold, k, verify=verify)
-        for i, j, s in out:
-            common = min(set(cells[i]) & set(cells[j]))
-            if common == key[0]:
-                yield ids[i], ids[j], s
+        i, j, similarity = (np.concatenate(c) for c in zip(*parts))
+        own = _first_shared(cells[i], cells[j]) == key[0]
+        if key[1] != key[2]:
+            own &= blocks[i] != blocks[j]
+        i, j, similarity = i[own], j[own], similarity[own]
+        src, dst, both = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([similarity, similarity])
+        place = np.empty(len(ids), dtype=np.int64)
+        place[np.argsort(np.array(ids, dtype=object), kind="stable")] = np.arange(len(ids))
+        order = np.lexsort((place[dst], -both, src))
+        src, dst, both = src[order], dst[order], both[order]
+        first = np.searchsorted(src, src)
+        top = np.arange(len(src)) - first < k
+        return [(ids[a], ids[b], s) for a, b, s in zip(src[top].tolist(), dst[top].tolist(), both[top].tolist())]
 
     def table(rows):
         cols = list(zip(*rows)) if rows else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["id", "other", "similarity"])
 
     def run(batches):
-        key, ids, cells, parts, blocks = None, [], [], [], []
+        key, ids, parts = None, [], []
 
         def close():
-            if key is None or len(ids) < 2:
+            if len(ids) < 2:
                 return []
-            found = cell_pairs(key, ids, cells, np.concatenate(parts))
-            if key[1] == key[2]:
-                return list(found)
-            block = dict(zip(ids, np.concatenate(blocks).tolist()))
-            return [(a, b, s) for a, b, s in found if block[a] != block[b]]
+            x, cells, blocks = (np.concatenate(c) for c in zip(*parts))
+            return best_of(key, ids, cells, blocks, x)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "p", "q")], axis=1)
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]])
-            x, block = _matrix(batch.column("vec")), batch.column("block").to_numpy()
-            names, lists = batch.column("id").to_pylist(), batch.column("cells").to_pylist()
+            x, names = _matrix(batch.column("vec")), batch.column("id").to_pylist()
+            cells = batch.column("cells").flatten().to_numpy().reshape(len(names), -1)
+            block = batch.column("block").to_numpy()
             for s, e in zip(cuts[:-1], cuts[1:]):
                 k_now = tuple(keys[s].tolist())
                 if k_now != key:
                     if rows := close():
                         yield table(rows)
-                    key, ids, cells, parts, blocks = k_now, [], [], [], []
+                    key, ids, parts = k_now, [], []
                 ids += names[s:e]
-                cells += lists[s:e]
-                parts.append(x[s:e])
-                blocks.append(block[s:e])
+                parts.append((x[s:e], cells[s:e], block[s:e]))
         yield table(close())
 
     return run
 
 
-def similar_vector_pairs(
+def cell_neighbours(
     unit: DataFrame,
     min_similarity: float,
     k: int = 5,
@@ -199,14 +217,15 @@ def similar_vector_pairs(
     projections: int = 16,
     threshold: int = 10,
 ) -> DataFrame:
-    """``a, b, similarity`` (each pair once) of the rows of ``id, vec`` with cosine ``>= min_similarity``.
+    """``id, other, similarity``: of the rows ``id, vec`` with a cosine of ``min_similarity`` or more, at least
+    the ``k`` most similar ones of each row.
 
     Windows over the whole table would hold a fixed share of all rows, so the table is first cut into cells:
     every vector goes to the ``probes`` cells with the most similar pivots. The pivots are fitted on at most
     about ``sample_rows`` rows, chosen by hash; every row is indexed. Inside a cell, collision counting
     proposes pairs (see :func:`collision_candidates`), and their cosine is computed exactly. A cell with
     more than ``max_cell_rows`` rows is cut into blocks, whose pairs are searched one by one, so no
-    row is left out. A pair is reported by the first cell both share.
+    row is left out. A cell passes on each row's best ``k`` only, so a dense group doesn't emit all its pairs.
     """
     n = unit.count()
     cells = min(MAX_CELLS, pieces(n, rows_per_cell))
@@ -214,7 +233,7 @@ def similar_vector_pairs(
     chosen = unit.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) == 0).select("vec").limit(2 * sample_rows).toArrow()
     sample = _matrix(chosen.column("vec").combine_chunks()) if chosen.num_rows else np.zeros((1, 1), dtype=np.float32)
     if n == 0:
-        return unit.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity"))
+        return unit.select("id", F.col("id").alias("other"), F.lit(0.0).alias("similarity"))
     pivots = fit_pivots(sample, cells)
     placed = unit.mapInArrow(_assign(pivots, probes), "id string, vec array<float>, cells array<int>")
     each = placed.select("id", "vec", "cells", F.explode("cells").alias("cell"))
@@ -224,11 +243,10 @@ def similar_vector_pairs(
     each = each.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "cells", "vec")
-    width = max(0.05, 1.33 * math.sqrt(2 - 2 * min_similarity))
+    width = max(0.05, WINDOW * math.sqrt(2 - 2 * min_similarity))
     search = _search_cells(min_similarity, k, projections, width, threshold)
     parts = max(2 * unit.sparkSession.sparkContext.defaultParallelism, pieces(n, 10_000))
-    found = each.repartition(parts, "cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(search, "a string, b string, similarity double")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return each.repartition(parts, "cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(search, "id string, other string, similarity double")
 
 
 def nearest_neighbours(vectors: DataFrame, id_col: str, vec_col: str, dim: int, min_similarity: float, k: int = 5, **search) -> DataFrame:
@@ -241,10 +259,9 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vec_col: str, dim: int,
     """
     unit = cut_lineage(usable_vectors(vectors, id_col, vec_col, dim))
     heads = cut_lineage(unit.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    pairs = cut_lineage(similar_vector_pairs(heads.select("id", "vec"), min_similarity, k, **search))
-    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other"), "similarity"))
+    both = cell_neighbours(heads.select("id", "vec"), min_similarity, k, **search).withColumnRenamed("id", "rep")
     best = Window.partitionBy("rep").orderBy(F.col("similarity").desc(), "other")
-    links = both.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= k).drop("i")
+    links = cut_lineage(both.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= k).drop("i"))
     # Groups of equal vectors: all members, and the first few that can be anybody's neighbours.
     groups = heads.filter("n > 1").select(F.xxhash64("vec").alias("h"), F.col("vec").alias("same"), F.col("id").alias("rep"), "n")
     members = cut_lineage(hot_split_join(unit.withColumn("h", F.xxhash64("vec")), groups, "h").filter("vec = same").select("rep", "id", "n"))

@@ -136,3 +136,17 @@ def test_small_group_shares_its_neighbours(spark):
     df = spark.createDataFrame([("a1", a.tolist()), ("a2", a.tolist()), ("b", b.tolist())], "id string, vec array<double>")
     got = {(r["id"], r["neighbour"]) for r in nearest_neighbours(df, "id", "vec", 64, 0.88).collect()}
     assert got == {("a1", "a2"), ("a2", "a1"), ("a1", "b"), ("a2", "b"), ("b", "a1"), ("b", "a2")}
+
+
+def test_dense_group_passes_on_only_the_nearest(spark):
+    from recallgrid.llm.neighbours import cell_neighbours
+
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    vectors = {f"g{i:03}": centre + 0.15 * rng.standard_normal(64) for i in range(300)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id string, vec array<double>")
+    unit = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in vectors.items()], "id string, vec array<float>")
+    assert cell_neighbours(unit, 0.88, 5, rows_per_cell=100).count() <= 300 * 5 * 5
+    want = {(i, j) for i, near in brute_neighbours(vectors, 5, 0.88).items() for j in near}
+    got = {(r["id"], r["neighbour"]) for r in nearest_neighbours(df, "id", "vec", 64, 0.88, rows_per_cell=100).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
