@@ -21,12 +21,11 @@ FUNCTION_WORDS = frozenset(
 )
 CLAUSE_ENDINGS = "다 요 까 죠 함 음 됨 것 자 네 라 줘 해 군 걸".split()
 
-_LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|\[\[[^\]\n]*\]\]|(?:https?://|www\.)[\w.~:/?#@!$&()*+;=%-]+|(?<!\w)#[^\s#,|、·★/]+", re.ASCII)
+_LINK = re.compile(r"<a\s[^<>]*>[^<]*</a>|\[[^\[\]\n]*\]\([^()\s]*\)|\[\[[^\[\]\n]*\]\]|(?:https?://|www\.)[\w.~:/?#@!$&()*+;=%-]+|(?<!\w)#[^\s#,|、·★/]+", re.ASCII)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _HANGUL = re.compile(r"[가-힣]")
 _LATIN = re.compile(r"[A-Za-z]")
-_CLOSES = re.compile(f"(?:{'|'.join(CLAUSE_ENDINGS)})$")
-_TRIM = re.compile(r"^[\W_]+|[\W_]+$")
+_CLOSING = tuple(CLAUSE_ENDINGS)
 _BREAK = re.compile(r"(?<=[.!?。！？])\s+")
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d(?::\d\d)?\b")
 _HEADING = re.compile(r"#{1,6} ")
@@ -49,10 +48,14 @@ def _varied(words: list[str]) -> bool:
 
 
 def is_sentence(text: str) -> bool:
-    core = _TRIM.sub("", _LINK.sub(" ", text))
+    core = _LINK.sub(" ", text)
+    end = len(core)
+    while end and not core[end - 1].isalnum():
+        end -= 1
+    core = core[:end]
     words = [w.lower() for w in _WORD.findall(core)]
     hangul, latin = len(_HANGUL.findall(core)), len(_LATIN.findall(core))
-    korean = len(words) >= 3 and hangul > 0 and _CLOSES.search(core) is not None
+    korean = len(words) >= 3 and hangul > 0 and core.endswith(_CLOSING)
     bound = [w for w in words if w in FUNCTION_WORDS]
     english = len(words) >= 4 and latin > hangul / 2 and len(bound) >= 0.2 * len(words)
     # Keyword templates repeat few function words; a sentence that returns to its subject has many.
@@ -106,7 +109,7 @@ def text_features(text: str) -> tuple:
     n = len(words)
     counts = np.array(list(Counter(words).values()), dtype=np.float64)
     order = 1 + float((counts / n * np.log(counts / n)).sum()) / np.log(n) if n > 1 else 0.0
-    bound = sum(w in FUNCTION_WORDS or _CLOSES.search(w) is not None for w in words)
+    bound = sum(w in FUNCTION_WORDS or w.endswith(_CLOSING) for w in words)
     hangul, latin = len(_HANGUL.findall(text)), len(_LATIN.findall(_LINK.sub(" ", text)))
     latin = latin or (0 if hangul else len(_LATIN.findall(text)))
     group = "none" if not hangul + latin else "ko" if hangul >= 3 * latin else "en" if latin >= 3 * hangul else "mixed"
