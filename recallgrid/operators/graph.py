@@ -133,8 +133,12 @@ def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int =
     edges = adj.select("etype", "src", "dst", "p").toArrow()
     graphs = {}
     etypes = edges.column("etype").to_numpy()
-    both = np.array([*edges.column("src").to_pylist(), *edges.column("dst").to_pylist()], dtype=object)
-    names, code = np.unique(both, return_inverse=True)
+    both = pa.chunked_array([*edges.column("src").chunks, *edges.column("dst").chunks], type=edges.schema.field("src").type).combine_chunks().dictionary_encode()
+    names = np.array(both.dictionary.to_pylist(), dtype=object)
+    order = np.argsort(names, kind="stable")
+    place = np.empty(len(names), dtype=np.int64)
+    place[order] = np.arange(len(names))
+    names, code = names[order], place[both.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
     src, dst, p = code[:n], code[n:], edges.column("p").to_numpy()
     for etype in np.unique(etypes).tolist():
         rows = np.flatnonzero(etypes == etype)
