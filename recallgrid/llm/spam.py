@@ -34,6 +34,7 @@ _SPACE = re.compile(r"\s")
 
 #: A link counts as at most so many characters: one long address doesn't outweigh the note it ends.
 LINK_CHARS = 24
+GROUPS = ("en", "ko", "mixed", "none")
 FEATURES = ("listed", "linked", "order", "repeated", "unbound")
 
 
@@ -141,18 +142,25 @@ def _distance(models: dict):
     return out
 
 
-def robust_scatter(features: DataFrame, rounds: int = 3, keep: float = 0.75, floor: float = 0.05) -> dict:
-    """Robust centre and scatter per group over all rows, by concentration steps.
+def robust_scatter(features: DataFrame, rounds: int = 3, keep: float = 0.5, floor: float = 0.05, greater_part: float = 0.5) -> dict:
+    """Robust centre and scatter per group of its ordinary rows, by concentration steps.
+
+    Rows listed for more than ``greater_part`` take no part, however many they are, and equal rows (to six
+    decimals) count once: neither a page's copies nor a source of such pages can draw the centre to themselves.
+    A group without ordinary rows gets the centre 0 and the least scatter.
 
     From medians and median deviations on, each round keeps the share ``keep`` of a group's rows with the
     smallest distances and takes their mean and covariance. ``floor`` is the least deviation of a feature,
     as most notes are all sentences. Only a handful of numbers per group (at most 4) reach the driver.
     """
     middle = lambda x: F.percentile_approx(x, 0.5, 10_000)
+    plain = {g: (np.zeros(len(FEATURES)), np.eye(len(FEATURES)) * floor**2) for g in GROUPS}
+    features = features.filter(F.col("listed") <= greater_part).select("group", *[F.round(f, 6).alias(f) for f in FEATURES])
+    features = cut_lineage(features.distinct())
     rows = features.groupBy("group").agg(*[middle(f).alias(f) for f in FEATURES]).collect()
     centres = {r["group"]: np.array([r[f] for f in FEATURES]) for r in rows}
     if not centres:
-        return {}
+        return plain
 
     def gap(i):
         out = None
@@ -175,7 +183,7 @@ def robust_scatter(features: DataFrame, rounds: int = 3, keep: float = 0.75, flo
             centre = np.array([r[f"m_{i}"] for i in range(len(FEATURES))])
             scatter = np.array([[r[f"s_{min(i, j)}_{max(i, j)}"] - centre[i] * centre[j] for j in range(len(FEATURES))] for i in range(len(FEATURES))])
             models[r["group"]] = (centre, scatter + np.eye(len(FEATURES)) * floor**2)
-    return models
+    return plain | models
 
 
 def spam_scores(documents: DataFrame, cutoff: float = 20.5, greater_part: float = 0.5) -> DataFrame:
@@ -183,21 +191,14 @@ def spam_scores(documents: DataFrame, cutoff: float = 20.5, greater_part: float
 
     ``spam`` holds if the document is an outlier of its language group (squared distance above ``cutoff``,
     the 99.9 % point of chi-square with 5 degrees of freedom) in a spam-directed direction: it is listed
-    more than the group's centre, and for the greater part. Logs or code may be far outliers as well, but
+    for the greater part. Logs or code may be far outliers as well, but
     in the direction of repetition alone. Null and blank texts, and null ids, are left out; repeated rows
-    are scored each; statistics cover all documents. Sentences are told by Korean clause endings and
+    are scored each; statistics cover all documents that aren't listed for the greater part. Sentences are told by Korean clause endings and
     English function words, whatever the column ``lang`` says.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
     schema = "doc_id long, group string, " + ", ".join(f"{f} double" for f in FEATURES)
     features = cut_lineage(spread(rows, "doc_id").mapInArrow(_featurise, schema))
-    models = robust_scatter(features)
-    if not models:
-        return features.select("*", F.lit(0.0).alias("distance"), F.lit(False).alias("spam"))
-    above = None
-    for group, (centre, _) in sorted(models.items()):
-        test = F.col("listed") > float(centre[0])
-        above = F.when(F.col("group") == group, test) if above is None else above.when(F.col("group") == group, test)
-    scored = features.withColumn("distance", _distance(models))
-    return scored.withColumn("spam", (F.col("distance") > cutoff) & above & (F.col("listed") > greater_part))
+    scored = features.withColumn("distance", _distance(robust_scatter(features, greater_part=greater_part)))
+    return scored.withColumn("spam", (F.col("distance") > cutoff) & (F.col("listed") > greater_part))

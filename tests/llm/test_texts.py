@@ -125,3 +125,15 @@ def test_spam(spark):
     assert {d for d, s in scored.items() if s and d < 3000} == {1000, 1001, 1002, 1003, 1004, 2000}
     assert 3000 not in scored and 3001 not in scored and None not in scored
     assert spam_scores(df.limit(0)).count() == 0 and spam_scores(df.filter("doc_id = 3000")).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.34, 0.7])
+def test_spam_that_fills_a_group(spark, share):
+    notes = [f"{NOTE_EN} We counted {i} boxes of it for the {'very ' * (i % 7)}large shelf." for i in range(100)]
+    page = "cheap lamp best lamp online lamp deal, " * 40
+    for pages in ([page] * 300, [page + f"lamp {chr(97 + i % 26)}{chr(97 + i // 26)} price, " * (i % 9) for i in range(300)]):
+        rows = [(i, t) for i, t in enumerate(notes)] + [(1000 + i, t) for i, t in enumerate(pages[: round(100 * share / (1 - share))])]
+        scored = spam_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"] for r in scored if r["spam"]} == {d for d, _ in rows if d >= 1000}
+    only = spam_scores(spark.createDataFrame([(i, page) for i in range(5)], "doc_id long, text string"))
+    assert only.filter("spam").count() == 5
