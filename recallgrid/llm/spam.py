@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ _HEADING = re.compile(r"#{1,6} ")
 _CHECKBOX = re.compile(r"[-*] \[[ xX]\] ")
 _SPACE = re.compile(r"\s")
 
-#: A link counts as at most so many characters: one long address doesn't outweigh the note it ends.
-LINK_CHARS = 24
+#: So many links are a list and count by their length. Fewer ones count as at most ``LINK_CHARS`` characters
+#: each: one long address doesn't outweigh the note it ends.
+LIST_LINKS, LINK_CHARS = 3, 24
 GROUPS = ("en", "ko", "mixed", "none")
 FEATURES = ("listed", "linked", "order", "repeated", "unbound")
 
@@ -98,13 +100,17 @@ def text_features(text: str) -> tuple:
     """
     size: Counter = Counter()
     linked = 0
-    for kind, part in segments(text):
-        links = [_length(m.group()) for m in _LINK.finditer(part)]
-        counted = sum(min(x, LINK_CHARS) for x in links)
-        # A few links belong to their sentence; a string of them is a list, whatever sentence it runs into.
-        size["listed" if len(links) >= 3 and kind == "sentence" else kind] += counted
-        size[kind] += max(0, _length(part) - sum(links))
-        linked += counted
+    # A block is what is listed without a sentence, record or heading between.
+    for listed, block in groupby(segments(text), key=lambda x: x[0] == "listed"):
+        parts = [(kind, part, [_length(m.group()) for m in _LINK.finditer(part)]) for kind, part in block]
+        together = sum(len(links) for _, _, links in parts)
+        for kind, part, links in parts:
+            many = (together if listed else len(links)) >= LIST_LINKS
+            counted = sum(links) if many else sum(min(x, LINK_CHARS) for x in links)
+            # A few links belong to their sentence; a string of them is a list, whatever sentence it runs into.
+            size["listed" if many and kind == "sentence" else kind] += counted
+            size[kind] += max(0, _length(part) - sum(links))
+            linked += counted
     whole = sum(size.values()) or 1
     words = [w.lower() for w in _WORD.findall(_LINK.sub(" ", text)) if not w.isdigit()]
     n = len(words)

@@ -137,3 +137,13 @@ def test_spam_that_fills_a_group(spark, share):
         assert {r["doc_id"] for r in scored if r["spam"]} == {d for d, _ in rows if d >= 1000}
     only = spam_scores(spark.createDataFrame([(i, page) for i in range(5)], "doc_id long, text string"))
     assert only.filter("spam").count() == 5
+
+
+def test_links_count_by_their_length():
+    note = (NOTE_EN + " ") * 3
+    links = [f"https://www.site{i}.example/" + "path/" * 8 for i in range(10)]
+    assert text_features(note + "\n" + "\n".join(links))[1] > 0.5
+    assert text_features(note + "\n" + " ".join(f'<a href="{x}">offer {i}</a>' for i, x in enumerate(links)))[1] > 0.5
+    commented = "\n".join(f"{x}\nWe kept this one because the {i} tables in it were right." for i, x in enumerate(links))
+    assert text_features(commented)[1] < 0.5
+    assert text_features(NOTE_EN + "\n" + links[0] + "a" * 500)[1] < 0.5
