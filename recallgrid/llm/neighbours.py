@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recallgrid.operators.skew import hot_split_join
-from recallgrid.session import cut_lineage, pieces
+from recallgrid.session import cut_lineage, numbered, pieces
 
 MAX_CELLS = 16_384
 #: Half a window's width against the radius it is to catch.
 WINDOW = 1.33
+#: Rows of a block's products, pairs kept until the best are taken, and twice the error of a product in single precision.
+ASKED_ROWS, TARGET_ROWS, MOST_WAITING, MARGIN = 256, 4_096, 2_000_000, np.float32(1e-5)
 
 
 def _unit_rows(dim: int):
@@ -249,17 +251,122 @@ def cell_neighbours(
     return each.repartition(parts, "cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(search, "id string, other string, similarity double")
 
 
-def nearest_neighbours(vectors: DataFrame, id_col: str, vec_col: str, dim: int, min_similarity: float, k: int = 5, **search) -> DataFrame:
+def _search_all(k: int):
+    """``seq, other, similarity``: the ``k`` most similar targets of each asked row, from rows sorted so that those
+    asked come first in a block. A product in single precision finds what may be among the best; its similarity
+    is then computed exactly. Of equal ones the smaller ``seq`` is taken."""
+
+    def best(i, j, similarity):
+        order = np.lexsort((j, -similarity, i))
+        i, j, similarity = i[order], j[order], similarity[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[top], j[top], similarity[top]
+
+    class Block:
+        def __init__(self, seq, x):
+            self.seq, self.x, self.least = seq, x, np.full(len(seq), -np.inf, dtype=np.float32)
+            self.found, self.waiting = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), []
+            self.held = 0
+
+        def settle(self):
+            self.found = best(*(np.concatenate(c) for c in zip(self.found, *self.waiting)))
+            self.waiting, self.held = [], 0
+            i, _, similarity = self.found
+            last = np.searchsorted(i, np.arange(len(self.seq)), side="right") - 1
+            full = np.bincount(i, minlength=len(self.seq)) >= k
+            self.least[full] = np.maximum(self.least[full], similarity[last[full]].astype(np.float32))
+
+        def meet(self, seq, x):
+            for s in range(0, len(self.seq), ASKED_ROWS):
+                scores = self.x[s : s + ASKED_ROWS] @ x.T
+                least = self.least[s : s + ASKED_ROWS]
+                if len(seq) > k and np.isneginf(least).any():
+                    # One of the best k + 1 may be the row itself.
+                    np.maximum(least, np.partition(scores, len(seq) - k - 1, axis=1)[:, len(seq) - k - 1], out=least)
+                hit = np.flatnonzero(scores >= (least - MARGIN)[:, None])
+                i, j = hit // len(seq) + s, hit % len(seq)
+                other = self.seq[i] != seq[j]
+                i, j = i[other], j[other]
+                similarity = np.empty(len(i))
+                for a in range(0, len(i), 100_000):
+                    e = slice(a, a + 100_000)
+                    similarity[e] = np.einsum("ij,ij->i", self.x[i[e]], x[j[e]], dtype=np.float64)
+                self.waiting.append((i, seq[j], similarity))
+                self.held += len(i)
+                if self.held > MOST_WAITING:
+                    self.settle()
+
+        def rows(self):
+            self.settle()
+            i, j, similarity = self.found
+            return pa.RecordBatch.from_arrays([pa.array(self.seq[i]), pa.array(j), pa.array(similarity)], names=["seq", "other", "similarity"])
+
+    def run(batches):
+        block, number, asked, targets = None, None, [], []
+
+        def joined(parts):
+            return tuple(np.concatenate(c) for c in zip(*parts))
+
+        def meet():
+            nonlocal block, asked, targets
+            if asked:
+                block, asked = Block(*joined(asked)), []
+            if targets and block is not None:
+                block.meet(*joined(targets))
+            targets = []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "target")], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]])
+            x, seq = _matrix(batch.column("vec")), batch.column("seq").to_numpy()
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if keys[s, 0] != number:
+                    meet()
+                    if block is not None:
+                        yield block.rows()
+                    block, number = None, keys[s, 0]
+                (targets if keys[s, 1] else asked).append((seq[s:e], x[s:e]))
+                if sum(len(t[0]) for t in targets) >= TARGET_ROWS:
+                    meet()
+        meet()
+        if block is not None:
+            yield block.rows()
+
+    return run
+
+
+def all_neighbours(unit: DataFrame, k: int = 5, block_rows: int = 25_000) -> DataFrame:
+    """``id, other, similarity``: the ``k`` most similar other rows of each of the rows ``id, vec``, however far.
+
+    Exact, by the blocked product of all rows with all rows: each block of about ``block_rows`` rows is held by
+    a task that streams the whole table past it. Work grows with the square of the rows.
+    """
+    rows = cut_lineage(numbered(unit, "id"))
+    n = rows.count()
+    blocks = max(pieces(n, block_rows), min(unit.sparkSession.sparkContext.defaultParallelism, pieces(n, 500)))
+    asked = rows.select(F.pmod("seq", F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("target"), "seq", "vec")
+    targets = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("target"), "seq", "vec")
+    meeting = asked.unionByName(targets).repartitionById(blocks, "block").sortWithinPartitions("block", "target")
+    found = meeting.mapInArrow(_search_all(k), "seq long, other long, similarity double")
+    found = found.join(rows.select("seq", "id"), "seq")
+    return found.join(rows.select(F.col("seq").alias("other"), F.col("id").alias("name")), "other").select("id", F.col("name").alias("other"), "similarity")
+
+
+def nearest_neighbours(vectors: DataFrame, id_col: str, vec_col: str, dim: int, min_similarity: float | None, k: int = 5, **search) -> DataFrame:
     """``id, neighbour, similarity, place``: the ``k`` most similar vectors of other ids for each id.
 
     Only vectors with ``dim`` finite values, not all zero, take part, one per id; only neighbours with a
-    cosine of ``min_similarity`` or more come out, of equal ones the smaller id first. Equal vectors are
+    cosine of ``min_similarity`` or more come out, of equal ones the smaller id first. Without a
+    ``min_similarity`` every id gets its ``k`` neighbours, by :func:`all_neighbours`. Equal vectors are
     searched once: their ids are each other's neighbours with similarity 1, and they share the
     neighbours of the one that stands for them. An empty table gives no rows.
     """
     unit = cut_lineage(usable_vectors(vectors, id_col, vec_col, dim))
     heads = cut_lineage(unit.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    both = cell_neighbours(heads.select("id", "vec"), min_similarity, k, **search).withColumnRenamed("id", "rep")
+    single = heads.select("id", "vec")
+    both = (all_neighbours(single, k, **search) if min_similarity is None else cell_neighbours(single, min_similarity, k, **search)).withColumnRenamed("id", "rep")
     best = Window.partitionBy("rep").orderBy(F.col("similarity").desc(), "other")
     links = cut_lineage(both.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= k).drop("i"))
     # Groups of equal vectors: all members, and the first few that can be anybody's neighbours.

@@ -65,7 +65,7 @@ def p6_pairs(spark, sf_dir):
 
 
 def p7_neighbours(spark, sf_dir):
-    out = nearest_neighbours(read_table(spark, sf_dir, "vectors"), "node_id", "vec", 64, min_similarity=0.88, k=5)
+    out = nearest_neighbours(read_table(spark, sf_dir, "vectors"), "node_id", "vec", 64, min_similarity=None, k=5)
     return out.select(F.col("id").alias("node_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "place")
 
 

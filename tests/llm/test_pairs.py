@@ -150,3 +150,20 @@ def test_dense_group_passes_on_only_the_nearest(spark):
     want = {(i, j) for i, near in brute_neighbours(vectors, 5, 0.88).items() for j in near}
     got = {(r["id"], r["neighbour"]) for r in nearest_neighbours(df, "id", "vec", 64, 0.88, rows_per_cell=100).collect()}
     assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+
+
+@pytest.mark.parametrize("block_rows", [150, 25_000])
+def test_every_vector_gets_its_neighbours(spark, block_rows, monkeypatch):
+    from recallgrid.llm import neighbours as module
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 16))
+    vectors = {f"v{i}": [float(np.float32(c)) for c in v] for i, v in enumerate(x)}
+    rows = list(vectors.items()) + [(f"copy{i}", vectors["v7"]) for i in range(2)] + [("none", None)]
+    vectors |= {f"copy{i}": vectors["v7"] for i in range(2)}
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    monkeypatch.setattr(module, "MOST_WAITING", 1_000)
+    got = {}
+    for r in nearest_neighbours(df, "id", "v", 16, None, k=5, block_rows=block_rows).orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == brute_neighbours(vectors, 5, -1.0)
