@@ -21,8 +21,8 @@ class Config:
     suffix_strip: bool = True
     cross_space: bool = True
     title_boost: float = 2.0
-    max_doc_tokens: int = 2048
-    max_query_tokens: int = 256
+    max_doc_tokens: int | None = None
+    max_query_tokens: int | None = None
     bm25_seed_k: int = 24
     vector_seed_k: int = 24
     bm25_k1: float = 1.2
@@ -55,7 +55,7 @@ class Config:
     def __post_init__(self):
         least = {"dim": 1, "vocab_size": 2, "hidden": 1, "top_k": 1, "max_doc_tokens": 1, "max_query_tokens": 1, "knn_sample_cap": 1}
         for name, bound in least.items():
-            if getattr(self, name) < bound:
+            if getattr(self, name) is not None and getattr(self, name) < bound:
                 raise ValueError(f"{name} must be at least {bound}")
         for name in ("epsilon", "trust_helpful", "trust_unhelpful"):
             if not 0 <= getattr(self, name) <= 1:
@@ -82,6 +82,8 @@ def _convert(text: str, like):
         return text.strip().lower() in {"1", "true", "yes", "on"}
     if isinstance(like, tuple):
         return tuple(map(int, text.replace(",", " ").split()))
+    if like is None:
+        return int(text) if text.strip().lower() not in {"", "none"} else None
     return type(like)(text)
 
 

@@ -65,7 +65,7 @@ class MemoryEngine:
                 self._table = self.spark.sparkContext.broadcast(dense.matrix(rows.column("vec")).astype(np.float32))
         return self._table
 
-    def _embed(self, rows: DataFrame, limit: int) -> DataFrame:
+    def _embed(self, rows: DataFrame, limit: int | None) -> DataFrame:
         c = self.config
         return dense.hash_embed(rows, c.vocab_size, c.dim, c.seed, limit, self._embedder())
 
@@ -186,7 +186,7 @@ class MemoryEngine:
         walks = cut_lineage(graph.pagerank(adj, rrf.withColumnRenamed("rrf", "score"), c.ppr_alpha, c.ppr_iters, others=c.graph_expand_k))
         chosen = rrf.select("qid", "node_id").unionByName(graph.expansion(walks, rrf, c.graph_expand_k).select("qid", "node_id"))
         bm25 = lexical.bm25_of(chosen, *corpus, **form)
-        words = F.udf(lambda t, korean: [w for w in lexical_tokens(t or "", sizes=c.char_ngrams if korean else (), strip=c.suffix_strip, cross=korean and c.cross_space, limit=256 if korean else 32) if len(w) > 1], "array<string>", useArrow=True)
+        words = F.udf(lambda t, korean: [w for w in lexical_tokens(t or "", sizes=c.char_ngrams if korean else (), strip=c.suffix_strip, cross=korean and c.cross_space, limit=c.max_query_tokens if korean else None) if len(w) > 1], "array<string>", useArrow=True)
         chosen = chosen.join(queries.select("qid", words("text", F.lit(True)).alias("q_words")), "qid")
         nodes = self.store.read("nodes").withColumn("title_words", words("title", F.lit(False)))
         return features.candidate_features(chosen, bm25, cosine, rrf, walks, nodes, now, F.arrays_overlap("q_words", "title_words"))

@@ -16,7 +16,7 @@ STOPWORDS = "the a an of to and is in it i you".split()
 JAMO_MARK, CROSS_MARK = "ⱼ", "ₓ"
 NEGATIONS = ["않", "안 ", "안된", "안 된", "안됨", "못 ", "못한", "못함", "없", "아니", "불가", "금지", "말 것", "실패"]
 NEGATIONS += ["not ", "no ", "never", "don't", "doesn't", "can't", "cannot", "won't", "broken", "fails", "failed", "disabled", "unavailable"]
-SCAN_CHARS, WORD_CHARS, LONG_NUMBER = 500_000, 128, 6
+WORD_CHARS, LONG_NUMBER = 128, 6
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 _WORD = re.compile(r"[\w']+")
@@ -29,7 +29,7 @@ def normalize(text: str) -> str:
 
 
 def words(text: str):
-    for word in _WORD.findall(normalize(text[:SCAN_CHARS])):
+    for word in _WORD.findall(normalize(text)):
         if word not in _STOP and not (len(word) > LONG_NUMBER and word.isdigit()):
             yield word[:WORD_CHARS]
 
@@ -61,13 +61,18 @@ def _lexical(text: str, sizes, strip: bool, cross: bool):
     yield from crossing
 
 
-def lexical_tokens(text: str, sizes=(2,), strip: bool = True, cross: bool = True, limit: int = 2048) -> list[str]:
+def lexical_stream(text: str, sizes=(2,), strip: bool = True, cross: bool = True, limit: int | None = None):
     """Words, stems, syllable bigrams (trigrams for other scripts), and bigrams across the blanks of a run of
-    Hangul words, which follow the first word after the run."""
-    return list(islice(_lexical(text, sizes, strip, cross), limit))
+    Hangul words, which follow the first word after the run; of the whole text, or its first ``limit``."""
+    return islice(_lexical(text, sizes, strip, cross), limit)
 
 
-def embed_tokens(text: str, sizes=(2,), jamo_sizes=(3, 5), strip: bool = True, limit: int = 2048) -> list[str]:
+def lexical_tokens(text: str, sizes=(2,), strip: bool = True, cross: bool = True, limit: int | None = None) -> list[str]:
+    """:func:`lexical_stream` as a list."""
+    return list(lexical_stream(text, sizes, strip, cross, limit))
+
+
+def embed_tokens(text: str, sizes=(2,), jamo_sizes=(3, 5), strip: bool = True, limit: int | None = None) -> list[str]:
     """The lexical stream without crossing bigrams, then padded jamo n-grams of the Hangul words."""
     marked = (JAMO_MARK + g for w in words(text) if has_hangul(w) for g in grams(jamo(w, pad=True), jamo_sizes))
     return list(islice(chain(_lexical(text, sizes, strip, False), marked), limit))
@@ -92,7 +97,7 @@ def words_column(text: Column) -> Column:
 
     It agrees where NFKC and case folding change nothing but letter case (so on plain Korean and English).
     """
-    found = F.regexp_extract_all(F.lower(F.substring(text, 1, SCAN_CHARS)), F.lit(WORD_CLASS), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(WORD_CLASS), F.lit(0))
     kept = F.filter(found, lambda w: ~w.isin(STOPWORDS) & ~((F.length(w) > LONG_NUMBER) & w.rlike(r"^\p{Nd}+$")))
     return F.transform(kept, lambda w: F.substring(w, 1, WORD_CHARS))
 

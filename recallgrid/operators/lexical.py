@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.functions.text import lexical_tokens
+from recallgrid.functions.text import lexical_stream
 from recallgrid.operators.fusion import top_k
 from recallgrid.session import shuffle_width, spread
 
@@ -19,12 +19,12 @@ from recallgrid.session import shuffle_width, spread
 MOST_BROADCAST_TERMS = 500_000
 
 
-def postings(docs: DataFrame, title_boost: float = 2.0, limit: int = 2048, title_limit: int = 64, only: set[str] | None = None, **tokens) -> DataFrame:
+def postings(docs: DataFrame, title_boost: float = 2.0, limit: int | None = None, title_limit: int | None = None, only: set[str] | None = None, **tokens) -> DataFrame:
     """``term, node_id, n, tf, doc_len`` of ``docs(node_id, body, title)``, without a shuffle.
 
     With ``only``, a batch of queries' terms, just these come out, and a row per document with a null term.
 
-    ``n`` counts the term in the body's first ``limit`` tokens, ``tf`` is ``1 + ln n`` plus ``title_boost - 1``
+    ``n`` counts the term in the whole body (or its first ``limit`` tokens), ``tf`` is ``1 + ln n`` plus ``title_boost - 1``
     for a term of the title (which the body is expected to contain), ``doc_len`` the body's tokens. Null or
     empty bodies give no rows.
     """
@@ -33,16 +33,16 @@ def postings(docs: DataFrame, title_boost: float = 2.0, limit: int = 2048, title
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for node, body, title in zip(*(batch.column(c).to_pylist() for c in ("node_id", "body", "title"))):
-                stream = lexical_tokens(body or "", limit=limit, **tokens)
-                counts = Counter(stream)
+                counts = Counter(lexical_stream(body or "", limit=limit, **tokens))
+                length = counts.total()
                 weights = {t: 1.0 + log(n) for t, n in counts.items()}
                 if title and title_boost > 1:
-                    for t in set(lexical_tokens(title, limit=title_limit, **tokens)):
+                    for t in set(lexical_stream(title, limit=title_limit, **tokens)):
                         weights[t] = weights.get(t, 0.0) + title_boost - 1
                 if only is not None:
                     weights = {t: w for t, w in weights.items() if t in only} | {None: 0.0}
                 for term, tf in weights.items():
-                    for column, value in zip(out, (term, node, counts.get(term, 0), tf, len(stream))):
+                    for column, value in zip(out, (term, node, counts.get(term, 0), tf, length)):
                         column.append(value)
             kinds = (pa.string(), batch.schema.field("node_id").type, pa.int32(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["term", "node_id", "n", "tf", "doc_len"])
@@ -52,7 +52,7 @@ def postings(docs: DataFrame, title_boost: float = 2.0, limit: int = 2048, title
     return rows.mapInArrow(run, f"term string, node_id {kind}, n int, tf double, doc_len int")
 
 
-def query_terms(queries: DataFrame, limit: int = 256, **tokens) -> DataFrame:
+def query_terms(queries: DataFrame, limit: int | None = None, **tokens) -> DataFrame:
     """``qid, term, weight`` of ``queries(qid, text)``; a term's weight is ``1 + ln`` of its count in the query."""
     rows = queries.select(F.col("qid").alias("node_id"), F.col("text").alias("body"), F.lit("").alias("title"))
     terms = postings(rows, title_boost=1.0, limit=limit, **tokens)

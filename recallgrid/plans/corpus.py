@@ -28,6 +28,8 @@ QUERY_TEXTS = {
     "q9": "여권 비자 환율",
     "q10": "nothing zzqqyyxx",
 }
+#: The caps that these queries' SQL states; the operators and the engine have none by default.
+SQL_TOKENS = 2048
 ENTITIES = ["서버", "비용", "보일러"]
 
 
@@ -59,7 +61,7 @@ def tok_words(spark, sf_dir):
 
 def tok_filters(spark, sf_dir):
     """Words that carry no signal, per kind of reason."""
-    found = F.regexp_extract_all(F.lower(F.substring("text", 1, text.SCAN_CHARS)), F.lit(text.WORD_CLASS), F.lit(0))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(text.WORD_CLASS), F.lit(0))
     w = _texts(spark, sf_dir).select(F.explode(found).alias("w"))
     stop, number = F.col("w").isin(text.STOPWORDS), (F.length("w") > text.LONG_NUMBER) & F.col("w").rlike(r"^\p{Nd}+$")
     return w.groupBy(F.when(stop, "stopword").when(number, "long number").otherwise("kept").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -72,7 +74,7 @@ def tok_char_ngrams(spark, sf_dir):
 
 
 def tok_lexical_counts(spark, sf_dir):
-    terms = postings(_plain(spark, sf_dir), title_boost=1.0)
+    terms = postings(_plain(spark, sf_dir), title_boost=1.0, limit=SQL_TOKENS)
     return terms.groupBy("term").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -81,19 +83,19 @@ def ko_cross_space(spark, sf_dir):
 
 
 def doc_len(spark, sf_dir):
-    rows = postings(_plain(spark, sf_dir), title_boost=1.0)
+    rows = postings(_plain(spark, sf_dir), title_boost=1.0, limit=SQL_TOKENS)
     return rows.groupBy(F.col("node_id").alias("doc_id")).agg(F.max("doc_len").alias("doc_len"))
 
 
 def tf_sublinear(spark, sf_dir):
-    rows = postings(_plain(spark, sf_dir), title_boost=1.0)
+    rows = postings(_plain(spark, sf_dir), title_boost=1.0, limit=SQL_TOKENS)
     return rows.select(F.col("node_id").alias("doc_id"), "term", F.round("tf", 6).alias("tf"))
 
 
 def title_boost_tf(spark, sf_dir):
     """Weights of the terms of titled notes."""
     bodies = _bodies(spark, sf_dir).filter("title <> ''")
-    return postings(bodies).groupBy(F.col("node_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("tf"), 5).alias("tf_sum"))
+    return postings(bodies, limit=SQL_TOKENS, title_limit=64).groupBy(F.col("node_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("tf"), 5).alias("tf_sum"))
 
 
 def df_idf(spark, sf_dir):
@@ -103,9 +105,9 @@ def df_idf(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, queries):
-    terms = cut_lineage(query_terms(queries))
+    terms = cut_lineage(query_terms(queries, limit=256))
     asked = {r["term"] for r in terms.select("term").distinct().collect()}  # the fixed query texts' terms
-    rows = cut_lineage(postings(_plain(spark, sf_dir), title_boost=1.0, only=asked))
+    rows = cut_lineage(postings(_plain(spark, sf_dir), title_boost=1.0, limit=SQL_TOKENS, only=asked))
     lengths = rows.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean")).first()
     return bm25(terms, rows.filter("term is not null"), max(1, lengths["n"]), max(1.0, lengths["mean"] or 0.0))
 

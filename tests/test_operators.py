@@ -284,3 +284,15 @@ def test_ring_and_dictionary(spark):
 def test_numbered(spark):
     df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "x long")
     assert all(r["x"] == r["seq"] for r in numbered(df, "x").collect())
+
+
+def test_long_texts_count_whole(spark):
+    body = " ".join(f"word{i % 700}" for i in range(6_000)) + " lastly"
+    docs = spark.createDataFrame([("long", body, ""), ("huge", "ab " * 200_000 + "tail", "")], "node_id string, body string, title string")
+    rows = {(r["node_id"], r["term"]): r for r in lexical.postings(docs, title_boost=1.0).collect()}
+    assert rows["long", "word5"]["n"] == 9 and rows["long", "lastly"]["n"] == 1 and rows["huge", "tail"]["n"] == 1
+    assert rows["huge", "ab"]["n"] == 200_000 and rows["huge", "ab"]["doc_len"] == 200_003
+    asked = spark.createDataFrame([("q", body)], "qid string, text string")
+    assert lexical.query_terms(asked).filter("term = 'lastly'").count() == 1
+    table = dense.initial_table(256, 16)
+    assert not np.allclose(dense.embed_text(body, table), dense.embed_text(body.replace("lastly", "zebra giraffe"), table), atol=1e-7)
