@@ -234,20 +234,16 @@ class MemoryEngine:
         best = fusion.top_k(scored.withColumn("all", F.lit(0)), c.top_k if top_k is None else top_k, by="all")
         return best.join(self.store.read("nodes").select("node_id", "title", "kind"), "node_id", "left").select("node_id", "score", "title", "kind", F.array(F.lit(f"join:{mode}")).alias("sources"))
 
-    def contradictions(self, ids: DataFrame, top_k: int = 5, min_score: float = 0.15, candidates: int = 64) -> DataFrame:
-        """Conflicts of the nodes ``ids(node_id)`` with those most like them in wording."""
+    def contradictions(self, ids: DataFrame, top_k: int = 5, min_score: float = 0.15) -> DataFrame:
+        """Conflicts of the nodes ``ids(node_id)`` with all others that share words with them."""
         c = self.config
         words = F.udf(lambda t: list(dict.fromkeys(w for w in lexical_tokens(t or "", sizes=(), strip=c.suffix_strip, cross=False, limit=c.max_doc_tokens) if len(w) > 1)), "array<string>", useArrow=True)
         texts = self.store.read("nodes").select("node_id", "title").join(self.store.read("texts"), "node_id", "left")
         texts = texts.select("node_id", F.coalesce("body", "title", F.lit("")).alias("body")).filter("body <> ''")
         sets = cut_lineage(texts.select("node_id", words("body").alias("words"), has_negation(F.col("body")).alias("negated"), "body"))
         asked = sets.join(ids.select("node_id").distinct(), "node_id", "left_semi")
-        n, mean = lexical.corpus_stats(self.store.read("nodes"), "text_len")
-        terms = asked.select(F.col("node_id").alias("qid"), F.explode("words").alias("term"), F.lit(1.0).alias("weight"))
-        index = self.store.read("postings")
-        df = cut_lineage(lexical.document_frequency(terms, index))
-        hits = lexical.bm25_top_k(terms, index, df, n, mean, candidates + 1, c.bm25_k1, c.bm25_b).filter("qid <> node_id").drop("rank")
-        best = fusion.top_k(hits, candidates).select(F.col("qid").alias("node_id"), F.col("node_id").alias("other_id"))
+        # A score is at most 2.5 times the jaccard.
+        best = hygiene.overlapping(asked, sets.select(F.col("node_id").alias("other_id"), "words"), max(0.0, min_score) / 2.5)
         vectors = self._embed(sets.select("node_id", "body"), c.max_doc_tokens)
         mine = asked.join(vectors, "node_id").select("node_id", "words", "negated", "vec")
         other = sets.join(vectors, "node_id").select(F.col("node_id").alias("other_id"), F.col("words").alias("other_words"), F.col("negated").alias("other_negated"), F.col("vec").alias("other_vec"))

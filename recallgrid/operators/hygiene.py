@@ -11,6 +11,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def overlapping(asked: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``node_id, other_id`` of all rows of ``asked(node_id, words)`` and other rows of ``sets(other_id, words)`` with a
+    jaccard of ``least`` or more (and a common word), by an inverted index over the words; words don't repeat."""
+    one = asked.select("node_id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    two = sets.select("other_id", F.size("words").alias("m"), F.explode("words").alias("w"))
+    hits = one.join(two, "w").filter("node_id <> other_id").groupBy("node_id", "other_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return hits.filter(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")) >= least - 1e-9).select("node_id", "other_id")
+
+
 def contradiction_score(overlap: Column, cosine: Column, flip: Column) -> Column:
     return overlap * (F.greatest(F.lit(0.0), 1 - cosine) + F.when(flip, 0.5).otherwise(0.0))
 

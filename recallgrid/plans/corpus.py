@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions import hangul, perturb, text
 from recallgrid.operators.fusion import top_k
-from recallgrid.operators.hygiene import contradictions, jaccard
+from recallgrid.operators.hygiene import contradictions, overlapping
 from recallgrid.operators.joins import related_to_all, related_to_any, relatedness
 from recallgrid.operators.lexical import bm25, corpus_stats, postings, query_terms
 from recallgrid.session import cut_lineage, read_table
@@ -29,7 +29,8 @@ QUERY_TEXTS = {
     "q10": "nothing zzqqyyxx",
 }
 #: The caps that these queries' SQL states; the operators and the engine have none by default.
-SQL_TOKENS = 2048
+SQL_TOKENS, SQL_CANDIDATES = 2048, 64
+LEAST_CONFLICT = 0.15
 ENTITIES = ["서버", "비용", "보일러"]
 
 
@@ -139,18 +140,24 @@ def _word_sets(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", words.alias("words"), text.has_negation(F.col("text")).alias("negated"))
 
 
-def contradiction_pairs(spark, sf_dir):
-    """Conflicts of the documents whose id is divisible by 100 (the stated query set) with all others."""
+def contradiction_pairs(spark, sf_dir, candidates: int | None = SQL_CANDIDATES):
+    """Conflicts of the documents whose id is divisible by 100 (the stated query set) with all others, or with the
+    ``candidates`` that share the most words with each."""
     sets = cut_lineage(_word_sets(spark, sf_dir))
     asked = sets.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("node_id"), F.col("words"), "negated")
-    # The inverted index over words gives the candidates; the overlap ranks them.
-    hits = asked.select("node_id", F.explode("words").alias("w")).join(sets.select(F.col("doc_id").alias("other_id"), F.explode("words").alias("w")), "w")
-    shared = hits.filter("node_id <> other_id").groupBy("node_id", "other_id").agg(F.count(F.lit(1)).alias("score"))
-    best = top_k(shared, 64, by="node_id", tie="other_id").select("node_id", "other_id")
+    others = sets.select(F.col("doc_id").alias("other_id"), "words")
+    if candidates is None:
+        # A score is at most 1.5 times the jaccard, as the cosine isn't negative here.
+        best = overlapping(asked, others, LEAST_CONFLICT / 1.5)
+    else:
+        # The inverted index over words gives the candidates; the overlap ranks them.
+        hits = asked.select("node_id", F.explode("words").alias("w")).join(others.select("other_id", F.explode("words").alias("w")), "w")
+        shared = hits.filter("node_id <> other_id").groupBy("node_id", "other_id").agg(F.count(F.lit(1)).alias("score"))
+        best = top_k(shared, candidates, by="node_id", tie="other_id").select("node_id", "other_id")
     other = sets.select(F.col("doc_id").alias("other_id"), F.col("words").alias("other_words"), F.col("negated").alias("other_negated"))
     pairs = best.join(asked, "node_id").join(other, "other_id")
     cosine = F.size(F.array_intersect("words", "other_words")) / F.sqrt(F.size("words") * F.size("other_words"))
-    return contradictions(pairs.withColumn("cosine", cosine))
+    return contradictions(pairs.withColumn("cosine", cosine), min_score=LEAST_CONFLICT)
 
 
 def negation_flags(spark, sf_dir):

@@ -85,3 +85,21 @@ def test_handles(spark, tmp_path):
 
     with MemoryEngine.open(spark, str(tmp_path / "h"), dim=16, vocab_size=256, epsilon=0.0) as e:
         asyncio.run(use(e))
+
+
+def test_contradictions_of_a_short_note_among_long_ones(spark, tmp_path):
+    short = "gateway works backend"
+    rows = [("x", short)] + [(f"a{i:03}", (short + " ") * 30 + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(90)] + [("z", "gateway never works backend")]
+    with MemoryEngine.open(spark, str(tmp_path / "s"), dim=16, vocab_size=256) as e:
+        e.index(spark.createDataFrame(rows, "node_id string, text string"), now=1e9)
+        found = e.contradictions(spark.createDataFrame([("x",)], "node_id string")).collect()
+        assert max(found, key=lambda r: r["score"])["other_id"] == "z"
+
+
+def test_contradiction_pairs_without_a_cap(spark, tmp_path):
+    from recallgrid.plans.corpus import contradiction_pairs
+
+    short = "gateway works backend"
+    rows = [(0, short)] + [(i, short + " " + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(1, 91)] + [(99, "gateway never works backend")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r["node_id"], r["other_id"]) for r in contradiction_pairs(spark, str(tmp_path), candidates=None).collect()] == [(0, 99)]
