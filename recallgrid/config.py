@@ -33,7 +33,7 @@ class Config:
     top_k: int = 8
     knn_edges: int = 6
     knn_min_sim: float = 0.25
-    knn_sample_cap: int = 4096
+    knn_sample_cap: int | None = None
     tag_fanout: int = 6
     hebb_eta: float = 0.3
     hebb_decay: float = 0.9

@@ -130,9 +130,10 @@ class MemoryEngine:
         link = fresh.select(F.col("node_id").alias("src"), F.explode(F.array_distinct("links")).alias("dst")).filter("dst <> src")
         tag = graph.tag_edges(nodes.select("seq", "node_id", "tags"), c.tag_fanout).join(ids, "src", "left_semi")
         first = fresh.agg(F.min("seq")).first()[0]
-        near = vectors.join(nodes.filter(F.col("seq") >= first - c.knn_sample_cap).select("node_id", "seq"), "node_id")
+        reached = nodes if c.knn_sample_cap is None else nodes.filter(F.col("seq") >= first - c.knn_sample_cap)
+        near = vectors.join(reached.select("node_id", "seq"), "node_id")
         near = dense.well_formed(near, c.dim)
-        knn = dense.knn_edges(near, c.knn_edges, c.knn_min_sim, c.knn_sample_cap).join(ids, "src", "left_semi")
+        knn = dense.knn_edges(near, c.knn_edges, c.knn_min_sim, c.knn_sample_cap, since=first).join(ids, "src", "left_semi")
         typed = lambda rows, etype, w: rows.select("src", "dst", F.lit(etype).alias("etype"), w.alias("w"), F.lit(now).alias("updated"))
         return typed(link, graph.LINK, F.lit(1.0)).unionByName(typed(tag, graph.TAG, F.col("w"))).unionByName(typed(knn, graph.KNN, F.col("w")))
 

@@ -296,3 +296,17 @@ def test_long_texts_count_whole(spark):
     assert lexical.query_terms(asked).filter("term = 'lastly'").count() == 1
     table = dense.initial_table(256, 16)
     assert not np.allclose(dense.embed_text(body, table), dense.embed_text(body.replace("lastly", "zebra giraffe"), table), atol=1e-7)
+
+
+@pytest.mark.parametrize("since", [None, 4_400])
+def test_knn_edges_reach_all_earlier_rows(spark, since, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4_500, 8)).astype(np.float32)
+    x[4_450], x[4_499] = x[3], x[3]
+    df = spark.createDataFrame([(i, f"n{i}", v.tolist()) for i, v in enumerate(x)], "seq long, node_id string, vec array<float>")
+    got = {}
+    for r in dense.knn_edges(df, k=3, min_similarity=0.1, since=since).filter("int(substr(src, 2)) >= 4400").orderBy("src", F.desc("w")).collect():
+        got.setdefault(int(r["src"][1:]), set()).add(int(r["dst"][1:]))
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert got == {i: set(np.argsort(-np.round(u[:i] @ u[i], 12), kind="stable")[:3].tolist()) for i in range(4_400, 4_500)}
+    assert {3, 4_450} <= got[4_499] and dense.knn_edges(df.limit(0)).count() == 0
