@@ -12,7 +12,7 @@ PREFIX = "RECALLGRID_"
 @dataclass(frozen=True)
 class Config:
     store_text: bool = True
-    store_text_maxlen: int = 4000
+    store_text_maxlen: int | None = None
     vocab_size: int = 65_536
     dim: int = 256
     seed: int = 41

@@ -113,7 +113,8 @@ class MemoryEngine:
         own = old.filter(F.col("etype") != graph.COACCESS).join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi")
         old = old.join(own.select("src", "dst", "etype"), ["src", "dst", "etype"], "left_anti")
         taught = fresh.filter("teacher_vec is not null").select("node_id", F.col("teacher_model").alias("model"), F.col("teacher_vec").alias("vec"))
-        texts = fresh.select("node_id", F.substring("body", 1, c.store_text_maxlen).alias("body"))
+        kept_text = F.col("body") if c.store_text_maxlen is None else F.substring("body", 1, c.store_text_maxlen)
+        texts = fresh.select("node_id", kept_text.alias("body"))
         changed = {
             "nodes": all_nodes,
             "postings": tables.merge(self.store.read("postings", base), index.select("term", "node_id", "tf", "doc_len"), ["node_id"]),

@@ -103,3 +103,12 @@ def test_contradiction_pairs_without_a_cap(spark, tmp_path):
     rows = [(0, short)] + [(i, short + " " + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(1, 91)] + [(99, "gateway never works backend")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r["node_id"], r["other_id"]) for r in contradiction_pairs(spark, str(tmp_path), candidates=None).collect()] == [(0, 99)]
+
+
+def test_long_bodies_are_stored_whole(spark, tmp_path):
+    body = "the payment gateway works with the new backend service " * 90
+    with MemoryEngine.open(spark, str(tmp_path / "l"), dim=16, vocab_size=256) as e:
+        e.index(spark.createDataFrame([("x", body), ("y", body + "but never on sundays")], "node_id string, text string"), now=1e9)
+        assert e.get_text(spark.createDataFrame([("y",)], "node_id string")).first()["body"] == body + "but never on sundays"
+        found = e.contradictions(spark.createDataFrame([("x",)], "node_id string")).collect()
+        assert [r["other_id"] for r in found] == ["y"] and found[0]["negation_flip"]
