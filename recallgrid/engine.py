@@ -174,6 +174,7 @@ class MemoryEngine:
         learner.live, learner.calm = ([np.array(w) for w in saved[k]] for k in ("live", "calm"))
         learner.mu, learner.var = np.array(saved["mu"]), np.array(saved["var"])
         learner.events, learner.wins, learner.losses = (saved[k] for k in ("events", "wins", "losses"))
+        learner.seen = saved.get("seen", saved["events"])
         return learner, saved["share"]
 
     def candidates(self, queries: DataFrame, now: float) -> DataFrame:
@@ -258,7 +259,7 @@ class MemoryEngine:
         """Learn from ``events(query, node_id, used, ts, features, label_src)``, a row per node that was shown.
 
         Nodes used together get co-access edges, used nodes gain trust, rows of queries that aren't held out
-        join the capped log, and the learner is trained on it and judged on the held-out rows.
+        train the stored learner on and join the capped log for replay, and it is judged on the held-out rows.
         """
         c, base = self.config, self.store.version()
         rows = events.filter("query is not null and node_id is not null and used is not null and ts is not null").withColumn("query_hash", query_hash(F.col("query")))
@@ -299,15 +300,16 @@ class MemoryEngine:
             fresh = numbered(rows.withColumn("__id", F.monotonically_increasing_id()), "__id", "rid").withColumn("rid", F.col("rid") + last + 1)
             fresh = cut_lineage(fresh.withColumn("shown", F.lit(True)).withColumn("label_src", F.col("label_src") if "label_src" in rows.columns else F.lit("implicit")))
             names = log.columns
-            log = cut_lineage(tables.append_capped(log, fresh.filter(~is_held_out(F.col("query_hash"))).select(*names), c.replay_cap))
-            learner = ranker.train_on_log(log, hidden=c.hidden)
-            old, _ = self._state()
+            trains = fresh.filter(~is_held_out(F.col("query_hash"))).select(*names)
+            learner, _ = self._state()
+            learner = ranker.train_on_log(trains, start=learner, replayed=log)
+            log = cut_lineage(tables.append_capped(log, trains, c.replay_cap))
             judged = ranker.gate(fresh.select(*names), learner, c.blend_min_events).first()
-            wins, losses = old.wins + judged["wins"], old.losses + judged["losses"]
-            events = old.events + judged["events"]
+            wins, losses = learner.wins + judged["wins"], learner.losses + judged["losses"]
+            events = judged["events"]
             share = self.spark.range(1).select(ranker.blend_share(F.lit(events), F.lit(wins), F.lit(losses), c.blend_min_events)).first()[0]
             plain = lambda ws: [np.asarray(w).tolist() for w in ws]
-            state = {"live": plain(learner.live), "calm": plain(learner.calm), "mu": learner.mu.tolist(), "var": learner.var.tolist(), "events": events, "wins": wins, "losses": losses, "share": float(share)}
+            state = {"live": plain(learner.live), "calm": plain(learner.calm), "mu": learner.mu.tolist(), "var": learner.var.tolist(), "events": events, "wins": wins, "losses": losses, "seen": learner.seen, "share": float(share)}
             row = self.spark.createDataFrame([("ranker", json.dumps(state))], "key string, value string")
             kept |= {"feedback": log, "params": self.store.upsert("params", row, base)}
         return self.store.commit(kept, base)

@@ -49,6 +49,7 @@ class Learner:
     events: int = 0
     wins: int = 0
     losses: int = 0
+    seen: int = 0
     mu: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
     var: np.ndarray = field(default_factory=lambda: np.ones(len(FEATURES)))
 
@@ -103,7 +104,7 @@ def _flat(weights: list) -> list[float]:
     return np.concatenate([np.ravel(w) for w in weights]).tolist()
 
 
-def train_on_log(feedback: DataFrame, hidden: int = 16, replay: int = 8, window: int = 256, seed: int = 13, shard_rows: int = 50_000) -> Learner:
+def train_on_log(feedback: DataFrame, hidden: int = 16, replay: int = 8, window: int = 256, seed: int = 13, shard_rows: int = 50_000, start: Learner | None = None, replayed: DataFrame | None = None) -> Learner:
     """A learner trained on an interaction log ``(rid, ts, query_hash, features, used)``.
 
     The three quarters of the queries that aren't held out are cut into shards of about ``shard_rows`` rows by
@@ -111,41 +112,55 @@ def train_on_log(feedback: DataFrame, hidden: int = 16, replay: int = 8, window:
     replays ``replay`` of the last ``window`` pairs after each query; the shards' weights are averaged by
     their number of steps. A log of one shard is thus a plain sequential fold. The normaliser is the exact
     mean and variance of all rows.
+
+    With ``start`` that learner is trained on and its normaliser continued, by its number of rows ``seen``. Rows of
+    ``replayed`` give no steps of their own; their pairs can be replayed, or met by a row of the log.
     """
     rows = usable_feedback(feedback)
     n = rows.count()
-    start = Learner(hidden=hidden, seed=seed)
+    start = Learner(hidden=hidden, seed=seed) if start is None else start
     if not n:
         return start
+    hidden = start.hidden
     stats = rows.select(F.posexplode("features")).groupBy("pos").agg(F.avg("col").alias("mu"), F.var_pop("col").alias("var")).orderBy("pos").collect()
     mu, var = np.array([r["mu"] for r in stats]), np.array([r["var"] for r in stats])
+    # The means and variances of both sets of rows, by their numbers.
+    both = start.seen + n
+    gap, old = mu - start.mu, start.seen / both
+    mu, var = mu - old * gap, (1 - old) * var + old * start.var + old * (1 - old) * gap**2
     shards = max(1, -(-n // shard_rows))
+    live, calm, rate, shrink = start.live, start.calm, start.rate, start.shrink
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "rid"]).reset_index(drop=True)
-        learner, rng, recent, loss = Learner(hidden=hidden, seed=seed, mu=mu, var=var), np.random.default_rng(seed), [], 0.0
-        x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+        learner, rng, recent, loss = Learner(hidden=hidden, rate=rate, shrink=shrink, seed=seed, mu=mu, var=var), np.random.default_rng(seed), [], 0.0
+        learner.live, learner.calm = list(live), list(calm)
+        x, fresh = np.stack(pdf["features"].to_numpy()).astype(np.float64), pdf["fresh"].to_numpy()
         for _, q in pdf.groupby("query_hash", sort=False):
             pairs = [(u, g) for u in q.index[q["used"]] for g in q.index[~q["used"]]]
-            for u, g in pairs:
+            new = [(u, g) for u, g in pairs if fresh[u] or fresh[g]]
+            for u, g in new:
                 loss += learner.train(x[u], x[g])
             recent = [*recent, *pairs][-window:]
-            for i in rng.integers(0, len(recent), replay if pairs else 0):
+            for i in rng.integers(0, len(recent), replay if new else 0):
                 learner.train(x[recent[i][0]], x[recent[i][1]])
         return pd.DataFrame({"events": [learner.events], "live": [_flat(learner.live)], "calm": [_flat(learner.calm)]})
 
+    rows = rows.withColumn("fresh", F.lit(True))
+    if replayed is not None:
+        rows = rows.unionByName(usable_feedback(replayed).withColumn("fresh", F.lit(False)))
     trained = rows.filter("not held_out").withColumn("shard", F.pmod(F.xxhash64("query_hash"), F.lit(shards))).groupBy("shard").applyInPandas(fold, "events long, live array<double>, calm array<double>")
     trained = trained.filter("events > 0").select("events", F.posexplode(F.arrays_zip("live", "calm")))
     mean = lambda c: (F.sum(F.col(f"col.{c}") * F.col("events")) / F.sum("events")).alias(c)
     flat = trained.groupBy("pos").agg(F.sum("events").alias("events"), mean("live"), mean("calm")).orderBy("pos").collect()
-    start.mu, start.var = mu, var
+    start.mu, start.var, start.seen = mu, var, both
     if flat:
         shapes = [np.shape(w) for w in start.live]
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         for name in ("live", "calm"):
             parts = np.split(np.array([r[name] for r in flat]), cuts)
             setattr(start, name, [p.reshape(s) if s else float(p[0]) for p, s in zip(parts, shapes)])
-        start.events = int(flat[0]["events"])
+        start.events += int(flat[0]["events"])
     return start
 
 

@@ -112,3 +112,29 @@ def test_long_bodies_are_stored_whole(spark, tmp_path):
         assert e.get_text(spark.createDataFrame([("y",)], "node_id string")).first()["body"] == body + "but never on sundays"
         found = e.contradictions(spark.createDataFrame([("x",)], "node_id string")).collect()
         assert [r["other_id"] for r in found] == ["y"] and found[0]["negation_flip"]
+
+
+def test_feedback_trains_on_all_rows_and_goes_on(spark, tmp_path):
+    from recallgrid.functions.text import is_held_out, query_hash
+    from pyspark.sql import functions as F
+
+    schema = "query string, node_id string, used boolean, ts double, features array<float>"
+
+    def batch(start):
+        return spark.createDataFrame([(f"q{i}", n, n == "a", 1e9 + i, [float((i * 7 + j) % 5) + (n == "a") for j in range(14)]) for i in range(start, start + 40) for n in ("a", "b")], schema)
+
+    with MemoryEngine.open(spark, str(tmp_path / "f"), dim=16, vocab_size=256, replay_cap=8) as e:
+        e.index(spark.createDataFrame([("a", "one"), ("b", "two")], "node_id string, text string"), now=1e9)
+        held, total = 0, 0
+        for start in (0, 40):
+            before = e._state()[0]
+            rows = batch(start)
+            held += rows.filter("used").filter(is_held_out(query_hash(F.col("query")))).count()
+            e.feedback(rows)
+            total += 40
+            after, _ = e._state()
+            # A step and 8 replays for each pair that isn't held out, one event for each that is.
+            assert after.events == 9 * (total - held) + held and after.seen == 2 * (total - held)
+            if start:
+                assert abs(after.live[0] - before.live[0]).max() < abs(after.live[0] - type(after)().live[0]).max()
+        assert e.store.read("feedback").count() <= 8
