@@ -92,7 +92,7 @@ def p9_shares(spark, sf_dir):
 
 def p10_scores(spark, sf_dir):
     out = spam_scores(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "group", *[F.round(f, 6).alias(f) for f in FEATURES], F.round("distance", 4).alias("distance"), "spam")
+    return out.select("doc_id", "group", *[F.round(f, 6).alias(f) for f in FEATURES], F.round("distance", 4).alias("distance"), F.round("listed", 6).alias("listed"), "spam")
 
 
 def p10_found(spark, sf_dir):

@@ -8,7 +8,7 @@ import pytest
 
 from recallgrid.llm.mixing import mix_sources, pivotal
 from recallgrid.llm.packing import ShardIndex, pack_shard, pack_texts, packing_report
-from recallgrid.llm.spam import is_sentence, segments, spam_scores, text_features
+from recallgrid.llm.spam import Blocks, Scan, _weighted_pages, function_units, spam_scores
 from recallgrid.llm.tokens import DEFAULT_VOCABULARY, encode, encoder
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(DEFAULT_VOCABULARY), reason="no vocabulary file")
@@ -100,36 +100,57 @@ def test_mixing(spark):
     assert none.count() == 0 and report.count() == 0
 
 
-def test_sentences():
-    assert is_sentence("점심 뒤에 들은 바로는 산책이 따로 끝났다고 한다.") and is_sentence("We decided to archive the draft before the holidays.")
-    for spam in ("빵 예약 빵 최저가 마이그레이션 빵?", "cheap lamp best lamp online lamp!", "방교담은 가격 강의와 방교담 정품", "glasses for queue and the top glasses with deal queue glasses"):
-        assert not is_sentence(spam)
-
-
-def test_segments():
-    text = "---\ntitle: x\n---\n# Head\n12:00:01 INFO done\n```\ncode()\n```\n| a | b |\n- [x] milk 2\n" + NOTE_EN + "\ncheap lamp | best lamp"
-    assert [k for k, _ in segments(text)] == ["frame", "frame", "record", "record", "record", "record", "record", "record", "sentence", "sentence", "listed"]
-    assert text_features("https://a.test/x https://b.test/y")[:3] == ("en", 1.0, 1.0)
-    assert text_features("   \n")[1] == 0.0
-
-
-def test_spam(spark):
-    good = [NOTE_KO, NOTE_EN, NOTE_KO + "\n\nhttps://www.zapini.example/queue-playlist?id=99"]
-    good += ["\n".join(f"12:{i:02}:07 INFO ranker.split rows={i * 37} done" for i in range(40)), "```\n" + "def run():\n    return check(a, 5)\n" * 10 + "```\n" + NOTE_EN]
-    good += [NOTE_KO + "\n- [x] 안경 2\n- [ ] 김치 3\n- [ ] 지표 5\n" + NOTE_KO]
-    bad = ["달력 할인 | 여권 가격 | 이사 추천 | 달력 예약 | 여권 비교 | " * 12, "\n".join(f"https://www.site{i}.example/page/{i}" for i in range(30)), "#반품할인 #반품순위 #스키마정품 " * 15]
-    bad += ["[[devike]] [[lamp]]\n[[bimeze]] · [[zilasi]]\n" * 12, NOTE_EN + "\n" + "cheap lamp best lamp online lamp deal, " * 40]
-    rows = [(i, g) for i, g in enumerate(good * 30)] + [(1000 + i, b) for i, b in enumerate(bad)] + [(2000, bad[0]), (3000, None), (3001, " \n"), (None, bad[0]), (3002, "x"), (3003, "가" * 400_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' as group", "1 as listed", "0 as spam", "2 as distance")
+EN_STARTS = ["The backup was slow this morning", "We moved the shelf to the cellar", "I forgot to answer the letter from the bank", "It was too cold for the garden", "She asked about the key of the old house", "They still owe us the second half of the rent"]
+EN_ENDS = ["and nobody knows why.", "but the rest of it can wait.", "so I will call them again on Monday.", "because the last attempt did not work.", "which is fine for now.", "and we agreed to look at it again in spring."]
+KO_STARTS = ["점심 뒤에 보일러를 고쳤고", "이사는 다음 달로 미뤘는데", "은행에서 온 편지를 아직 읽지 않아서", "날씨가 추워서 산책을 못 갔지만", "수리 기사가 늦게 와서", "회의가 길어졌기 때문에"]
+KO_ENDS = ["내일 다시 보기로 했다.", "비용이 생각보다 컸다.", "누구도 이유를 알지 못했다.", "저녁에 한 번 더 전화할 생각이다.", "결국 처음으로 돌아갔다.", "그래도 배운 게 많았다."]
+JA_STARTS = ["今日は朝から雨が降っていたので", "会議が長くなったために", "駅前の店が閉まっていて", "友達から手紙が届いたが", "昨日の夜は寒かったけれど", "新しい机を買ったので"]
+JA_ENDS = ["家で本を読んでいました。", "明日もう一度考えることにした。", "だれも理由を知らなかった。", "夕方にもう一度電話をするつもりです。", "結局は最初に戻った。", "それでも学ぶことが多かった。"]
+FOREIGN = [
+    "Hier matin nous avons visité la maison de ma tante, qui voulait vendre le jardin à ses voisins. Elle pense que le prix est juste, mais personne ne sait encore quand le notaire pourra signer les papiers.",
+    "Gestern haben wir den Keller aufgeräumt und dabei die alten Briefe meiner Großmutter gefunden. Niemand wusste, dass sie so lange in der Stadt gewohnt hat, bevor der Krieg zu Ende war.",
+    "Ayer por la tarde fuimos al mercado para comprar fruta, pero la tienda de la esquina estaba cerrada. Mi hermana dice que el dueño se ha ido de viaje y que no vuelve hasta el lunes.",
+    "Sarah emailed Bob yesterday regarding invoice discrepancies. Payment arrives Monday.",
+    "회의 자료 준비 완료. 예산 검토 필요. 내일 오전 보고 예정.",
+]
+
+
+def _notes(starts, ends, n, rng):
+    return [" ".join(f"{rng.choice(starts)} {rng.choice(ends)}".replace("。 ", "。") for _ in range(rng.integers(2, 9))) for _ in range(n)]
+
+
+def _pages(rng):
+    brand = lambda: "".join(rng.choice(list("bdfgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(3))
+    words = rng.choice(["lamp", "insurance", "hotel", "umbrella", "mattress", "loan"], 3, replace=False)
+    offers = ["cheap", "best", "discount", "online", "price", "sale"]
+    stuffed = lambda sep, n: sep.join(f"{rng.choice(offers)} {rng.choice(words)}" for _ in range(n))
+    return [
+        stuffed(" ", 60), stuffed(", ", 30), stuffed(" | ", 40), "\n".join(f"https://www.{brand()}.example/{brand()}/{rng.integers(9999)}" for _ in range(20)), " ".join(f"#{rng.choice(offers)}{rng.choice(words)}" for _ in range(30)),
+        "\n".join(f"[{rng.choice(offers)} {rng.choice(words)}](https://{brand()}.example)" for _ in range(15)), " · ".join(f"[[{brand()}]]" for _ in range(30)), EN_STARTS[0] + " " + EN_ENDS[0] + "\n" + stuffed(", ", 40),
+        " / ".join(f"{rng.choice(list('달력여권이사빵')) * 2} {rng.choice(['할인', '가격', '추천', '업체'])}" for _ in range(50)),
+    ]
+
+
+def test_spam_is_told_by_the_distance_not_by_words(spark):
+    rng = np.random.default_rng(3)
+    good = [*_notes(EN_STARTS, EN_ENDS, 150, rng), *_notes(KO_STARTS, KO_ENDS, 150, rng), *_notes(JA_STARTS, JA_ENDS, 60, rng), *FOREIGN]
+    good += [EN_STARTS[1] + " " + EN_ENDS[1] + "\n\nhttps://www.zapini.example/queue-playlist?id=99", KO_STARTS[0] + " " + KO_ENDS[0] + "\n- [x] 안경 2\n- [ ] 김치 3\n- [ ] 지표 5\n" + KO_STARTS[1] + " " + KO_ENDS[2]]
+    good += ["\n".join(f"12:{i:02}:07 INFO ranker.split rows={i * 37} done" for i in range(40)), "```\n" + "def run():\n    return check(a, 5)\n" * 10 + "```\n" + EN_STARTS[2] + " " + EN_ENDS[3]]
+    bad = [p for _ in range(3) for p in _pages(rng)] + ["、".join(f"{rng.choice(['激安', '格安', '最安値', '通販'])}{rng.choice(['時計', '財布', '旅行'])}" for _ in range(60))]
+    rows = [(i, t) for i, t in enumerate(good)] + [(10_000 + i, t) for i, t in enumerate(bad)] + [(20_000, bad[0]), (30_000, None), (30_001, " \n"), (None, bad[0]), (30_002, "x"), (30_003, "가" * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' as group", "1 as listed", "0 as spam", "2 as distance", "'w' as weight", "'b' as blocks")
     scored = {r["doc_id"]: r["spam"] for r in spam_scores(df).collect()}
-    assert {d for d, s in scored.items() if s and d < 3000} == {1000, 1001, 1002, 1003, 1004, 2000}
-    assert 3000 not in scored and 3001 not in scored and None not in scored
-    assert spam_scores(df.limit(0)).count() == 0 and spam_scores(df.filter("doc_id = 3000")).count() == 0
+    assert {d for d, s in scored.items() if s and d < 30_000} == {10_000 + i for i in range(len(bad))} | {20_000}
+    assert 30_000 not in scored and 30_001 not in scored and None not in scored and len(scored) == len(rows) - 3
+    # Without the distance, the same features mark nothing.
+    assert spam_scores(df, cutoff=float("inf")).filter("spam").count() == 0
+    assert spam_scores(df.limit(0)).count() == 0 and spam_scores(df.filter("doc_id = 30000")).count() == 0
 
 
 @pytest.mark.parametrize("share", [0.34, 0.7])
 def test_spam_that_fills_a_group(spark, share):
-    notes = [f"{NOTE_EN} We counted {i} boxes of it for the {'very ' * (i % 7)}large shelf." for i in range(100)]
+    rng = np.random.default_rng(4)
+    notes = _notes(EN_STARTS, EN_ENDS, 100, rng)
     page = "cheap lamp best lamp online lamp deal, " * 40
     for pages in ([page] * 300, [page + f"lamp {chr(97 + i % 26)}{chr(97 + i // 26)} price, " * (i % 9) for i in range(300)]):
         rows = [(i, t) for i, t in enumerate(notes)] + [(1000 + i, t) for i, t in enumerate(pages[: round(100 * share / (1 - share))])]
@@ -139,11 +160,26 @@ def test_spam_that_fills_a_group(spark, share):
     assert only.filter("spam").count() == 5
 
 
-def test_links_count_by_their_length():
-    note = (NOTE_EN + " ") * 3
-    links = [f"https://www.site{i}.example/" + "path/" * 8 for i in range(10)]
-    assert text_features(note + "\n" + "\n".join(links))[1] > 0.5
-    assert text_features(note + "\n" + " ".join(f'<a href="{x}">offer {i}</a>' for i, x in enumerate(links)))[1] > 0.5
-    commented = "\n".join(f"{x}\nWe kept this one because the {i} tables in it were right." for i, x in enumerate(links))
-    assert text_features(commented)[1] < 0.5
-    assert text_features(NOTE_EN + "\n" + links[0] + "a" * 500)[1] < 0.5
+def test_function_words_are_learned(spark):
+    rng = np.random.default_rng(5)
+    notes = [*_notes(EN_STARTS, EN_ENDS, 90, rng), *_notes(KO_STARTS, KO_ENDS, 90, rng)] + [_pages(rng)[0]] * 40
+    pages = _weighted_pages(spark.createDataFrame(list(enumerate(notes)), "doc_id long, text string"))
+    assert pages.agg({"weight": "sum"}).first()[0] == pytest.approx(len(set(notes)), abs=1)
+    found = function_units(pages)
+    assert {"the", "it", "and", "to"} <= set(found["latin"]) and {"~다", "~고"} <= set(found["hangul"])
+    assert not {"lamp", "cheap", "best", "discount"} & set(found["latin"])
+
+
+def test_words_and_blocks():
+    s = Scan(["One two2three 한글은_말", "", "雨が x\u0301y"])
+    word = lambda i: "".join(map(chr, s.codes[s.first[i] : s.last[i] + 1]))
+    assert [word(i) for i in range(len(s.first))] == ["one", "two", "three", "한글은_말", "雨", "が", "x\u0301y"]
+    assert s.word_hash[0] == Scan(["two one"]).word_hash[1] and len(set(s.word_hash.tolist())) == 7
+    empty = np.empty(0, np.uint64)
+    text = "https://a.test/x\nhttps://b.test/y\n" * 9 + "The end is near."
+    b = Blocks(Scan([text]), empty, empty)
+    assert b.n == 2 and b.features[0, 1] == 1.0 and b.links.tolist() == [18, 0] and b.features[1].tolist()[:2] == [1.0, 0.0] and b.features[1, 5] == 0.0
+    assert b.size.sum() == len("".join(text.split()))
+    log = Blocks(Scan(["10:00:01 go\n10:00:02 go\n09:00:00 go\n"]), empty, empty)
+    assert log.n == 1 and log.features[0, -1] == pytest.approx(2 / 3) and log.features[0, 2] > 0.5
+    assert Blocks(Scan([" \n"]), empty, empty).n == 0
