@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recallgrid.session import cut_lineage, spread
 
@@ -62,8 +63,11 @@ def _tables():
     return kind, script, flags[0], flags[1]
 
 
-def _mix(a, b):
-    x = (a ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))) * _BASE
+def _mix(a: np.ndarray, b) -> np.ndarray:
+    """Codes spread over 64 bits; ``b`` is a number or an array."""
+    b = np.uint64(b * 0xC2B2AE3D27D4EB4F % 2**64) if isinstance(b, int) else b * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (a ^ b) * _BASE
+    x = (x ^ (x >> np.uint64(32))) * _BASE
     return x ^ (x >> np.uint64(29))
 
 
@@ -100,12 +104,12 @@ class Scan:
         up = np.cumprod(np.full(n, _BASE, dtype=np.uint64)) if n else np.empty(0, np.uint64)
         down = np.cumprod(np.full(n, _INVERSE, dtype=np.uint64)) if n else np.empty(0, np.uint64)
         sums = np.concatenate([[np.uint64(0)], np.cumsum((self.codes + np.uint64(7)) * up)])
-        self.word_hash = (sums[last + 1] - sums[self.first]) * down[self.first]
+        self.word_hash = _mix((sums[last + 1] - sums[self.first]) * down[self.first], 2)
         self.word_script = script[self.at[self.first]]
         self.word_doc = self.doc[self.first]
-        self.ending = _mix(self.codes[last].astype(np.uint64), np.uint64(1))
+        self.ending = _mix(self.codes[last].astype(np.uint64), 1)
         self.has_ending = self.word_script == HANGUL
-        self.size, self.last = size, last
+        self.last = last
         letters = self.letter.nonzero()[0]
         self.script_letters = np.bincount(self.doc[letters] * len(SCRIPTS) + script[self.at[letters]], minlength=self.n_docs * len(SCRIPTS)).reshape(self.n_docs, len(SCRIPTS))
 
@@ -117,17 +121,22 @@ class Scan:
         return [("none" if not t else SCRIPTS[k] if 4 * m >= 3 * t else "mixed") for t, k, m in zip(total, top, main)]
 
     def units(self):
-        """``(script, hash, word number, is ending)`` of the words and Hangul endings."""
+        """``(script, code, word number)`` of the words and Hangul endings; codes have 32 bits."""
         with_end = np.flatnonzero(self.has_ending)
         number = np.concatenate([np.arange(len(self.first)), with_end])
-        return self.word_script[number], np.concatenate([self.word_hash, self.ending[with_end]]), number, np.arange(len(number)) >= len(self.first)
+        return self.word_script[number], np.concatenate([self.word_hash, self.ending[with_end]]) >> np.uint64(32), number
+
+
+def unit_code(word: str, ending: bool = False) -> int:
+    s = Scan([word])
+    return int((s.ending if ending else s.word_hash)[0] >> np.uint64(32))
 
 
 def _slices(texts: list[str]):
     start, total = 0, 0
     for i, t in enumerate(texts):
         total += len(t)
-        if total >= SLICE_CHARS:
+        if total >= SLICE_CHARS or i - start >= 8_000:
             yield start, i + 1
             start, total = i + 1, 0
     if start < len(texts):
@@ -136,56 +145,53 @@ def _slices(texts: list[str]):
 
 def _support(batches):
     """Per batch and unit (a word, or a Hangul word's last letter): the summed weight of the documents that use it
-    as function words are used, and per script that of all documents with a few words of it."""
+    as function words are used; as unit -1, per script, that of all documents with a few words of it."""
+    shift = np.uint64
     for batch in batches:
         texts, weights = batch.column("text").to_pylist(), batch.column("weight").to_numpy()
-        out: dict = {}
+        keys, sums = [], []
         for a, b in _slices(texts):
             s, w = Scan(texts[a:b]), weights[a:b]
             words = np.bincount(s.word_doc * len(SCRIPTS) + s.word_script, minlength=s.n_docs * len(SCRIPTS)).reshape(-1, len(SCRIPTS))
-            for k, name in enumerate(SCRIPTS):
-                out[name, ""] = out.get((name, ""), 0.0) + float(w[words[:, k] >= 6].sum())
-            script, unit, number, ending = s.units()
-            if not len(unit):
-                continue
-            key = _mix(unit, s.word_doc[number].astype(np.uint64))
-            follower = np.concatenate([s.word_hash[1:], [np.uint64(0)]])[number]
-            keys, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            pair = np.unique(_mix(key, follower), return_index=True)[1]
-            varied = np.bincount(inverse[pair], minlength=len(keys))
+            known = words >= 6
+            keys.append(np.stack([np.arange(len(SCRIPTS)), np.full(len(SCRIPTS), -1)], axis=1))
+            sums.append(w @ known)
+            script, unit, number = s.units()
+            follower = np.concatenate([s.word_hash[1:], [np.uint64(0)]])[number] >> shift(48)
+            # One number each: document, script, unit, follower.
+            held = np.sort((s.word_doc[number].astype(np.uint64) << shift(51)) | (script.astype(np.uint64) << shift(48)) | (unit << shift(16)) | follower)
+            new = np.concatenate([[True], held[1:] != held[:-1]])[: len(held)]
+            owner = held >> shift(16)
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(held)])
+            varied = np.add.reduceat(new, first, dtype=np.int64) if len(first) else first
             # A document that strings a few words together keeps following each with the same ones.
-            good = first[(varied >= 0.3 * count) & (words[s.word_doc[number[first]], script[first]] >= 6)]
-            names, spot, which = np.unique(unit[good], return_index=True, return_inverse=True)
-            total = np.bincount(which, weights=w[s.word_doc[number[good]]], minlength=len(names))
-            for g, t in zip(good[spot].tolist(), total.tolist()):
-                i = int(number[g])
-                start = int(s.last[i] if ending[g] else s.first[i])
-                text = s.codes[start : int(s.last[i]) + 1].astype("<u4").tobytes().decode("utf-32-le", "replace")[:64]
-                name = (SCRIPTS[script[g]], ("~" if ending[g] else "") + text)
-                out[name] = out.get(name, 0.0) + t
-        if out:
-            (scripts, units), sums = zip(*out.keys()), out.values()
-            yield pa.RecordBatch.from_arrays([pa.array(scripts, pa.string()), pa.array(units, pa.string()), pa.array(list(sums), pa.float64())], names=["script", "unit", "docs"])
-
-
-def function_units(pages: DataFrame, share: float = 0.2, least_docs: float = 3.0, most: int = 300) -> dict[str, list[str]]:
-    """Per script the function words of the collection: the units that at least ``share`` of its documents use.
+            first = first[varied >= 0.3 * np.diff(np.append(first, len(held)))]
+            doc, kind = (owner[first] >> shift(35)).astype(np.int64), ((owner[first] >> shift(32)) & shift(7)).astype(np.int64)
+            good = known[doc, kind]
+            keys.append(np.stack([kind, (owner[first] & shift(0xFFFFFFFF)).astype(np.int64)], axis=1)[good])
+            sums.append(w[doc[good]])
+        if keys:
+            keys, sums = np.concatenate(keys), np.concatenate(sums)
+            one = (keys[:, 0] << 33) + keys[:, 1] + 1
+            distinct, where = np.unique(one, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array((distinct >> 33).astype(np.int32)), pa.array((distinct & (2**33 - 1)) - 1), pa.array(np.bincount(where, weights=sums))], names=["script", "unit", "docs"])
+
+
+def function_units(pages: DataFrame, share: float = 0.2, least_docs: float = 3.0, most: int = 300) -> dict[str, list[int]]:
+    """Per script the function words of the collection: the codes of the units that at least ``share`` of its documents use.
 
     ``pages`` has ``text, weight``. Sums are combined per batch and per task before they move. At most ``most``
     units of a script (those of the most documents) come to the driver.
     """
-    sums = pages.select("text", "weight").mapInArrow(_support, "script string, unit string, docs double").groupBy("script", "unit").agg(F.sum("docs").alias("docs"))
+    sums = pages.select("text", "weight").mapInArrow(_support, "script int, unit long, docs double").groupBy("script", "unit").agg(F.sum("docs").alias("docs"))
     sums = cut_lineage(sums.filter(F.col("docs") >= least_docs))
-    totals = {r["script"]: r["docs"] for r in sums.filter("unit = ''").collect()}
-    out = {}
-    for script, total in sorted(totals.items()):
-        often = sums.filter((F.col("script") == script) & (F.col("unit") != "") & (F.col("docs") >= share * total))
-        out[script] = sorted(r["unit"] for r in often.orderBy(F.col("docs").desc(), "unit").limit(most).collect())
-    return out
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    return np.sort(Scan([w + "\n" for w in words]).word_hash) if words else np.empty(0, np.uint64)
+    totals = sums.filter("unit = -1").select("script", F.col("docs").alias("total"))
+    often = sums.filter("unit >= 0").join(F.broadcast(totals), "script").filter(F.col("docs") >= share * F.col("total"))
+    place = F.row_number().over(Window.partitionBy("script").orderBy(F.col("docs").desc(), "unit"))
+    out: dict[str, list[int]] = {}
+    for r in often.withColumn("place", place).filter(F.col("place") <= most).collect():
+        out.setdefault(SCRIPTS[r["script"]], []).append(r["unit"])
+    return {name: sorted(units) for name, units in sorted(out.items())}
 
 
 def _found(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -196,14 +202,14 @@ def _found(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 class Blocks:
     """The blocks of a scan: runs of lines and sentences of one kind, in pieces of about ``BLOCK_SIZE`` characters."""
 
-    def __init__(self, s: Scan, words: np.ndarray, endings: np.ndarray):
+    def __init__(self, s: Scan, lexicon: np.ndarray):
         _, _, syntax, ender = _tables()
         n = len(s.codes)
         solid = s.kind != _BLANK
         solid_at = np.flatnonzero(solid)
         line = (s.codes == 10) | (s.codes == 13)
         ends = ender[s.at] & ~s.link & np.concatenate([~solid[1:], [True]])[:n]
-        bound = _found(s.word_hash, words) | (s.has_ending & _found(s.ending, endings))
+        bound = _found(s.word_hash >> np.uint64(32), lexicon) | (s.has_ending & _found(s.ending >> np.uint64(32), lexicon))
         starts = s.fresh | np.concatenate([[False], (line | ends)[:-1]])[:n]
         unit = np.cumsum(starts) - 1
         m = int(unit[-1]) + 1 if n else 0
@@ -243,9 +249,9 @@ class Blocks:
         self.words = np.bincount(at, minlength=k).astype(np.float64)
         safe = np.maximum(1.0, self.words)
         unbound = 1 - np.bincount(at, weights=bound, minlength=k) / safe
-        keys, first, counts = np.unique(_mix(s.word_hash, at.astype(np.uint64)), return_index=True, return_counts=True)
-        share = counts / safe[at[first]]
-        entropy = -np.bincount(at[first], weights=share * np.log(share), minlength=k)
+        held, counts = self._counts(at, s.word_hash)
+        share = counts / safe[held]
+        entropy = -np.bincount(held, weights=share * np.log(share), minlength=k)
         order = np.where(self.words > 1, 1 - entropy / np.log(np.maximum(2.0, self.words)), 0.0)
         # Pieces of words, longer ones in alphabets than in syllables: compounds of the same words repeat them.
         next_code = lambda step: np.where(np.concatenate([s.letter[step:], np.zeros(step, bool)])[: len(s.letter)], np.concatenate([s.codes[step:], np.zeros(step, np.uint32)])[: len(s.codes)], 0)[letters].astype(np.uint64)
@@ -253,8 +259,8 @@ class Blocks:
         gram = _mix(s.codes[letters].astype(np.uint64), next_code(1))
         long = (script == LATIN) | (script == CYRILLIC) | (script == OTHER)
         gram = np.where(long, _mix(_mix(gram, next_code(2)), next_code(3)), gram)
-        distinct = np.unique(_mix(gram, block[letters].astype(np.uint64)), return_index=True)[1]
-        repeated = 1 - per(letters[distinct]) / np.maximum(1.0, per(letters))
+        distinct = np.bincount(self._counts(block[letters], gram)[0], minlength=k)
+        repeated = 1 - distinct / np.maximum(1.0, per(letters))
         marks = (s.kind == _MARK) & ~s.link & ~syntax[s.at]
         # A line break between lines of a block separates as a mark does.
         breaks = np.flatnonzero(starts & (np.concatenate([[False], line[:-1]])[:n]))
@@ -285,19 +291,25 @@ class Blocks:
         ).clip(0, 1)
 
 
-def _measure(lexicon: dict[str, list[str]]):
+    @staticmethod
+    def _counts(block: np.ndarray, value: np.ndarray):
+        """The block of each distinct value of a block, and how often it is there (values by 40 bits of their hash)."""
+        keys = np.sort((block.astype(np.uint64) << np.uint64(40)) | (value >> np.uint64(24)))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        return (keys[first] >> np.uint64(40)).astype(np.int64), np.diff(np.append(first, len(keys)))
+
+
+def _measure(lexicon: dict[str, list[int]]):
     """Documents with their blocks as bytes: features, words, links (a byte each) and size (two bytes)."""
 
     def run(batches):
-        units = [u for script in lexicon.values() for u in script]
-        words = _word_hashes([u for u in units if u[0] != "~"])
-        endings = np.sort(_mix(np.array([ord(u[1]) for u in units if u[0] == "~"], dtype=np.uint64), np.uint64(1)))
+        units = np.array(sorted({u for script in lexicon.values() for u in script}), dtype=np.uint64)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             groups, packed = [], []
             for a, b in _slices(texts):
                 s = Scan(texts[a:b])
-                blocks = Blocks(s, words, endings)
+                blocks = Blocks(s, units)
                 cells = np.empty((blocks.n, len(FEATURES) + 4), dtype=np.uint8)
                 cells[:, : len(FEATURES)] = np.round(blocks.features * LEVELS)
                 cells[:, -4] = np.minimum(255, blocks.words)

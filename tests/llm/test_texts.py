@@ -8,7 +8,7 @@ import pytest
 
 from recallgrid.llm.mixing import mix_sources, pivotal
 from recallgrid.llm.packing import ShardIndex, pack_shard, pack_texts, packing_report
-from recallgrid.llm.spam import Blocks, Scan, _weighted_pages, function_units, spam_scores
+from recallgrid.llm.spam import Blocks, Scan, _weighted_pages, function_units, spam_scores, unit_code
 from recallgrid.llm.tokens import DEFAULT_VOCABULARY, encode, encoder
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(DEFAULT_VOCABULARY), reason="no vocabulary file")
@@ -166,8 +166,8 @@ def test_function_words_are_learned(spark):
     pages = _weighted_pages(spark.createDataFrame(list(enumerate(notes)), "doc_id long, text string"))
     assert pages.agg({"weight": "sum"}).first()[0] == pytest.approx(len(set(notes)), abs=1)
     found = function_units(pages)
-    assert {"the", "it", "and", "to"} <= set(found["latin"]) and {"~다", "~고"} <= set(found["hangul"])
-    assert not {"lamp", "cheap", "best", "discount"} & set(found["latin"])
+    assert {unit_code(w) for w in ("the", "it", "and", "to")} <= set(found["latin"]) and {unit_code(w, True) for w in ("고", "다")} <= set(found["hangul"])
+    assert not {unit_code(w) for w in ("lamp", "cheap", "best", "discount")} & set(found["latin"])
 
 
 def test_words_and_blocks():
@@ -177,9 +177,9 @@ def test_words_and_blocks():
     assert s.word_hash[0] == Scan(["two one"]).word_hash[1] and len(set(s.word_hash.tolist())) == 7
     empty = np.empty(0, np.uint64)
     text = "https://a.test/x\nhttps://b.test/y\n" * 9 + "The end is near."
-    b = Blocks(Scan([text]), empty, empty)
+    b = Blocks(Scan([text]), empty)
     assert b.n == 2 and b.features[0, 1] == 1.0 and b.links.tolist() == [18, 0] and b.features[1].tolist()[:2] == [1.0, 0.0] and b.features[1, 5] == 0.0
     assert b.size.sum() == len("".join(text.split()))
-    log = Blocks(Scan(["10:00:01 go\n10:00:02 go\n09:00:00 go\n"]), empty, empty)
+    log = Blocks(Scan(["10:00:01 go\n10:00:02 go\n09:00:00 go\n"]), empty)
     assert log.n == 1 and log.features[0, -1] == pytest.approx(2 / 3) and log.features[0, 2] > 0.5
-    assert Blocks(Scan([" \n"]), empty, empty).n == 0
+    assert Blocks(Scan([" \n"]), empty).n == 0
