@@ -25,7 +25,7 @@ def p4_report(spark, sf_dir):
 
 def p5_found(spark, sf_dir):
     postings = read_table(spark, sf_dir, "postings_v2")
-    return dominant_keys(postings, "tid", "nid", "tf", share=0.03).select("tid")
+    return dominant_keys(postings, "tid", share=0.03).select("tid")
 
 
 def p5_results(spark, sf_dir):
