@@ -12,14 +12,14 @@ from recallgrid.session import pieces
 def heavy_codes(df: DataFrame, key: str, share: float = 1 / 256) -> tuple[int, dict[int, int]]:
     """The number of rows, and the hashes of the keys that hold more than about ``share`` of them with their counts.
 
-    A frequent-items sketch of 8 192 counters per task finds them in one pass without a shuffle of keys; its
-    counts are short by at most a tenth of a percent of all rows, so every key above ``share`` is there and no more than
-    ``2 / share`` are. Null is no key.
+    A frequent-items sketch of ``32 / share`` counters per task finds them in one pass without a shuffle of keys; its
+    counts are off by at most a fifth of ``share``, so every key above ``share`` is there and no more than ``2 / share`` are.
+    Null is no key.
     """
     code = F.xxhash64(key)
     kept = df.filter(F.col(key).isNotNull()).select(code.alias("h"))
-    row = kept.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {int(2 / share)}, 8192)").alias("top")).first()
-    return row["n"], {x["item"]: x["count"] for x in row["top"] or [] if x["count"] > row["n"] * (share - 0.001)}
+    row = kept.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {int(2 / share)}, {int(32 / share)})").alias("top")).first()
+    return row["n"], {x["item"]: x["count"] for x in row["top"] or [] if x["count"] > 0.75 * share * row["n"]}
 
 
 def _one_of(code: Column, codes) -> Column:
