@@ -12,6 +12,8 @@ from recallgrid.llm.postings import valid_postings
 from recallgrid.operators.skew import hot_split_join
 from recallgrid.session import cut_lineage
 
+#: Occurrences that the component of the other records has in any case, so that no count rules it out.
+REST_MASS = 0.5
 _MODEL = "tid long, elite_share double, elite_rate double, rest_rate double, mean_rate double, n_records long"
 
 
@@ -30,7 +32,7 @@ def fit_two_poisson(counts: np.ndarray, freqs: np.ndarray, starts: np.ndarray, n
     tiny = 1e-12
     share = np.clip(df / n, 1e-9, 0.5)
     elite = mass / df * 1.2
-    rest = np.maximum(mass / n * 0.2, tiny)
+    rest = np.minimum((mass * 0.2 + REST_MASS) / n, elite * 0.9)
     for _ in range(rounds):
         odds = np.log(share / (1 - share))
         gap = elite - rest
@@ -41,7 +43,7 @@ def fit_two_poisson(counts: np.ndarray, freqs: np.ndarray, starts: np.ndarray, n
         elite_mass = total(p * freqs * counts)
         share = np.clip(in_elite / n, 1e-12, 1 - 1e-9)
         elite = np.maximum(elite_mass / np.maximum(in_elite, tiny), tiny)
-        rest = np.maximum((mass - elite_mass) / np.maximum(n - in_elite, tiny), tiny)
+        rest = (np.maximum(mass - elite_mass, 0.0) + REST_MASS) / np.maximum(n - in_elite, 1.0)
     swap = rest > elite
     return np.where(swap, 1 - share, share), np.where(swap, rest, elite), np.where(swap, elite, rest), mass / n, df
 
@@ -67,25 +69,25 @@ def term_models(valid: DataFrame, n_records: int) -> DataFrame:
 
 
 def _weigh(rows: DataFrame) -> DataFrame:
-    """Posterior of the elite component times the evidence that the count is elite and not average."""
+    """The posterior of the elite component, and for each occurrence the gain of its log over its mean in the collection."""
     log_odds = F.log(F.col("elite_share") / (1 - F.col("elite_share"))) + F.col("tf") * F.log(F.col("elite_rate") / F.col("rest_rate")) - (F.col("elite_rate") - F.col("rest_rate"))
     posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), log_odds))))
-    evidence = F.col("tf") * F.log(F.col("elite_rate") / F.col("mean_rate")) - (F.col("elite_rate") - F.col("mean_rate"))
-    return rows.withColumn("elite", posterior).withColumn("weight", F.col("elite") * F.greatest(F.lit(0.0), evidence))
+    gain = F.greatest(F.lit(0.0), F.log(posterior / F.col("elite_share")))
+    return rows.withColumn("elite", posterior).withColumn("weight", F.col("tf") * gain)
 
 
 def term_weights(postings: DataFrame, node_map: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``tid, nid, tf, elite, weight`` of every valid posting (see :func:`valid_postings`).
 
     ``elite`` is the posterior probability that a record with this count belongs to the term's elite
-    component; ``weight`` multiplies it by the log likelihood ratio of the count under the elite rate
-    against the collection's mean rate, so that a term found everywhere counts little at any ``tf`` and a
-    rare one that a record repeats counts most. The mixtures are fitted on all records, those without the
+    component. Its mean over all records is the elite share. ``weight`` gives each occurrence the log of the
+    posterior over that mean (0 at the least): a term found everywhere counts little, as a high share of records is
+    elite, a count that is no sign of eliteness gives nothing, and a rare term that a record repeats counts most. The mixtures are fitted on all records, those without the
     term included. ``only`` (a column ``nid``) restricts the records that come out, not the fit. Empty
     tables give no rows; other columns are ignored.
     """
     valid = cut_lineage(valid_postings(postings, node_map))
-    models = term_models(valid, node_map.count()).drop("n_records")
+    models = cut_lineage(term_models(valid, node_map.count()).drop("n_records"))
     wanted = valid
     if only is not None:
         wanted = valid.join(only.select("nid").filter("nid is not null").distinct(), "nid", "left_semi")

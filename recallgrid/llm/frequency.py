@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from recallgrid.llm.postings import valid_postings
-from recallgrid.operators.skew import hot_split_join
+from recallgrid.operators.skew import heavy_codes, hot_split_join
 from recallgrid.session import cut_lineage, pieces
 
 
@@ -38,15 +38,24 @@ def word_frequencies(postings: DataFrame, terms: DataFrame, node_map: DataFrame,
 
     ``n_postings`` counts the word's valid postings, ``occurrences`` sums their ``tf``, ``n_nodes`` counts
     the nodes holding any of its spellings once. ``mark`` is ``rare`` below ``rare_below`` nodes,
-    ``common`` above the share ``common_above`` of all nodes, else ``''``. Tokens are hashed by word and by
-    a salt of the record, and each bucket is read in record order: a counter keeps occurrences, records and
-    the last record seen, so no set of records is ever held, and a word that holds a third of all rows is
-    counted in as many buckets as the data needs. Words without postings come out with zeros.
+    ``common`` above the share ``common_above`` of all nodes, else ``''``. Tokens are hashed by word, and
+    each bucket is read in record order: a counter keeps occurrences, records and the last record seen, so no
+    set of records is ever held. Only the words of heavy tids (see :func:`heavy_codes`) are cut into buckets of about
+    ``bucket_rows`` tokens, by a hash of the record and by their own counts; all others are one bucket each.
+    Words without postings come out with zeros.
     """
-    words = distinct_words(terms)
-    tokens = hot_split_join(cut_lineage(valid_postings(postings, node_map)), words.select("tid", "word_tid"), "tid")
-    salts = pieces(postings.count(), bucket_rows)
-    tokens = tokens.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(salts)))
+    words = cut_lineage(distinct_words(terms))
+    valid = cut_lineage(valid_postings(postings, node_map))
+    tokens = hot_split_join(valid, words.select("tid", "word_tid"), "tid").withColumn("salt", F.lit(0).cast("long"))
+    _, heavy = heavy_codes(valid, "tid")
+    sizes: dict[int, int] = {}
+    # At most as many rows as there are heavy tids.
+    for r in words.withColumn("h", F.xxhash64("tid")).filter(F.col("h").isin(*heavy)).collect() if heavy else []:
+        sizes[r["word_tid"]] = sizes.get(r["word_tid"], 0) + heavy[r["h"]]
+    buckets = [(word, pieces(n, bucket_rows)) for word, n in sizes.items() if n > bucket_rows]
+    if buckets:
+        buckets = terms.sparkSession.createDataFrame(buckets, f"word_tid {terms.schema['tid'].dataType.simpleString()}, buckets int")
+        tokens = tokens.join(F.broadcast(buckets), "word_tid", "left").withColumn("salt", F.pmod(F.xxhash64("nid"), F.coalesce("buckets", F.lit(1)))).drop("buckets")
     last_seen = F.lag("nid").over(Window.partitionBy("word_tid", "salt").orderBy("nid"))
     counted = (
         tokens.withColumn("fresh", F.when(last_seen == F.col("nid"), 0).otherwise(1))
