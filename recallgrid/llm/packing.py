@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.llm.tokens import DEFAULT_VOCABULARY, encode, encoder
+from recallgrid.operators.skew import heavy_codes
 from recallgrid.session import pieces
 
 
@@ -74,13 +75,39 @@ def pack_shard(items: list[np.ndarray], capacity: int) -> list[list[int]]:
 
 
 def _pack(capacity: int, path: str):
-    def run(batches):
-        from pyspark import TaskContext
+    """Containers of the shards of a partition, from rows sorted by shard."""
+
+    def table(shard, docs, starts, items, full, empty):
+        rows, number = [], 0
+        for box in pack_shard(items, capacity) if items else []:
+            rows += [(docs[i], number, place, starts[i], starts[i] + len(items[i])) for place, i in enumerate(box)]
+            number += 1
+        for doc, start, end in full:
+            rows.append((doc, number, 0, start, end))
+            number += 1
+        last = len(rows)
+        rows += [(doc, 0, last + k, 0, 0) for k, doc in enumerate(empty)]
+        doc, box, place, start, end = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(doc, pa.int64()),
+                pa.array([f"{shard:09d}-{b:07d}" for b in box], pa.string()),
+                pa.array(place, pa.int32()),
+                pa.array(start, pa.int64()),
+                pa.array(end, pa.int64()),
+            ],
+            names=["doc_id", "container", "place", "token_start", "token_end"],
+        )
 
-        enc, shard = encoder(path), TaskContext.get().partitionId()
-        docs, starts, items, full, empty = [], [], [], [], []
+    def run(batches):
+        enc, now, held = encoder(path), None, ([], [], [], [], [])
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for shard, doc, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "text"))):
+                if shard != now:
+                    if now is not None:
+                        yield table(now, *held)
+                    now, held = shard, ([], [], [], [], [])
+                docs, starts, items, full, empty = held
                 tokens = np.array(encode(enc, text), dtype=np.int64)
                 if not len(tokens):
                     empty.append(doc)
@@ -93,27 +120,8 @@ def _pack(capacity: int, path: str):
                     docs.append(doc)
                     starts.append(start)
                     items.append(tokens[start:])
-        rows, number = [], 0
-        for box in pack_shard(items, capacity) if items else []:
-            rows += [(docs[i], number, place, starts[i], starts[i] + len(items[i])) for place, i in enumerate(box)]
-            number += 1
-        for doc, start, end in full:
-            rows.append((doc, number, 0, start, end))
-            number += 1
-        last = len(rows)
-        rows += [(doc, 0, last + k, 0, 0) for k, doc in enumerate(empty)]
-        if rows:
-            doc, box, place, start, end = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc, pa.int64()),
-                    pa.array([f"{shard:07d}-{b:07d}" for b in box], pa.string()),
-                    pa.array(place, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(end, pa.int64()),
-                ],
-                names=["doc_id", "container", "place", "token_start", "token_end"],
-            )
+        if now is not None:
+            yield table(now, *held)
 
     return run
 
@@ -121,18 +129,30 @@ def _pack(capacity: int, path: str):
 def pack_texts(documents: DataFrame, capacity: int = 2048, shard_rows: int = 4000, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``doc_id, container, place, token_start, token_end``: every text in containers of ``capacity`` tokens.
 
-    Texts are sharded by a range of a lexical signature (the smallest hash of their words, then the id), so
-    that shards hold alike texts and are of equal size however the signatures fall; each shard packs its
-    items with its own BM25 index. A text longer than ``capacity`` is cut into full containers and a rest,
+    Texts are sharded by a lexical signature (the smallest hash of their words), so that shards of about ``shard_rows``
+    rows hold alike texts; a signature with very many texts (see :func:`heavy_codes`) is spread over as many shards as its
+    own count asks for. Each shard packs its items, in the order of signature, id and text, with its own BM25 index,
+    so the same rows give the same containers. A text longer than ``capacity`` is cut into full containers and a rest,
     which is packed like a short text; no other text is cut. Null and empty texts have no tokens and lie
     in the first container of their shard with the range 0 to 0. Rows with a null ``doc_id`` are left out;
     repeated rows are packed as often as they occur; other columns are ignored.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     words = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.xxhash64(w))
-    shards = pieces(rows.count(), shard_rows)
-    sharded = rows.withColumn("signature", F.array_min(words)).repartitionByRange(shards, "signature", "doc_id")
-    return sharded.select("doc_id", "text").mapInArrow(_pack(capacity, path), "doc_id long, container string, place int, token_start long, token_end long")
+    rows = rows.withColumn("signature", F.array_min(words))
+    n, heavy = heavy_codes(rows, "signature", share=1 / 1024)
+    spark, shards = documents.sparkSession, pieces(n, shard_rows)
+    wide = [(code, pieces(count, shard_rows)) for code, count in heavy.items() if count > shard_rows]
+    part = F.lit(0).cast("long")
+    if wide:
+        # At most 2 048 rows, one for each heavy signature.
+        widths = F.broadcast(spark.createDataFrame(wide, "code long, width int"))
+        rows = rows.join(widths, F.xxhash64("signature") == F.col("code"), "left")
+        part = F.when(F.col("width").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("width"))).otherwise(part)
+    rows = rows.select("doc_id", "text", "signature", F.pmod(F.xxhash64("signature", part), F.lit(shards)).alias("shard"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, pieces(shards, 8))
+    sharded = rows.repartition(tasks, "shard").sortWithinPartitions("shard", "signature", "doc_id", F.xxhash64("text"))
+    return sharded.select("shard", "doc_id", "text").mapInArrow(_pack(capacity, path), "doc_id long, container string, place int, token_start long, token_end long")
 
 
 def packing_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -64,6 +64,11 @@ def p6_pairs(spark, sf_dir):
     return classes.unionByName(links)
 
 
+def p6_members(spark, sf_dir):
+    """The class of equal sets to which each node belongs; with p6_pairs the whole result, without expanding copies."""
+    return similar_sets(read_table(spark, sf_dir, "nodes"), "id", "tags", plain_tag)[0].select(F.col("id").alias("node_id"), "rep")
+
+
 def p7_neighbours(spark, sf_dir):
     out = nearest_neighbours(read_table(spark, sf_dir, "vectors"), "node_id", "vec", 64, min_similarity=None, k=5)
     return out.select(F.col("id").alias("node_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "place")
@@ -108,6 +113,7 @@ QUERIES = {
     "p3_pairs": p3_pairs,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p6_members": p6_members,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
     "p8_containers": p8_containers,
@@ -141,6 +147,7 @@ ORACLES = {
     "p3_found": f"select node_a, node_b from ({_PAIRS}) where n_ab >= 5 and lift >= 8",
     "p3_pairs": f"select node_a, node_b, n_ab, n_a, n_b, round(lift, 6) as lift from ({_PAIRS})",
     "p6_found": _TAGS + _TAG_PAIRS.format(rows="sets") + "select a as node_a, b as node_b from pairs where shared * 10 >= joint * 7",
+    "p6_members": _TAGS.rstrip().rstrip(",") + " select id as node_id, rep from sets",
     "p6_pairs": _TAGS
     + "reps as (select * from sets where id = rep), "
     + _TAG_PAIRS.format(rows="reps")

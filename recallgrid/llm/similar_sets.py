@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,14 +69,16 @@ def join_group(token: int, group: list[tuple], threshold: float, blocks: bool):
     """Similar pairs of a group whose records all have ``token`` in their prefix.
 
     A record is ``(id, block, items)`` with the items in the global order. With ``blocks``, only pairs of
-    records from different blocks are wanted. A pair is emitted by the group of its first common item only.
+    records from different blocks are wanted, and a record is looked up in the other block's lists alone. A pair is
+    emitted by the group of its first common item only.
     """
     if len(group) < 2:
         return
     group.sort(key=lambda r: (len(r[2]), r[0]))
     sizes = [len(r[2]) for r in group]
-    index: dict[int, list[int]] = {}
+    lists_of: dict[int, dict[int, list[int]]] = {}
     for i, record in enumerate(group):
+        index = lists_of.setdefault(record[1] if blocks else 0, {})
         for x in record[2]:
             index.setdefault(x, []).append(i)
     for i, (name, block, items) in enumerate(group):
@@ -84,14 +87,13 @@ def join_group(token: int, group: list[tuple], threshold: float, blocks: bool):
         if start >= i:
             continue
         need = needed_overlap(len(items), smallest, threshold)
+        index = lists_of[0] if not blocks else next((lists for b, lists in lists_of.items() if b != block), {})
         lists = []
         for x in items:
-            full = index[x]
+            full = index.get(x, [])
             lists.append(full[bisect_left(full, start) : bisect_left(full, i)])
         for j, shared in t_occurrences(lists, need):
-            other, other_block, other_items = group[j]
-            if blocks and block == other_block:
-                continue
+            other, _, other_items = group[j]
             if shared < needed_overlap(len(items), len(other_items), threshold):
                 continue
             there = set(other_items)
@@ -102,14 +104,14 @@ def join_group(token: int, group: list[tuple], threshold: float, blocks: bool):
 def _join_partitions(threshold: float):
     def run(batches):
         key, group = None, []
-        out: list[tuple] = []
 
         def close():
-            if key is not None:
-                out.extend(join_group(key[0], group, threshold, key[1] != key[2]))
+            pairs = join_group(key[0], group, threshold, key[1] != key[2]) if key is not None else iter(())
+            while out := list(islice(pairs, 10_000)):
+                yield table(out)
 
-        def table():
-            cols = list(zip(*out)) if out else [[], [], [], []]
+        def table(out):
+            cols = list(zip(*out))
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
                 names=["a", "b", "shared", "joint"],
@@ -119,14 +121,10 @@ def _join_partitions(threshold: float):
             keys = zip(batch.column("token").to_pylist(), batch.column("p").to_pylist(), batch.column("q").to_pylist())
             for k, name, block, items in zip(keys, batch.column("rep").to_pylist(), batch.column("block").to_pylist(), batch.column("items").to_pylist()):
                 if k != key:
-                    close()
+                    yield from close()
                     key, group = k, []
                 group.append((name, block, items))
-            if len(out) > 10_000:
-                yield table()
-                out.clear()
-        close()
-        yield table()
+        yield from close()
 
     return run
 
@@ -178,13 +176,25 @@ def similar_sets(records: DataFrame, id_col: str, items_col: str, normal, thresh
     return classes.select("id", "rep"), similar_representatives(classes, threshold)
 
 
-def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``node_a, node_b, similarity``: all pairs of records, from representatives and membership."""
-    left = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = pairs.join(left, "a").join(right, "b").select("x", "y", (F.col("shared") / F.col("joint")).alias("similarity"))
-    shared = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep")
-    several = members.join(shared, "rep", "left_semi")
-    same = several.select("rep", F.col("id").alias("x")).join(several.select("rep", F.col("id").alias("y")), "rep").filter("x < y")
+def expand_pairs(members: DataFrame, pairs: DataFrame, chunk_rows: int = 1000) -> DataFrame:
+    """``node_a, node_b, similarity``: all pairs of records, from representatives and membership.
+
+    A class of more than ``chunk_rows`` equal sets is cut into chunks by a hash of the record; the pairs of each two
+    chunks are made by separate tasks.
+    """
+    sizes = cut_lineage(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / chunk_rows).cast("int")))
+    chunked = cut_lineage(hot_split_join(members, sizes.select("rep", "chunks", "n"), "rep").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
+    counts = sizes.select("rep", "chunks")
+    numbers = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    wanted = pairs.select("a", "b", (F.col("shared") / F.col("joint")).alias("similarity"))
+    wanted = wanted.join(counts.select(F.col("rep").alias("a"), "chunks"), "a").withColumn("p", numbers).drop("chunks")
+    wanted = wanted.join(counts.select(F.col("rep").alias("b"), "chunks"), "b").withColumn("q", numbers).drop("chunks")
+    left = chunked.select(F.col("rep").alias("a"), F.col("chunk").alias("p"), F.col("id").alias("x"))
+    right = chunked.select(F.col("rep").alias("b"), F.col("chunk").alias("q"), F.col("id").alias("y"))
+    across = wanted.join(left, ["a", "p"]).join(right, ["b", "q"]).select("x", "y", "similarity")
+    several = chunked.filter("n > 1")
+    one = several.select("rep", F.col("chunk").alias("p"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("q"), F.col("id").alias("x"))
+    two = several.select("rep", F.explode(F.sequence(F.lit(0), "chunk")).alias("p"), F.col("chunk").alias("q"), F.col("id").alias("y"))
+    same = one.join(two, ["rep", "p", "q"]).filter("p < q or x < y")
     both = across.unionByName(same.select("x", "y", F.lit(1.0).alias("similarity")))
     return both.select(F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b"), "similarity")
