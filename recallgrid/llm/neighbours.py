@@ -14,9 +14,8 @@ from pyspark.sql.window import Window
 from recallgrid.operators.skew import hot_split_join
 from recallgrid.session import cut_lineage, numbered, pieces
 
-MAX_CELLS = 16_384
-#: Half a window's width against the radius it is to catch.
-WINDOW = 1.33
+#: Half a window's width against the radius it is to catch, and queries of a cell that are counted at a time.
+WINDOW, COUNTED_ROWS = 1.5, 256
 #: Rows of a block's products, pairs kept until the best are taken, and twice the error of a product in single precision.
 ASKED_ROWS, TARGET_ROWS, MOST_WAITING, MARGIN = 256, 4_096, 2_000_000, np.float32(1e-5)
 
@@ -69,109 +68,145 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1)
 
 
-def _assign(pivots: np.ndarray, probes: int):
-    """Each vector with the ``probes`` cells whose pivots are most similar to it, best first."""
-    keep = min(probes, len(pivots))
+def fit_cells(sample: np.ndarray, cells: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pivots in two levels, about the square root of ``cells`` above and as many as ``cells`` below, so that a
+    vector meets few of them however many there are."""
+    above = fit_pivots(sample, max(1, math.isqrt(cells)))
+    nearest = np.concatenate([(sample[s : s + 4096] @ above.T).argmax(axis=1) for s in range(0, len(sample), 4096)])
+    below = [sample[nearest == t] for t in range(len(above))]
+    return above, [fit_pivots(own, max(1, round(cells * len(own) / len(sample)))) if len(own) else above[t : t + 1] for t, own in enumerate(below)]
+
+
+def place_in_cells(x: np.ndarray, above: np.ndarray, below: list[np.ndarray], probes: int, tops: int) -> np.ndarray:
+    """The ``probes`` cells with the pivots most similar to each row, looked for under its ``tops`` best upper pivots; -1 for none."""
+    first = np.cumsum([0, *[len(b) for b in below]])
+    tops = min(tops, len(above))
+    scores = x @ above.T
+    best = np.argpartition(-scores, tops - 1, axis=1)[:, :tops]
+    similar = np.full((len(x), tops, probes), -np.inf, dtype=np.float32)
+    cell = np.full((len(x), tops, probes), -1, dtype=np.int64)
+    row, at = np.divmod(np.argsort(best, axis=None, kind="stable"), tops)
+    cuts = np.searchsorted(best[row, at], np.arange(len(above) + 1))
+    for t, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if s == e:
+            continue
+        inner = x[row[s:e]] @ below[t].T
+        keep = min(probes, inner.shape[1])
+        near = np.argpartition(-inner, keep - 1, axis=1)[:, :keep]
+        similar[row[s:e], at[s:e], :keep] = np.take_along_axis(inner, near, axis=1)
+        cell[row[s:e], at[s:e], :keep] = near + first[t]
+    similar, cell = similar.reshape(len(x), -1), cell.reshape(len(x), -1)
+    return np.take_along_axis(cell, np.argpartition(-similar, probes - 1, axis=1)[:, :probes], axis=1)
+
+
+def _assign(shared, probes: int, tops: int):
+    """Each vector once for each of its cells."""
 
     def run(batches):
+        above, below = shared.value
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            x, out = _matrix(batch.column("vec")), np.empty((n, keep), dtype=np.int32)
-            for s in range(0, n, 512):
-                scores = x[s : s + 512] @ pivots.T
-                out[s : s + 512] = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-            out.sort(axis=1)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, n * keep + 1, keep, dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), cells], names=["id", "vec", "cells"])
+            cell = place_in_cells(_matrix(batch.column("vec")), above, below, probes, tops)
+            row, at = np.nonzero(cell >= 0)
+            rows = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[row, at].astype(np.int32)), rows.column("id"), rows.column("vec")], names=["cell", "id", "vec"])
+
+    return run
+
+
+def _count_cells(shared, probes: int, tops: int):
+    """The rows that a task has for each cell."""
+
+    def run(batches):
+        above, below = shared.value
+        total = np.zeros(sum(map(len, below)), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                cell = place_in_cells(_matrix(batch.column("vec")), above, below, probes, tops)
+                total += np.bincount(cell[cell >= 0], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "rows"])
 
     return run
 
 
 def collision_candidates(x: np.ndarray, directions: np.ndarray, width: float, threshold: int, k: int, levels: int = 2, verify=None):
-    """Pairs of rows that collide on at least ``threshold`` projections, level by level.
+    """Pairs ``i < j`` of rows that collide on at least ``threshold`` projections, with their distances.
 
-    Every projection is one sorted array. A level's window around each row's projection is twice as wide as
-    the level before (virtual rehashing: the arrays stay, only the windows grow), so that just the ring
-    between the two windows is counted anew. ``verify(i, j)`` gets each pair once, when it first reaches
-    the threshold, and returns the distances. A level's radius is its half window over ``WINDOW``; the search
-    ends early if every row has ``k`` verified neighbours nearer than that.
+    Every projection is one sorted array; the window centred on a query is a range of its ranks, and a row collides if its
+    rank lies there. A level's windows are twice as wide as the level before (virtual rehashing: the arrays
+    stay, only the windows grow). Collisions are counted for ``COUNTED_ROWS`` queries at a time, so memory grows with the
+    rows and not with their square. ``verify(i, j)`` returns the distances. A level's radius is its half window over
+    ``WINDOW``; the search ends early if every row has ``k`` verified neighbours nearer than that.
     """
-    n = len(x)
+    n, m = len(x), directions.shape[1]
     projected = x @ directions
-    orders = np.argsort(projected, axis=0, kind="stable").astype(np.int32)
-    ranks = np.take_along_axis(projected, orders, axis=0)
-    counts = np.zeros(n * n, dtype=np.uint8)
-    seen = np.zeros(n * n, dtype=bool)
-    position = np.arange(n)
-    ends = [position + 1 for _ in range(directions.shape[1])]
-    near = np.zeros(n, dtype=np.int64)
+    order = np.argsort(projected, axis=0, kind="stable")
+    values = np.take_along_axis(projected, order, axis=0)
+    small = np.uint16 if n < 65_536 else np.uint32
+    rank = np.empty((m, n), dtype=small)
+    for d in range(m):
+        rank[d, order[:, d]] = np.arange(n, dtype=small)
     for level in range(levels):
         half = width / 2 ** (levels - 1 - level)
-        for d in range(directions.shape[1]):
-            order, values = orders[:, d], ranks[:, d]
-            end = np.searchsorted(values, values + half, side="right")
-            fresh = end - ends[d]
-            total = int(fresh.sum())
-            if total:
-                first = np.cumsum(fresh) - fresh
-                right = order[np.arange(total) + np.repeat(ends[d] - first, fresh)]
-                left = np.repeat(order, fresh)
-                key = np.where(left < right, left, right).astype(np.int64) * n + np.where(left < right, right, left)
-                counts[key] += 1
-            ends[d] = np.maximum(end, ends[d])
-        found = np.flatnonzero((counts >= threshold) & ~seen)
-        seen[found] = True
-        i, j = found // n, found % n
+        low = np.stack([np.searchsorted(values[:, d], projected[:, d] - half) for d in range(m)]).astype(small)
+        reach = np.stack([np.searchsorted(values[:, d], projected[:, d] + half, side="right") for d in range(m)]).astype(small) - low
+        found = []
+        for s in range(0, n, COUNTED_ROWS):
+            own = slice(s, min(n, s + COUNTED_ROWS))
+            count = np.zeros((own.stop - s, n - s), dtype=np.uint8)
+            offset, inside = np.empty(count.shape, dtype=small), np.empty(count.shape, dtype=bool)
+            for d in range(m):
+                # Unsigned, so that a rank below the window wraps to a large number.
+                np.subtract(rank[d, None, s:], low[d, own, None], out=offset)
+                np.less(offset, reach[d, own, None], out=inside)
+                np.add(count, inside.view(np.uint8), out=count)
+            i, j = np.nonzero(count >= threshold)
+            found.append((i[j > i] + s, j[j > i] + s))
+        i, j = (np.concatenate(c) for c in zip(*found))
         distance = verify(i, j)
         # Pairs at the level's radius collide on all but a few projections of the window around it.
-        inside = distance <= half / WINDOW
-        np.add.at(near, i[inside], 1)
-        np.add.at(near, j[inside], 1)
-        if n > k and near.min() >= k:
-            return
+        near = distance <= half / WINDOW
+        counts = np.bincount(np.concatenate([i[near], j[near]]), minlength=n)
+        if n > k and counts.min() >= k:
+            break
+    return i, j, distance
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest number that two rows of the sorted number lists ``a`` and ``b`` share."""
-    out = np.full(len(a), np.iinfo(np.int32).max)
-    for x in range(a.shape[1]):
-        for y in range(b.shape[1]):
-            out = np.where(a[:, x] == b[:, y], np.minimum(out, a[:, x]), out)
-    return out
+def _directions(dim: int, projections: int, seed: int = 11) -> np.ndarray:
+    """Random directions at right angles to each other (as far as ``dim`` allows), of the length of normal ones."""
+    rng = np.random.default_rng(seed)
+    parts = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-projections // dim))]
+    return (np.concatenate(parts, axis=1)[:, :projections] * math.sqrt(dim)).astype(np.float32)
 
 
-def _search_cells(min_similarity: float, k: int, projections: int, width: float, threshold: int, seed: int = 11):
+def _search_cells(min_similarity: float, k: int, projections: int, width: float, threshold: int):
     """The ``k`` most similar vectors of each vector of a cell (or of a pair of a large cell's blocks), from rows
-    sorted by cell. A pair counts in the first cell that both share, which keeps every vector's best ``k``."""
+    sorted by cell. A pair may come out of each cell that both share."""
 
-    def best_of(key, ids, cells, blocks, x):
-        directions = np.random.default_rng(seed).standard_normal((x.shape[1], projections)).astype(np.float32)
-        parts = []
+    def best_of(key, ids, blocks, x):
+        cosine = {}
 
         def verify(i, j):
             similarity = np.empty(len(i), dtype=np.float64)
             for s in range(0, len(i), 100_000):
                 e = slice(s, s + 100_000)
                 similarity[e] = np.einsum("ij,ij->i", x[i[e]], x[j[e]], dtype=np.float64)
-            hit = np.flatnonzero(similarity >= min_similarity)
-            parts.append((i[hit], j[hit], similarity[hit]))
+            cosine["last"] = similarity
             return np.sqrt(np.maximum(0.0, 2 - 2 * similarity))
 
-        collision_candidates(x, directions, width, threshold, k, verify=verify)
-        i, j, similarity = (np.concatenate(c) for c in zip(*parts))
-        own = _first_shared(cells[i], cells[j]) == key[0]
+        i, j, _ = collision_candidates(x, _directions(x.shape[1], projections), width, threshold, k, verify=verify)
+        own = cosine["last"] >= min_similarity
         if key[1] != key[2]:
             own &= blocks[i] != blocks[j]
-        i, j, similarity = i[own], j[own], similarity[own]
+        i, j, similarity = i[own], j[own], cosine["last"][own]
         src, dst, both = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([similarity, similarity])
         place = np.empty(len(ids), dtype=np.int64)
         place[np.argsort(np.array(ids, dtype=object), kind="stable")] = np.arange(len(ids))
         order = np.lexsort((place[dst], -both, src))
         src, dst, both = src[order], dst[order], both[order]
-        first = np.searchsorted(src, src)
-        top = np.arange(len(src)) - first < k
+        top = np.arange(len(src)) - np.searchsorted(src, src) < k
         return [(ids[a], ids[b], s) for a, b, s in zip(src[top].tolist(), dst[top].tolist(), both[top].tolist())]
 
     def table(rows):
@@ -184,8 +219,8 @@ def _search_cells(min_similarity: float, k: int, projections: int, width: float,
         def close():
             if len(ids) < 2:
                 return []
-            x, cells, blocks = (np.concatenate(c) for c in zip(*parts))
-            return best_of(key, ids, cells, blocks, x)
+            x, blocks = (np.concatenate(c) for c in zip(*parts))
+            return best_of(key, ids, blocks, x)
 
         for batch in batches:
             if not batch.num_rows:
@@ -193,7 +228,6 @@ def _search_cells(min_similarity: float, k: int, projections: int, width: float,
             keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "p", "q")], axis=1)
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]])
             x, names = _matrix(batch.column("vec")), batch.column("id").to_pylist()
-            cells = batch.column("cells").flatten().to_numpy().reshape(len(names), -1)
             block = batch.column("block").to_numpy()
             for s, e in zip(cuts[:-1], cuts[1:]):
                 k_now = tuple(keys[s].tolist())
@@ -202,7 +236,7 @@ def _search_cells(min_similarity: float, k: int, projections: int, width: float,
                         yield table(rows)
                     key, ids, parts = k_now, [], []
                 ids += names[s:e]
-                parts.append((x[s:e], cells[s:e], block[s:e]))
+                parts.append((x[s:e], block[s:e]))
         yield table(close())
 
     return run
@@ -214,41 +248,45 @@ def cell_neighbours(
     k: int = 5,
     rows_per_cell: int = 180,
     probes: int = 5,
-    sample_rows: int = 40_000,
+    tops: int = 9,
+    sample_rows: int = 400_000,
     max_cell_rows: int = 3_000,
-    projections: int = 16,
-    threshold: int = 10,
+    projections: int = 24,
+    threshold: int = 18,
 ) -> DataFrame:
     """``id, other, similarity``: of the rows ``id, vec`` with a cosine of ``min_similarity`` or more, at least
     the ``k`` most similar ones of each row.
 
-    Windows over the whole table would hold a fixed share of all rows, so the table is first cut into cells:
-    every vector goes to the ``probes`` cells with the most similar pivots. The pivots are fitted on at most
-    about ``sample_rows`` rows, chosen by hash; every row is indexed. Inside a cell, collision counting
+    Windows over the whole table would hold a fixed share of all rows, so the table is first cut into cells of about
+    ``rows_per_cell`` rows: every vector goes to the ``probes`` cells with the most similar pivots (found under its ``tops`` best pivots of the upper level). The pivots are fitted
+    on 16 rows for each cell, chosen by hash, but no more than about ``sample_rows``, which bounds the cells to half
+    as many; every row is indexed. Inside a cell, collision counting
     proposes pairs (see :func:`collision_candidates`), and their cosine is computed exactly. A cell with
     more than ``max_cell_rows`` rows is cut into blocks, whose pairs are searched one by one, so no
     row is left out. A cell passes on each row's best ``k`` only, so a dense group doesn't emit all its pairs.
     """
-    n = unit.count()
-    cells = min(MAX_CELLS, pieces(n, rows_per_cell))
-    buckets = pieces(n, sample_rows)
-    chosen = unit.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) == 0).select("vec").limit(2 * sample_rows).toArrow()
-    sample = _matrix(chosen.column("vec").combine_chunks()) if chosen.num_rows else np.zeros((1, 1), dtype=np.float32)
+    spark, n = unit.sparkSession, unit.count()
     if n == 0:
         return unit.select("id", F.col("id").alias("other"), F.lit(0.0).alias("similarity"))
-    pivots = fit_pivots(sample, cells)
-    placed = unit.mapInArrow(_assign(pivots, probes), "id string, vec array<float>, cells array<int>")
-    each = placed.select("id", "vec", "cells", F.explode("cells").alias("cell"))
-    # One row per cell, at most MAX_CELLS of them.
-    sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = sizes.select("cell", F.when(F.col("rows") <= max_cell_rows, 1).otherwise(F.ceil(F.col("rows") * 2 / max_cell_rows)).cast("int").alias("blocks"))
-    each = each.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = min(sample_rows // 2, pieces(n, rows_per_cell))
+    buckets = pieces(n, min(sample_rows, max(2_000, 16 * cells)))
+    chosen = unit.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) == 0).select("vec").limit(2 * sample_rows).toArrow()
+    if not chosen.num_rows:
+        chosen = unit.select("vec").limit(1).toArrow()
+    shared = spark.sparkContext.broadcast(fit_cells(_matrix(chosen.column("vec").combine_chunks()), cells))
+    each = unit.mapInArrow(_assign(shared, probes, tops), "cell int, id string, vec array<float>")
+    # One row for each cell that is too large; of these there are at most probes * n / max_cell_rows, and no more than cells.
+    only_cells = unit.mapInArrow(_count_cells(shared, probes, tops), "cell int, rows long").groupBy("cell").agg(F.sum("rows").alias("rows"))
+    sizes = only_cells.filter(F.col("rows") > max_cell_rows).select("cell", F.ceil(F.col("rows") * 2 / max_cell_rows).cast("int").alias("blocks"))
+    each = each.join(F.broadcast(sizes), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    each = each.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "cells", "vec")
+    each = each.select("cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "vec")
     width = max(0.05, WINDOW * math.sqrt(2 - 2 * min_similarity))
     search = _search_cells(min_similarity, k, projections, width, threshold)
-    parts = max(2 * unit.sparkSession.sparkContext.defaultParallelism, pieces(n, 10_000))
-    return each.repartition(parts, "cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(search, "id string, other string, similarity double")
+    parts = max(2 * spark.sparkContext.defaultParallelism, pieces(n, 10_000))
+    found = each.repartition(parts, "cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(search, "id string, other string, similarity double")
+    return found.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
 
 
 def _search_all(k: int):
@@ -363,15 +401,16 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vec_col: str, dim: int,
     searched once: their ids are each other's neighbours with similarity 1, and they share the
     neighbours of the one that stands for them. An empty table gives no rows.
     """
-    unit = cut_lineage(usable_vectors(vectors, id_col, vec_col, dim))
-    heads = cut_lineage(unit.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    unit = cut_lineage(usable_vectors(vectors, id_col, vec_col, dim).withColumns({"h": F.xxhash64("vec"), "h2": F.hash("vec")}))
+    # Equal vectors are told by 96 bits of hashes.
+    heads = cut_lineage(unit.groupBy("h", "h2", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     single = heads.select("id", "vec")
     both = (all_neighbours(single, k, **search) if min_similarity is None else cell_neighbours(single, min_similarity, k, **search)).withColumnRenamed("id", "rep")
     best = Window.partitionBy("rep").orderBy(F.col("similarity").desc(), "other")
     links = cut_lineage(both.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= k).drop("i"))
     # Groups of equal vectors: all members, and the first few that can be anybody's neighbours.
-    groups = heads.filter("n > 1").select(F.xxhash64("vec").alias("h"), F.col("vec").alias("same"), F.col("id").alias("rep"), "n")
-    members = cut_lineage(hot_split_join(unit.withColumn("h", F.xxhash64("vec")), groups, "h").filter("vec = same").select("rep", "id", "n"))
+    groups = heads.filter("n > 1").select("h", F.col("h2").alias("same"), F.col("id").alias("rep"), "n")
+    members = cut_lineage(hot_split_join(unit.select("id", "h", "h2"), groups, "h").filter("h2 = same").select("rep", "id", "n"))
     in_group = Window.partitionBy("rep").orderBy("id")
     firsts = members.withColumn("i", F.row_number().over(in_group)).filter(F.col("i") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("firsts"))
     copies = hot_split_join(members.select("rep", "id"), firsts, "rep").select("id", F.explode("firsts").alias("neighbour"), F.lit(1.0).alias("similarity")).filter("id <> neighbour")
