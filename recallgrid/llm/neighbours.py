@@ -15,7 +15,7 @@ from recallgrid.operators.skew import hot_split_join
 from recallgrid.session import cut_lineage, numbered, pieces
 
 #: Half a window's width against the radius it is to catch, and queries of a cell that are counted at a time.
-WINDOW, COUNTED_ROWS = 1.5, 256
+WINDOW, COUNTED_ROWS = 1.5, 128
 #: Rows of a block's products, pairs kept until the best are taken, and twice the error of a product in single precision.
 ASKED_ROWS, TARGET_ROWS, MOST_WAITING, MARGIN = 256, 4_096, 2_000_000, np.float32(1e-5)
 
@@ -141,18 +141,20 @@ def collision_candidates(x: np.ndarray, directions: np.ndarray, width: float, th
     ``WINDOW``; the search ends early if every row has ``k`` verified neighbours nearer than that.
     """
     n, m = len(x), directions.shape[1]
-    projected = x @ directions
-    order = np.argsort(projected, axis=0, kind="stable")
-    values = np.take_along_axis(projected, order, axis=0)
+    projected = np.ascontiguousarray((x @ directions).T)
+    order = np.argsort(projected, axis=1)
+    values = np.take_along_axis(projected, order, axis=1)
     small = np.uint16 if n < 65_536 else np.uint32
     rank = np.empty((m, n), dtype=small)
-    for d in range(m):
-        rank[d, order[:, d]] = np.arange(n, dtype=small)
+    np.put_along_axis(rank, order, np.arange(n, dtype=small)[None, :], axis=1)
     for level in range(levels):
         half = width / 2 ** (levels - 1 - level)
-        low = np.stack([np.searchsorted(values[:, d], projected[:, d] - half) for d in range(m)]).astype(small)
-        reach = np.stack([np.searchsorted(values[:, d], projected[:, d] + half, side="right") for d in range(m)]).astype(small) - low
-        found = []
+        # Ends of the windows, for the sorted queries first: neighbouring searches are quick.
+        low, high = np.empty((m, n), dtype=small), np.empty((m, n), dtype=small)
+        for d in range(m):
+            low[d, order[d]] = np.searchsorted(values[d], values[d] - half)
+            high[d, order[d]] = np.searchsorted(values[d], values[d] + half, side="right")
+        reach, found = high - low, []
         for s in range(0, n, COUNTED_ROWS):
             own = slice(s, min(n, s + COUNTED_ROWS))
             count = np.zeros((own.stop - s, n - s), dtype=np.uint8)
@@ -163,14 +165,17 @@ def collision_candidates(x: np.ndarray, directions: np.ndarray, width: float, th
                 np.less(offset, reach[d, own, None], out=inside)
                 np.add(count, inside.view(np.uint8), out=count)
             i, j = np.nonzero(count >= threshold)
-            found.append((i[j > i] + s, j[j > i] + s))
-        i, j = (np.concatenate(c) for c in zip(*found))
-        distance = verify(i, j)
-        # Pairs at the level's radius collide on all but a few projections of the window around it.
-        near = distance <= half / WINDOW
-        counts = np.bincount(np.concatenate([i[near], j[near]]), minlength=n)
-        if n > k and counts.min() >= k:
-            break
+            i, j = i[j > i] + s, j[j > i] + s
+            found.append((i, j, verify(i, j)))
+            # Pairs at the level's radius collide on all but a few projections of the window around it.
+            near = found[-1][2] <= half / WINDOW
+            if s == 0 and level < levels - 1 and (n <= k or np.bincount(np.concatenate([i[near], j[near]]), minlength=n)[: own.stop].min() < k):
+                break  # These rows have met all others and lack neighbours: on to wider windows.
+        else:
+            i, j, distance = (np.concatenate(c) for c in zip(*found))
+            near = distance <= half / WINDOW
+            if np.bincount(np.concatenate([i[near], j[near]]), minlength=n).min() >= k:
+                break
     return i, j, distance
 
 
@@ -186,21 +191,19 @@ def _search_cells(min_similarity: float, k: int, projections: int, width: float,
     sorted by cell. A pair may come out of each cell that both share."""
 
     def best_of(key, ids, blocks, x):
-        cosine = {}
-
         def verify(i, j):
             similarity = np.empty(len(i), dtype=np.float64)
             for s in range(0, len(i), 100_000):
                 e = slice(s, s + 100_000)
                 similarity[e] = np.einsum("ij,ij->i", x[i[e]], x[j[e]], dtype=np.float64)
-            cosine["last"] = similarity
             return np.sqrt(np.maximum(0.0, 2 - 2 * similarity))
 
-        i, j, _ = collision_candidates(x, _directions(x.shape[1], projections), width, threshold, k, verify=verify)
-        own = cosine["last"] >= min_similarity
+        i, j, distance = collision_candidates(x, _directions(x.shape[1], projections), width, threshold, k, verify=verify)
+        similarity = 1 - distance**2 / 2
+        own = similarity >= min_similarity
         if key[1] != key[2]:
             own &= blocks[i] != blocks[j]
-        i, j, similarity = i[own], j[own], cosine["last"][own]
+        i, j, similarity = i[own], j[own], similarity[own]
         src, dst, both = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([similarity, similarity])
         place = np.empty(len(ids), dtype=np.int64)
         place[np.argsort(np.array(ids, dtype=object), kind="stable")] = np.arange(len(ids))
@@ -246,7 +249,7 @@ def cell_neighbours(
     unit: DataFrame,
     min_similarity: float,
     k: int = 5,
-    rows_per_cell: int = 180,
+    rows_per_cell: int = 100,
     probes: int = 5,
     tops: int = 9,
     sample_rows: int = 400_000,
