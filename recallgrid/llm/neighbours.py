@@ -115,22 +115,6 @@ def _assign(shared, probes: int, tops: int):
     return run
 
 
-def _count_cells(shared, probes: int, tops: int):
-    """The rows that a task has for each cell."""
-
-    def run(batches):
-        above, below = shared.value
-        total = np.zeros(sum(map(len, below)), dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                cell = place_in_cells(_matrix(batch.column("vec")), above, below, probes, tops)
-                total += np.bincount(cell[cell >= 0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "rows"])
-
-    return run
-
-
 def collision_candidates(x: np.ndarray, directions: np.ndarray, width: float, threshold: int, k: int, levels: int = 2, verify=None):
     """Pairs ``i < j`` of rows that collide on at least ``threshold`` projections, with their distances.
 
@@ -265,7 +249,7 @@ def cell_neighbours(
     on 16 rows for each cell, chosen by hash, but no more than about ``sample_rows``, which bounds the cells to half
     as many; every row is indexed. Inside a cell, collision counting
     proposes pairs (see :func:`collision_candidates`), and their cosine is computed exactly. A cell with
-    more than ``max_cell_rows`` rows is cut into blocks, whose pairs are searched one by one, so no
+    more than about ``max_cell_rows`` rows (as the sample shows) is cut into blocks, whose pairs are searched one by one, so no
     row is left out. A cell passes on each row's best ``k`` only, so a dense group doesn't emit all its pairs.
     """
     spark, n = unit.sparkSession, unit.count()
@@ -276,12 +260,17 @@ def cell_neighbours(
     chosen = unit.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) == 0).select("vec").limit(2 * sample_rows).toArrow()
     if not chosen.num_rows:
         chosen = unit.select("vec").limit(1).toArrow()
-    shared = spark.sparkContext.broadcast(fit_cells(_matrix(chosen.column("vec").combine_chunks()), cells))
+    sample = _matrix(chosen.column("vec").combine_chunks())
+    above, below = fit_cells(sample, cells)
+    shared = spark.sparkContext.broadcast((above, below))
     each = unit.mapInArrow(_assign(shared, probes, tops), "cell int, id string, vec array<float>")
-    # One row for each cell that is too large; of these there are at most probes * n / max_cell_rows, and no more than cells.
-    only_cells = unit.mapInArrow(_count_cells(shared, probes, tops), "cell int, rows long").groupBy("cell").agg(F.sum("rows").alias("rows"))
-    sizes = only_cells.filter(F.col("rows") > max_cell_rows).select("cell", F.ceil(F.col("rows") * 2 / max_cell_rows).cast("int").alias("blocks"))
-    each = each.join(F.broadcast(sizes), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # The sample tells which cells are large: at most as many rows as cells.
+    placed = np.concatenate([place_in_cells(sample[s : s + 10_000], above, below, probes, tops) for s in range(0, len(sample), 10_000)])
+    rows = np.bincount(placed[placed >= 0]) * (n / len(sample))
+    wide = [(int(c), math.ceil(rows[c] * 2 / max_cell_rows)) for c in np.flatnonzero(rows > max_cell_rows)]
+    each = each.withColumn("blocks", F.lit(1))
+    if wide:
+        each = each.drop("blocks").join(F.broadcast(spark.createDataFrame(wide, "cell int, blocks int")), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     each = each.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "vec")
