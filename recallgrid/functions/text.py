@@ -14,8 +14,10 @@ from recallgrid.functions.hangul import has_hangul, jamo, strip_suffix
 # Words without signal, marks of token kinds, negation markers, input bounds, hash constants.
 STOPWORDS = "the a an of to and is in it i you".split()
 JAMO_MARK, CROSS_MARK = "ⱼ", "ₓ"
-NEGATIONS = ["않", "안 ", "안된", "안 된", "안됨", "못 ", "못한", "못함", "없", "아니", "불가", "금지", "말 것", "실패"]
-NEGATIONS += ["not ", "no ", "never", "don't", "doesn't", "can't", "cannot", "won't", "broken", "fails", "failed", "disabled", "unavailable"]
+NEGATIONS = [
+    "않", "안 ", "안된", "안 된", "안됨", "못 ", "못한", "못함", "없", "아니", "불가", "금지", "말 것", "실패",
+    "not ", "no ", "never", "don't", "doesn't", "can't", "cannot", "won't", "broken", "fails", "failed", "disabled", "unavailable",
+]
 WORD_CHARS, LONG_NUMBER = 128, 6
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 

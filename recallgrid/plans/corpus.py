@@ -28,8 +28,6 @@ QUERY_TEXTS = {
     "q9": "여권 비자 환율",
     "q10": "nothing zzqqyyxx",
 }
-#: The caps that these queries' SQL states; the operators and the engine have none by default.
-SQL_TOKENS, SQL_CANDIDATES = 2048, 64
 LEAST_CONFLICT = 0.15
 ENTITIES = ["서버", "비용", "보일러"]
 
@@ -75,7 +73,7 @@ def tok_char_ngrams(spark, sf_dir):
 
 
 def tok_lexical_counts(spark, sf_dir):
-    terms = postings(_plain(spark, sf_dir), title_boost=1.0, limit=SQL_TOKENS)
+    terms = postings(_plain(spark, sf_dir), title_boost=1.0)
     return terms.groupBy("term").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -84,19 +82,19 @@ def ko_cross_space(spark, sf_dir):
 
 
 def doc_len(spark, sf_dir):
-    rows = postings(_plain(spark, sf_dir), title_boost=1.0, limit=SQL_TOKENS)
+    rows = postings(_plain(spark, sf_dir), title_boost=1.0)
     return rows.groupBy(F.col("node_id").alias("doc_id")).agg(F.max("doc_len").alias("doc_len"))
 
 
 def tf_sublinear(spark, sf_dir):
-    rows = postings(_plain(spark, sf_dir), title_boost=1.0, limit=SQL_TOKENS)
+    rows = postings(_plain(spark, sf_dir), title_boost=1.0)
     return rows.select(F.col("node_id").alias("doc_id"), "term", F.round("tf", 6).alias("tf"))
 
 
 def title_boost_tf(spark, sf_dir):
     """Weights of the terms of titled notes."""
     bodies = _bodies(spark, sf_dir).filter("title <> ''")
-    return postings(bodies, limit=SQL_TOKENS, title_limit=64).groupBy(F.col("node_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("tf"), 5).alias("tf_sum"))
+    return postings(bodies).groupBy(F.col("node_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("tf"), 5).alias("tf_sum"))
 
 
 def df_idf(spark, sf_dir):
@@ -106,9 +104,9 @@ def df_idf(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, queries):
-    terms = cut_lineage(query_terms(queries, limit=256))
+    terms = cut_lineage(query_terms(queries))
     asked = {r["term"] for r in terms.select("term").distinct().collect()}  # the fixed query texts' terms
-    rows = cut_lineage(postings(_plain(spark, sf_dir), title_boost=1.0, limit=SQL_TOKENS, only=asked))
+    rows = cut_lineage(postings(_plain(spark, sf_dir), title_boost=1.0, only=asked))
     lengths = rows.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean")).first()
     return bm25(terms, rows.filter("term is not null"), max(1, lengths["n"]), max(1.0, lengths["mean"] or 0.0))
 
@@ -140,20 +138,13 @@ def _word_sets(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", words.alias("words"), text.has_negation(F.col("text")).alias("negated"))
 
 
-def contradiction_pairs(spark, sf_dir, candidates: int | None = SQL_CANDIDATES):
-    """Conflicts of the documents whose id is divisible by 100 (the stated query set) with all others, or with the
-    ``candidates`` that share the most words with each."""
+def contradiction_pairs(spark, sf_dir):
+    """Conflicts of the documents whose id is divisible by 100 (the stated query set) with all others."""
     sets = cut_lineage(_word_sets(spark, sf_dir))
     asked = sets.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("node_id"), F.col("words"), "negated")
     others = sets.select(F.col("doc_id").alias("other_id"), "words")
-    if candidates is None:
-        # A score is at most 1.5 times the jaccard, as the cosine isn't negative here.
-        best = overlapping(asked, others, LEAST_CONFLICT / 1.5)
-    else:
-        # The inverted index over words gives the candidates; the overlap ranks them.
-        hits = asked.select("node_id", F.explode("words").alias("w")).join(others.select("other_id", F.explode("words").alias("w")), "w")
-        shared = hits.filter("node_id <> other_id").groupBy("node_id", "other_id").agg(F.count(F.lit(1)).alias("score"))
-        best = top_k(shared, candidates, by="node_id", tie="other_id").select("node_id", "other_id")
+    # A score is at most 1.5 times the jaccard, as the cosine isn't negative here.
+    best = overlapping(asked, others, LEAST_CONFLICT / 1.5)
     other = sets.select(F.col("doc_id").alias("other_id"), F.col("words").alias("other_words"), F.col("negated").alias("other_negated"))
     pairs = best.join(asked, "node_id").join(other, "other_id")
     cosine = F.size(F.array_intersect("words", "other_words")) / F.sqrt(F.size("words") * F.size("other_words"))
@@ -205,20 +196,21 @@ def fnv_bucket(spark, sf_dir):
 
 
 def query_perturbations(spark, sf_dir):
-    """Deterministic mutations of the first line of each document, as a query."""
-    q = _texts(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("q"))
+    """Deterministic mutations of each document, as a query."""
+    q = _texts(spark, sf_dir).select("doc_id", F.col("text").alias("q"))
     c = F.col("q")
     return q.select("doc_id", perturb.unspaced(c).alias("spacing"), perturb.longest_word(c).alias("compound"), perturb.translated(c).alias("koen"), perturb.head_only(c).alias("homonym"))
 
 
 def query_typos(spark, sf_dir):
-    q = _texts(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("q"))
+    """Mutations that draw: a particle exchanged, and letters mistyped, in each document as a query."""
+    q = _texts(spark, sf_dir).select("doc_id", F.col("text").alias("q"))
     return q.select("doc_id", perturb.swapped_particle(F.col("q")).alias("josa"), perturb.mistyped(F.col("q")).alias("jamo"))
 
 
 def stored_text(spark, sf_dir):
     """What the store keeps of a body."""
-    return _texts(spark, sf_dir).select("doc_id", F.sha1(F.substring("text", 1, 4000)).alias("kept_sha"))
+    return _texts(spark, sf_dir).select("doc_id", F.sha1("text").alias("kept_sha"))
 
 
 _NAMES = """tok_words tok_filters tok_char_ngrams tok_lexical_counts ko_cross_space doc_len tf_sublinear title_boost_tf df_idf bm25_scores bm25_topk
@@ -239,7 +231,7 @@ _TEXTS = "docs as (select doc_id, text from documents where text is not null)"
 
 
 def _words_of(c: str) -> str:
-    return f"""list_transform(list_filter(regexp_extract_all(lower(substr({c}, 1, 500000)), '{_CLASS}'),
+    return f"""list_transform(list_filter(regexp_extract_all(lower({c}), '{_CLASS}'),
     lambda w: w not in ({_STOP}) and not (length(w) > 6 and regexp_full_match(w, '\\p{{Nd}}+'))), lambda w: substr(w, 1, 128))"""
 
 
@@ -256,8 +248,8 @@ def _grams(w: str, n: int) -> str:
     return f"case when length({w}) > {n} then list_transform(range(1, length({w}) - {n} + 2), lambda i: substr({w}, i::bigint, {n})) else [] end"
 
 
-def tokens_sql(source: str, limit: int) -> str:
-    """CTE bodies that end in ``toks(id, term)``: the first ``limit`` tokens of ``source(id, body)``."""
+def tokens_sql(source: str) -> str:
+    """CTE bodies that end in ``toks(id, term)``: the tokens of ``source(id, body)``."""
     return f"""
 split as (select id, {_words_of("body")} as ws from {source}),
 placed as (select id, unnest(ws) as w, generate_subscripts(ws, 1) as i from split),
@@ -272,22 +264,21 @@ parts as (
   union all select id, i, 2, 0, {_grams("w", 3)} from stems where not ko and length(w) > 3
   union all select id, run_end + 1, 1, i, ['{text.CROSS_MARK}' || substr(w, length(w), 1) || substr(next_w, 1, 1)] from stems where ko and next_w is not null
 ),
-flat as (select id, k1, k2, k3, unnest(ts) as term, generate_subscripts(ts, 1) as k4 from parts),
-toks as (select id, term from (select id, term, row_number() over (partition by id order by k1, k2, k3, k4) as n from flat) where n <= {limit})"""
+toks as (select id, unnest(ts) as term from parts)"""
 
 
-_COUNTS = f"with {_TEXTS}, src as (select doc_id as id, text as body from docs), {tokens_sql('src', 2048)}, tc as (select id, term, count(*) as n from toks group by id, term)"
+_COUNTS = f"with {_TEXTS}, src as (select doc_id as id, text as body from docs), {tokens_sql('src')}, tc as (select id, term, count(*) as n from toks group by id, term)"
 _LENS = "lens as (select id, count(*) as doc_len from toks group by id)"
 
 
 def _renamed(sql: str, prefix: str) -> str:
     """Token CTEs under other names, for a second token stream in one statement."""
-    return re.sub(r"\b(split|placed|marked|runs|spans|stems|parts|flat|toks)\b", rf"{prefix}\1", sql)
+    return re.sub(r"\b(split|placed|marked|runs|spans|stems|parts|toks)\b", rf"{prefix}\1", sql)
 
 
 def _bm25_sql(queries: dict[str, str]) -> str:
     rows = ", ".join(f"({_quoted([k, v])})" for k, v in queries.items())
-    mine = _renamed(tokens_sql("qsrc", 256), "q")
+    mine = _renamed(tokens_sql("qsrc"), "q")
     return f"""{_COUNTS}, {_LENS}, qsrc(id, body) as (values {rows}), {mine},
 qt as (select id as qid, term, 1 + ln(count(*)::double) as weight from qtoks group by id, term),
 stat as (select greatest(1, (select count(*) from docs))::double as n, greatest(1.0::double, (select coalesce(sum(doc_len), 0) from lens)::double / greatest(1, (select count(*) from docs))) as mean),
@@ -320,9 +311,8 @@ ranked as (
   select a.doc_id as node_id, b.doc_id as other_id, a.words as wa, b.words as wb, a.negated <> b.negated as negation_flip, len(list_intersect(a.words, b.words)) as shared
   from asked a join sets b on a.doc_id <> b.doc_id and list_has_any(a.words, b.words)
 ),
-cand as (select * from (select *, row_number() over (partition by node_id order by shared desc, other_id) as i from ranked) where i <= 64),
 measured as (
-  select node_id, other_id, negation_flip, shared::double / (len(wa) + len(wb) - shared) as jaccard, shared::double / sqrt((len(wa) * len(wb))::double) as cosine from cand
+  select node_id, other_id, negation_flip, shared::double / (len(wa) + len(wb) - shared) as jaccard, shared::double / sqrt((len(wa) * len(wb))::double) as cosine from ranked
 ), conflict as (
   select *, jaccard * (greatest(0.0::double, 1 - cosine) + case when negation_flip then 0.5::double else 0.0::double end) as score from measured
 )"""
@@ -333,10 +323,32 @@ for _ko, _en in perturb.KO_EN.items():
 _QWORDS = r"list_filter(string_split_regex(trim(q), '\s+'), lambda w: length(w) >= 2 and regexp_matches(w, '^[가-힣]'))"
 _LONGEST = f"list_filter({_QWORDS}, lambda w: length(w) = list_max(list_transform({_QWORDS}, lambda v: length(v))))[1]"
 
+def _draw(of: int, *parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '41', {', '.join(parts)})), 1, 8))::bigint % {of})"
+
+
+_SWAPS = "case {p} " + " ".join(f"when '{a}' then '{b}'" for a, b in perturb.PARTICLE_SWAPS.items()) + " end"
+_FORM = f"^(.{{2,}})({'|'.join(sorted(perturb.PARTICLE_SWAPS, key=len, reverse=True))})$"
+_TYPOS = rf"""with q as (select doc_id, text as q from documents where text is not null),
+w as (select doc_id, q, list_filter(string_split_regex(q, '\s+'), lambda w: w <> '') as ws from q),
+ww as (select doc_id, q, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from w),
+wd as (select *, regexp_matches(w, '{_FORM}') as fits, {_draw(2**31, 'i::varchar', 'q')} as n from ww),
+wp as (select *, row_number() over (partition by doc_id order by case when fits then n end nulls last, i) = 1 and fits as hit from wd),
+josa as (select doc_id, string_agg(case when hit then regexp_extract(w, '{_FORM}', 1) || {_SWAPS.format(p=f"regexp_extract(w, '{_FORM}', 2)")} else w end, ' ' order by i) as josa, bool_or(hit) as any_hit from wp group by doc_id),
+c as (select doc_id, q, unnest(string_split(q, '')) as c, generate_subscripts(string_split(q, ''), 1) - 1 as i from q),
+cd as (select *, regexp_matches(c, '[가-힣]') as ko, {_draw(2**31, 'i::varchar', 'q')} as n, 1 + {_draw(2, 'q')} as many from c),
+cp as (select *, ko and row_number() over (partition by doc_id order by case when ko then n end nulls last, i) <= many as hit, unicode(c) - 44032 as code,
+  {_draw(3, "'kind'", 'i::varchar', 'q')} as kind, {_draw(2**20, "'step'", 'i::varchar', 'q')} as step from cd),
+parts as (select *, code // 588 as lead, code % 588 // 28 as vowel, code % 28 as tail from cp),
+jamo as (select doc_id, bool_or(hit) as any_hit, string_agg(case when hit then chr((44032 + (case when kind = 2 or (kind = 1 and tail = 0) then (lead + 1 + step % 18) % 19 else lead end) * 588
+  + (case when kind = 0 then (vowel + 1 + step % 20) % 21 else vowel end) * 28 + case when kind = 1 then 0 else tail end)::int) else c end, '' order by i) as jamo from parts group by doc_id)
+select q.doc_id, case when josa.any_hit then josa.josa end as josa, case when jamo.any_hit then jamo.jamo end as jamo from q left join josa using (doc_id) left join jamo using (doc_id)"""
+
 ORACLES = {
+    "query_typos": _TYPOS,
     "tok_words": f"with {_TEXTS} select doc_id, len(ws) as n_words, sha1(coalesce(list_aggregate(ws, 'string_agg', ' '), '')) as digest from (select doc_id, {_words_of('text')} as ws from docs)",
     "tok_filters": f"""with {_TEXTS} select case when w in ({_STOP}) then 'stopword' when length(w) > 6 and regexp_full_match(w, '\\p{{Nd}}+') then 'long number' else 'kept' end as reason, count(*) as n
-      from (select unnest(regexp_extract_all(lower(substr(text, 1, 500000)), '{_CLASS}')) as w from docs) group by 1""",
+      from (select unnest(regexp_extract_all(lower(text), '{_CLASS}')) as w from docs) group by 1""",
     "tok_char_ngrams": f"""with {_TEXTS}, ws as (select unnest({_words_of('text')}) as w from docs), c as (select w, count(*) as n from ws group by w)
       select gram, cast(sum(n) as bigint) as n from (select n, unnest(case when regexp_matches(w, '[가-힣]') then {_grams('w', 2)} when length(w) > 3 then {_grams('w', 3)} else [] end) as gram from c) group by gram""",
     "tok_lexical_counts": f"{_COUNTS} select term, cast(sum(n) as bigint) as n_total, count(*) as n_docs from tc group by term",
@@ -346,7 +358,7 @@ ORACLES = {
     "title_boost_tf": rf"""with {_TEXTS}, fronts as (select *, {_FRONT_SQL} as front from docs),
       titled as (select doc_id, text, regexp_replace(trim(regexp_extract(front, '(?m)^title:(.*)$', 1), ' '), '^"|"$', '', 'g') as title from fronts where regexp_matches(front, '(?m)^title:')),
       src as (select doc_id as id, title || chr(10) || text as body from titled where title <> ''), tsrc as (select doc_id as id, title as body from titled where title <> ''),
-      {tokens_sql('src', 2048)}, {_renamed(tokens_sql('tsrc', 64), 't')},
+      {tokens_sql('src')}, {_renamed(tokens_sql('tsrc'), 't')},
       tc as (select id, term, 1 + ln(count(*)::double) as tf from toks group by id, term union all select distinct id, term, 1.0::double from ttoks)
       select id as doc_id, count(*) as n_terms, round(sum(tf), 5) as tf_sum from (select id, term, sum(tf) as tf from tc group by id, term) group by id""",
     "df_idf": f"{_COUNTS} select term, count(*) as df, round(ln(1 + ((select count(*) from docs)::double - count(*) + 0.5::double) / (count(*) + 0.5::double)), 6) as idf from tc group by term",
@@ -369,9 +381,9 @@ ORACLES = {
     "ko_jamo": f"select tid, {_jamo_sql(False)} as jamo, {_jamo_sql(True)} as padded from terms",
     "ko_strip_suffix": f"with {_TEXTS} select word, {_strip_of('word')} as stem from (select distinct unnest({_words_of('text')}) as word from docs)",
     "fnv_bucket": f"select tid, cast(h % 65536 as bigint) as b1, cast(xor((h // 4294967296)::ubigint, (h % 4294967296)::ubigint) % 65536 as bigint) as b2 from (select tid, {_HASH} as h from terms where term is not null)",
-    "query_perturbations": f"""with q as (select doc_id, string_split(text, chr(10))[1] as q from documents where text is not null)
+    "query_perturbations": f"""with q as (select doc_id, text as q from documents where text is not null)
       select doc_id, case when contains(q, ' ') then replace(q, ' ', '') end as spacing, case when len({_QWORDS}) >= 2 and {_LONGEST} <> trim(q) then {_LONGEST} end as compound,
         case when {_KOEN} <> q then {_KOEN} end as koen,
         case when len(string_split_regex(trim(q), '\\s+')) >= 4 then list_aggregate(string_split_regex(trim(q), '\\s+')[1:2], 'string_agg', ' ') end as homonym from q""",
-    "stored_text": f"with {_TEXTS} select doc_id, sha1(substr(text, 1, 4000)) as kept_sha from docs",
+    "stored_text": f"with {_TEXTS} select doc_id, sha1(text) as kept_sha from docs",
 }

@@ -5,6 +5,8 @@ A query asks for nodes like the probe: its terms are the probe node's terms, its
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recallgrid.operators import dense, features, fusion, graph, lexical, metrics, ranker
@@ -180,15 +182,40 @@ def geometry_corr(spark, sf_dir):
     return geometry(rows.select("node_id", "vec", F.slice("vec", 1, 16).alias("other")))
 
 
+def _pair_sums(rows):
+    """``n, sum x, sum y, sum xx, sum yy, sum xy`` over all pairs of ``rows(node_id, vec, other)`` with the cosines x of
+    ``vec`` and y of ``other``: of unit rows A and B, the Gram and cross matrices and the column sums have them all."""
+    good = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(c, lambda x: x != 0)
+
+    def run(batches):
+        n, sums = 0, None
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (dense.unit(dense.matrix(batch.column(c))) for c in ("vec", "other"))
+                own = [a.T @ a, b.T @ b, a.T @ b, a.sum(axis=0), b.sum(axis=0)]
+                n, sums = n + len(a), own if sums is None else [s + o for s, o in zip(sums, own)]
+        if sums is not None:
+            flat = np.concatenate([np.ravel(s) for s in sums])
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([a.shape[1]]), pa.array([b.shape[1]]), pa.array([flat.tolist()])], names=["n", "p", "q", "sums"])
+
+    parts = rows.filter(good("vec") & good("other")).select("vec", "other").mapInArrow(run, "n long, p long, q long, sums array<double>")
+    total = parts.agg(F.sum("n").alias("n"), F.max("p").alias("p"), F.max("q").alias("q")).first()
+    if not total["n"]:
+        return 0, *[0.0] * 5
+    # One row per entry of the matrices, whatever the number of rows.
+    entries = parts.select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s")).orderBy("at").toArrow().column("s").to_numpy()
+    n, p, q = total["n"], total["p"], total["q"]
+    aa, bb, ab, a, b = np.split(entries, np.cumsum([p * p, q * q, p * q, p]))
+    half = lambda x, own: (float((x**2).sum()) - own) / 2
+    return n * (n - 1) // 2, half(a, n), half(b, n), half(aa, n), half(bb, n), half(ab, n)
+
+
 def geometry(rows):
-    """``corr, n_pairs`` over all pairs of ``rows(node_id, vec, other)``; meant for a bounded hold-out."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(F.col(c), F.col(c))))
-    unit = rows.select("node_id", norm("vec").alias("vec"), norm("other").alias("other"))
-    pairs = unit.alias("a").join(unit.alias("b"), F.col("a.node_id") < F.col("b.node_id"))
-    sims = pairs.select(dot(F.col("a.vec"), F.col("b.vec")).alias("x"), dot(F.col("a.other"), F.col("b.other")).alias("y"))
-    corr = F.when((F.stddev_pop("x") < 1e-9) | (F.stddev_pop("y") < 1e-9), 0.0).otherwise(F.corr("x", "y"))
-    return sims.agg(F.round(F.coalesce(corr, F.lit(0.0)), 6).alias("corr"), F.count(F.lit(1)).alias("n_pairs"))
+    """``corr, n_pairs``: the correlation of the cosines of all pairs of ``rows(node_id, vec, other)``, without pairing them."""
+    m, x, y, xx, yy, xy = _pair_sums(rows)
+    spread_x, spread_y = (max(0.0, s2 / m - (s / m) ** 2) ** 0.5 if m else 0.0 for s, s2 in ((x, xx), (y, yy)))
+    corr = 0.0 if spread_x < 1e-9 or spread_y < 1e-9 else (xy / m - x * y / m**2) / (spread_x * spread_y)
+    return rows.sparkSession.createDataFrame([(round(corr, 6), m)], "corr double, n_pairs long")
 
 
 def hash_embed_norms(spark, sf_dir):
