@@ -78,26 +78,43 @@ def _restart(seeds: DataFrame) -> DataFrame:
     return seeds.select("qid", "node_id", (F.col("score") / F.sum("score").over(total)).alias("v"))
 
 
-def pagerank_loop(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int = 20, cut_every: int = 4) -> DataFrame:
+def pagerank_loop(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int = 20, tolerance: float | None = None, others: int | None = None) -> DataFrame:
     """``qid, etype, node_id, score`` by ``rounds`` joins and sums; for graphs of any size.
 
-    ``seeds(qid, node_id, score)`` restarts each query; mass on nodes without edges goes back to the seeds.
-    Types without edges give no rows.
+    ``seeds(qid, node_id, score)`` restarts each query; mass on nodes without edges goes back to the seeds. With a
+    ``tolerance`` a query's walk over a type ends when a round moves less mass than that, as in :func:`walk`; ``others``
+    is as in :func:`pagerank`. Types without edges give no rows.
     """
     types = adj.select("etype").distinct()
     restart = cut_lineage(_restart(seeds).join(F.broadcast(types)))  # at most a row per edge type
     out = cut_lineage(adj.select("etype", F.col("src").alias("node_id"), "dst", "p"))
     has_out = out.select("etype", "node_id").distinct()
-    rank = restart.withColumnRenamed("v", "score")
+    rank, ended = restart.withColumnRenamed("v", "score"), None
     for i in range(rounds):
         share = rank.withColumn("score", F.col("score") * (1 - alpha))
         moved = share.join(out, ["etype", "node_id"]).select("qid", "etype", F.col("dst").alias("node_id"), (F.col("score") * F.col("p")).alias("score"))
         lost = share.join(has_out, ["etype", "node_id"], "left_anti").groupBy("qid", "etype").agg(F.sum("score").alias("lost"))
-        back = restart.join(lost, ["qid", "etype"], "left").select("qid", "etype", "node_id", (F.col("v") * (F.lit(alpha) + F.coalesce("lost", F.lit(0.0)))).alias("score"))
-        rank = moved.unionByName(back).groupBy("qid", "etype", "node_id").agg(F.sum("score").alias("score"))
-        if (i + 1) % cut_every == 0:
-            rank = cut_lineage(rank)
-    return rank
+        going = rank.select("qid", "etype").distinct()
+        back = restart.join(going, ["qid", "etype"], "left_semi").join(lost, ["qid", "etype"], "left")
+        back = back.select("qid", "etype", "node_id", (F.col("v") * (F.lit(alpha) + F.coalesce("lost", F.lit(0.0)))).alias("score"))
+        new = moved.unionByName(back).groupBy("qid", "etype", "node_id").agg(F.sum("score").alias("score"))
+        if tolerance is None:
+            rank = cut_lineage(new) if i % 4 == 3 else new
+            continue
+        new = cut_lineage(new)
+        change = new.unionByName(rank.withColumn("score", -F.col("score"))).groupBy("qid", "etype", "node_id").agg(F.sum("score").alias("d"))
+        still = cut_lineage(change.groupBy("qid", "etype").agg(F.sum(F.abs("d")).alias("gap")).filter(F.col("gap") >= tolerance).select("qid", "etype"))
+        done = new.join(still, ["qid", "etype"], "left_anti")
+        ended = done if ended is None else ended.unionByName(done)
+        rank = cut_lineage(new.join(still, ["qid", "etype"], "left_semi"))
+        if rank.isEmpty():
+            break
+    rank = rank if ended is None else rank.unionByName(ended)
+    if others is None:
+        return rank
+    pool = cut_lineage(rank.filter("score > 0"))
+    best = expansion(pool, seeds, others).select("qid", "node_id")
+    return pool.join(best.unionByName(seeds.select("qid", "node_id").distinct()), ["qid", "node_id"], "left_semi")
 
 
 def walk(src: np.ndarray, dst: np.ndarray, p: np.ndarray, size: int, home: np.ndarray, restart: np.ndarray, alpha: float, rounds: int, tolerance: float | None) -> np.ndarray:
@@ -128,7 +145,7 @@ def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int =
     """
     n = adj.count()
     if n > local_edges:
-        return pagerank_loop(adj, seeds, alpha, rounds)
+        return pagerank_loop(adj, seeds, alpha, rounds, tolerance, others)
     spark = adj.sparkSession
     edges = adj.select("etype", "src", "dst", "p").toArrow()
     graphs = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions.text import lexical_stream
 from recallgrid.operators.fusion import top_k
-from recallgrid.session import shuffle_width, spread
+from recallgrid.session import pieces, shuffle_width, spread
 
-#: Terms of a batch of queries that are sent to every task; larger batches are joined by a shuffle.
+#: (Query, term) rows that are sent to every task at once; a larger batch of queries goes in parts.
 MOST_BROADCAST_TERMS = 500_000
+#: Documents and queries whose scores a task holds as a matrix.
+BLOCK_DOCS, BLOCK_QUERIES = 2048, 2048
 
 
 def postings(docs: DataFrame, title_boost: float = 2.0, limit: int | None = None, title_limit: int | None = None, only: set[str] | None = None, **tokens) -> DataFrame:
@@ -72,19 +75,21 @@ def bm25(terms: DataFrame, index: DataFrame, n_docs: int, mean_len: float, k1: f
     ``terms(qid, term, weight)`` is the batch of queries, ``index(term, node_id, tf, doc_len)`` the postings; a
     null ``doc_len`` counts as the mean. The postings of the queries' terms are gathered by document, so that
     a document's scores are summed where they are and a frequent term's postings lie in all tasks. The
-    batch's weighted terms go to every task if there are few enough (they are counted).
+    batch's weighted terms go to every task, a part of the queries of at most about ``MOST_BROADCAST_TERMS`` rows after
+    the other.
     """
-    wanted = terms.select("term").distinct()
-    few = terms.count() <= MOST_BROADCAST_TERMS
-    small = F.broadcast if few else (lambda rows: rows)
+    parts = pieces(terms.count(), MOST_BROADCAST_TERMS)
+    if parts > 1:
+        halves = [bm25(terms.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i), index, n_docs, mean_len, k1, b) for i in range(parts)]
+        return reduce(DataFrame.unionByName, halves)
+    wanted, small = terms.select("term").distinct(), F.broadcast
     hits = index.join(small(wanted), "term", "left_semi").select("term", "node_id", "tf", "doc_len")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").select("qid", "term", (F.col("weight") * idf).alias("w"))
     length = F.coalesce(F.col("doc_len").cast("double"), F.lit(mean_len))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / mean_len))
-    if few:
-        hits = hits.repartition(shuffle_width(index.sparkSession), "node_id")
+    hits = hits.repartition(shuffle_width(index.sparkSession), "node_id")
     return hits.join(small(weighted), "term").groupBy("qid", "node_id").agg(F.sum(part).alias("score"))
 
 
@@ -105,67 +110,82 @@ def document_frequency(terms: DataFrame, index: DataFrame) -> DataFrame:
 def bm25_top_k(terms: DataFrame, index: DataFrame, df: DataFrame, n_docs: int, mean_len: float, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``qid, node_id, score, rank``: the ``k`` best documents per query of a batch.
 
-    The batch's weighted terms travel to the tasks, in at most ``MOST_BROADCAST_TERMS`` rows (more fall back
-    to :func:`bm25`). Postings are gathered by document; a block of documents adds up all its queries' scores
-    as a matrix and passes on only its own ``k`` best per query, so frequent terms cost no shuffle of pairs.
+    The batch's weighted terms travel to the tasks, a part of the queries of at most about ``MOST_BROADCAST_TERMS`` rows
+    after the other. Postings are gathered by document; a block of documents adds up the scores of a block of queries
+    as a matrix and passes on only its own ``k`` best per query, so frequent terms cost no shuffle of pairs and a task's
+    memory grows neither with the documents nor with the queries.
     """
-    rows = terms.join(df, "term").select("qid", "term", "weight", "df").limit(MOST_BROADCAST_TERMS + 1).toArrow()
-    if rows.num_rows > MOST_BROADCAST_TERMS:
-        return top_k(bm25(terms, index, n_docs, mean_len, k1, b), k)
+    parts = pieces(terms.count(), MOST_BROADCAST_TERMS)
+    if parts > 1:
+        return reduce(DataFrame.unionByName, [bm25_top_k(terms.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i), index, df, n_docs, mean_len, k, k1, b) for i in range(parts)])
+    rows = terms.join(df, "term").select("qid", "term", "weight", "df").toArrow()
     asked = rows.column("qid").combine_chunks().dictionary_encode()
     known = rows.column("term").combine_chunks().dictionary_encode()
     query_of, term_of = asked.indices.to_numpy(), known.indices.to_numpy()
     many = rows.column("df").to_numpy()
     weight = rows.column("weight").to_numpy() * np.log(1 + (n_docs - many + 0.5) / (many + 0.5))
-    order = np.argsort(term_of, kind="stable")
+    order = np.lexsort((query_of, term_of))
     query_of, weight = query_of[order], weight[order]
     starts = np.searchsorted(term_of[order], np.arange(len(known.dictionary) + 1))
     shared = terms.sparkSession.sparkContext.broadcast((asked.dictionary, known.dictionary, query_of, weight, starts))
     names = {c: terms.schema[c].dataType.simpleString() for c in ("qid", "term")} | {"node_id": index.schema["node_id"].dataType.simpleString()}
 
     def best_of(node, term, part, queries, query_of, weight, starts):
+        """The best of a block of documents, by blocks of queries."""
         docs = node.dictionary_encode()
-        doc = docs.indices.to_numpy()
-        out_q, out_d, out_s = [], [], []
-        by_doc = np.argsort(doc, kind="stable")
-        for low in range(0, len(docs.dictionary), 2048):
-            size = min(2048, len(docs.dictionary) - low)
-            own = by_doc[np.searchsorted(doc[by_doc], low) : np.searchsorted(doc[by_doc], low + size)]
-            own = own[np.argsort(term[own], kind="stable")]
-            scores = np.zeros((len(queries), size))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(term[own])) + 1, [len(own)]])
+        doc, size = docs.indices.to_numpy(), len(docs.dictionary)
+        order = np.argsort(term, kind="stable")
+        doc, term, part = doc[order], term[order], part[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1, [len(term)]]) if len(term) else [0]
+        for low in range(0, len(queries), BLOCK_QUERIES):
+            scores = np.zeros((min(BLOCK_QUERIES, len(queries) - low), size))
             for s, e in zip(cuts[:-1], cuts[1:]):
-                t, at = term[own[s]] if e > s else 0, own[s:e]
-                q = slice(starts[t], starts[t + 1])
-                # A (query, term) and a (term, document) occur once, so no cell is added to twice.
-                scores[query_of[q][:, None], doc[at] - low] += weight[q][:, None] * part[at]
+                # A term's queries are sorted; a (query, term) and a (term, document) occur once, so no cell is added to twice.
+                a, b = starts[term[s]], starts[term[s] + 1]
+                a, b = a + np.searchsorted(query_of[a:b], (low, low + len(scores)))
+                if b > a:
+                    scores[query_of[a:b][:, None] - low, doc[s:e]] += weight[a:b][:, None] * part[s:e]
             keep = min(k, size)
             last = np.round(np.partition(scores, size - keep, axis=1)[:, size - keep], 9)
             q, d = np.nonzero((np.round(scores, 9) >= last[:, None]) & (scores > 0))
-            out_q.append(q)
-            out_d.append(d + low)
-            out_s.append(scores[q, d])
-        take = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
-        return queries.take(pa.array(take(out_q, np.int64))), docs.dictionary.take(pa.array(take(out_d, np.int64))), pa.array(take(out_s, np.float64))
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(q + low)), docs.dictionary.take(pa.array(d)), pa.array(scores[q, d])], names=["qid", "node_id", "score"])
 
     def run(batches):
-        queries, words, query_of, weight, starts = shared.value
-        nodes, terms_seen, parts = [], [], []
+        """Rows come sorted by document; a block is scored when it has enough documents, at the end of one."""
+        words = shared.value[1]
+        nodes, terms_seen, parts, held = [], [], [], 0
+
+        def close():
+            node = pa.chunked_array(nodes).combine_chunks()
+            return best_of(node, np.concatenate(terms_seen), np.concatenate(parts), shared.value[0], *shared.value[2:])
+
         for batch in batches:
             code = pc.index_in(batch.column("term"), words)
             hit = code.is_valid()
-            batch, code = batch.filter(hit), code.filter(hit)
+            batch, code = batch.filter(hit), code.filter(hit).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not batch.num_rows:
+                continue
+            node = batch.column("node_id")
             length = batch.column("doc_len").fill_null(mean_len).to_numpy(zero_copy_only=False) / mean_len
             tf = batch.column("tf").to_numpy(zero_copy_only=False)
-            nodes.append(batch.column("node_id"))
-            terms_seen.append(code.to_numpy(zero_copy_only=False).astype(np.int64))
-            parts.append(tf * (k1 + 1) / (tf + k1 * (1 - b + b * length)))
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
+            new = np.concatenate([[not nodes or node[0] != nodes[-1][-1]], pc.not_equal(node[1:], node[:-1]).to_numpy(zero_copy_only=False)]).astype(bool)
+            number, start = held + np.cumsum(new), 0
+            # Rows at which a document starts that no longer fits into the block.
+            for cut in [*np.flatnonzero(new & (number > BLOCK_DOCS) & ((number - 1) % BLOCK_DOCS == 0)).tolist(), batch.num_rows]:
+                if cut > start:
+                    nodes.append(node[start:cut])
+                    terms_seen.append(code[start:cut])
+                    parts.append(part[start:cut])
+                if cut < batch.num_rows:
+                    yield from close()
+                    nodes, terms_seen, parts = [], [], []
+                start = cut
+            held = int((number[-1] - 1) % BLOCK_DOCS + 1)
         if nodes:
-            node = pa.chunked_array(nodes).combine_chunks()
-            cols = best_of(node, np.concatenate(terms_seen), np.concatenate(parts), queries, query_of, weight, starts)
-            yield pa.RecordBatch.from_arrays(list(cols), names=["qid", "node_id", "score"])
+            yield from close()
 
     hits = index.select("term", "node_id", "tf", F.col("doc_len").cast("double").alias("doc_len")).join(df.select("term"), "term", "left_semi")
     width = max(shuffle_width(index.sparkSession), index.sparkSession.sparkContext.defaultParallelism)
-    found = hits.repartition(width, "node_id").mapInArrow(run, f"qid {names['qid']}, node_id {names['node_id']}, score double")
+    found = hits.repartition(width, "node_id").sortWithinPartitions("node_id").mapInArrow(run, f"qid {names['qid']}, node_id {names['node_id']}, score double")
     return top_k(found, k)

@@ -22,6 +22,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is. Only a session on one machine (``local[...]``) that names none gets a folder of its own.
     """
     sc = spark.sparkContext
+    # Checkpoints go when nothing refers to them any more, unless the session says otherwise.
+    sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()

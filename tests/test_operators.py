@@ -85,6 +85,11 @@ def test_walks_agree_and_keep_mass(spark):
     near = {(r["qid"], r["etype"], r["node_id"]): r["score"] for r in graph.pagerank(adj, seeds, tolerance=None).collect()}
     far = {(r["qid"], r["etype"], r["node_id"]): r["score"] for r in graph.pagerank(adj, seeds, tolerance=None, local_edges=0).collect()}
     assert near.keys() == far.keys() and all(abs(near[k] - far[k]) < 1e-12 for k in near)
+    scores = lambda rows: {(r["qid"], r["etype"], r["node_id"]): round(r["score"], 9) for r in rows.collect()}
+    for few in (None, 3):
+        stopped = scores(graph.pagerank(adj, seeds, tolerance=1e-3, others=few))
+        assert stopped == scores(graph.pagerank(adj, seeds, tolerance=1e-3, others=few, local_edges=0)) and stopped
+    assert stopped != {k: round(near[k], 9) for k in stopped}
     for key in {k[:2] for k in near}:
         assert sum(v for k, v in near.items() if k[:2] == key) == pytest.approx(1.0)
 
@@ -310,3 +315,24 @@ def test_knn_edges_reach_all_earlier_rows(spark, since, monkeypatch):
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     assert got == {i: set(np.argsort(-np.round(u[:i] @ u[i], 12), kind="stable")[:3].tolist()) for i in range(4_400, 4_500)}
     assert {3, 4_450} <= got[4_499] and dense.knn_edges(df.limit(0)).count() == 0
+
+
+def test_batches_of_queries_of_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.standard_normal(8).tolist()) for i in range(300)]
+    asked = [(f"q{i}", rng.standard_normal(8).tolist()) for i in range(70)]
+    v, q = spark.createDataFrame(vectors, "node_id long, vec array<double>"), spark.createDataFrame(asked, "qid string, vec array<double>")
+    rows = lambda df: {tuple(r)[:2] + (round(r["score"], 9), r["rank"]) for r in df.collect()}
+    whole = rows(dense.cosine_top_k(q, v, 4))
+    assert len(whole) == 280
+    monkeypatch.setattr(dense, "MAX_QUERIES", 16)
+    assert rows(dense.cosine_top_k(q, v, 4)) == whole
+    index = spark.createDataFrame([(f"t{t}", d, float(1 + (t + d) % 3), 10 + d % 5) for d in range(400) for t in {d % 7, d % 11, 12}], "term string, node_id long, tf double, doc_len int")
+    terms = spark.createDataFrame([(f"q{i}", f"t{t}", 1.0) for i in range(60) for t in {i % 7, i % 13, 12}], "qid string, term string, weight double")
+    df = lexical.document_frequency(terms, index)
+    best = rows(lexical.bm25_top_k(terms, index, df, 400, 12.0, 5))
+    assert best == rows(fusion.top_k(lexical.bm25(terms, index, 400, 12.0), 5)) and len(best) == 300
+    monkeypatch.setattr(lexical, "MOST_BROADCAST_TERMS", 40)
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 32)
+    monkeypatch.setattr(lexical, "BLOCK_QUERIES", 7)
+    assert rows(lexical.bm25_top_k(terms, index, df, 400, 12.0, 5)) == best
