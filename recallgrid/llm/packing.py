@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.tokens import DEFAULT_VOCABULARY, encode, encoder
+from recallgrid.llm.tokens import DEFAULT_VOCABULARY, encode, encoder, ship
 from recallgrid.operators.skew import heavy_codes
 from recallgrid.session import pieces
 
@@ -142,6 +142,7 @@ def pack_texts(documents: DataFrame, capacity: int = 2048, shard_rows: int = 400
     rows = rows.withColumn("signature", F.array_min(words))
     n, heavy = heavy_codes(rows, "signature", share=1 / 1024)
     spark, shards = documents.sparkSession, pieces(n, shard_rows)
+    ship(spark, path)
     wide = [(code, pieces(count, shard_rows)) for code, count in heavy.items() if count > shard_rows]
     part = F.lit(0).cast("long")
     if wide:
