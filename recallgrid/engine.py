@@ -89,10 +89,10 @@ class MemoryEngine:
         base = self.store.version()
         nodes = self.store.read("nodes", base)
         same = tables.unchanged(rows, nodes).select("node_id", F.coalesce("updated_at", F.lit(None)).alias("ts"))
-        touched = tables.touch(nodes, same)
+        touched = tables.touch(nodes.join(same.select("node_id"), "node_id", "left_semi"), same)
         fresh = rows.join(same.select("node_id"), "node_id", "left_anti")
         if fresh.isEmpty():
-            return self.store.commit({"nodes": touched}, base)
+            return self.store.commit({}, base, [("nodes", "upsert", touched)])
         last = nodes.agg(F.max("seq")).first()[0]
         fresh = cut_lineage(numbered(fresh, "node_id").withColumn("seq", F.col("seq") + (0 if last is None else last + 1)))
         index = lexical.postings(fresh, c.title_boost, c.max_doc_tokens, **c.tokens)
@@ -105,26 +105,18 @@ class MemoryEngine:
             F.coalesce("access_count", F.lit(0)).alias("access_count"), F.coalesce("last_access", F.lit(0.0)).alias("last_access"),
             "pinned", "importance", F.coalesce("trust", F.lit(0.5)).alias("trust"), F.coalesce("trust_updated", F.lit(0.0)).alias("trust_updated"), "content_sha",
         )
-        all_nodes = cut_lineage(tables.merge(touched, new_nodes, ["node_id"]))
-        ids = fresh.select("node_id")
-        all_vectors = tables.merge(self.store.read("vectors", base), vectors, ["node_id"])
-        edges = self._derived_edges(fresh, all_nodes, all_vectors, now)
-        old = self.store.read("edges", base)
-        own = old.filter(F.col("etype") != graph.COACCESS).join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi")
-        old = old.join(own.select("src", "dst", "etype"), ["src", "dst", "etype"], "left_anti")
+        new_nodes = cut_lineage(touched.unionByName(new_nodes, allowMissingColumns=True))
+        all_nodes = cut_lineage(tables.merge(nodes, new_nodes, ["node_id"]))
+        ids = cut_lineage(fresh.select("node_id"))
+        edges = self._derived_edges(fresh, all_nodes, tables.merge(self.store.read("vectors", base), vectors, ["node_id"]), now)
         taught = fresh.filter("teacher_vec is not null").select("node_id", F.col("teacher_model").alias("model"), F.col("teacher_vec").alias("vec"))
         kept_text = F.col("body") if c.store_text_maxlen is None else F.substring("body", 1, c.store_text_maxlen)
-        texts = fresh.select("node_id", kept_text.alias("body"))
-        changed = {
-            "nodes": all_nodes,
-            "postings": tables.merge(self.store.read("postings", base), index.select("term", "node_id", "tf", "doc_len"), ["node_id"]),
-            "vectors": all_vectors,
-            "edges": old.unionByName(edges),
-            "teachers": tables.merge(self.store.read("teachers", base), taught, ["node_id"]),
-        }
+        # A note's old rows go, whatever its new text leaves of them.
+        changes = [("nodes", "upsert", new_nodes), ("postings", "gone", ids), ("postings", "upsert", index.select("term", "node_id", "tf", "doc_len")), ("vectors", "upsert", vectors)]
+        changes += [("edges", "unlinked", ids), ("edges", "upsert", edges), ("teachers", "upsert", taught)]
         if c.store_text:
-            changed["texts"] = tables.merge(self.store.read("texts", base), texts, ["node_id"])
-        return self.store.commit(changed, base)
+            changes.append(("texts", "upsert", fresh.select("node_id", kept_text.alias("body"))))
+        return self.store.commit({}, base, changes)
 
     def _derived_edges(self, fresh: DataFrame, nodes: DataFrame, vectors: DataFrame, now: float) -> DataFrame:
         c, ids = self.config, fresh.select(F.col("node_id").alias("src"))
@@ -140,7 +132,7 @@ class MemoryEngine:
 
     def remove(self, ids: DataFrame) -> int:
         """Drop nodes (``node_id``) with everything that belongs to them."""
-        return self.store.commit(self.store.without(ids))
+        return self.store.commit({}, None, self.store.without(ids))
 
     # ── reading ──────────────────────────────────────────────────────
 
@@ -148,10 +140,17 @@ class MemoryEngine:
         return self.store.text(ids)
 
     def stats(self) -> DataFrame:
-        """``what, n``: nodes, feedback rows, edges per type."""
+        """``what, n``: nodes, feedback rows, edges per type, the learner's counters and the vectors' width."""
         edges = self.store.read("edges").groupBy("etype").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("edges:"), F.col("etype")).alias("what"), "n")
         rows = [self.store.read(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("what"), "n") for t in ("nodes", "feedback")]
-        return rows[0].unionByName(rows[1]).unionByName(edges)
+        learner, share = self._state()
+        own = {"ranker:events": learner.events, "ranker:wins": learner.wins, "ranker:losses": learner.losses, "ranker:share_percent": round(100 * share), "dim": self.config.dim}
+        return rows[0].unionByName(rows[1]).unionByName(edges).unionByName(self.spark.createDataFrame(list(own.items()), "what string, n long"))
+
+    def edge(self, src: str, dst: str, etype: int) -> dict | None:
+        """One edge, or None."""
+        row = self.store.read("edges").filter((F.col("etype") == etype) & (F.col("src") == src) & (F.col("dst") == dst)).first()
+        return row.asDict() if row else None
 
     def _lexical(self, queries: DataFrame) -> tuple:
         """The batch's terms, the index, document frequencies, corpus statistics and parameters."""
@@ -221,7 +220,9 @@ class MemoryEngine:
     def record_access(self, hits: DataFrame, now: float | None = None) -> int:
         """Count a search's results as accesses."""
         log = hits.select("node_id", F.lit(time.time() if now is None else now).alias("ts"))
-        return self.store.commit({"nodes": tables.record_access(self.store.read("nodes"), log)})
+        base = self.store.version()
+        seen = self.store.read("nodes", base).join(log.select("node_id").distinct(), "node_id", "left_semi")
+        return self.store.commit({}, base, [("nodes", "upsert", tables.record_access(seen, log))])
 
     def search_join(self, entities: list[str], mode: str = "and", top_k: int | None = None) -> DataFrame:
         """``node_id, score, title, kind`` of the nodes related to all (``and``) or any (``or``) of the entities."""
@@ -255,11 +256,13 @@ class MemoryEngine:
 
     # ── learning ─────────────────────────────────────────────────────
 
-    def feedback(self, events: DataFrame) -> int:
+    def feedback(self, events: DataFrame) -> dict:
         """Learn from ``events(query, node_id, used, ts, features, label_src)``, a row per node that was shown.
 
         Nodes used together get co-access edges, used nodes gain trust, rows of queries that aren't held out
         train the stored learner on and join the capped log for replay, and it is judged on the held-out rows.
+        Returns ``version``, ``applied`` (rows that counted), ``pairs`` and mean ``loss`` of the training, and the learner's ``events``,
+        ``wins``, ``losses`` and ``share``.
         """
         c, base = self.config, self.store.version()
         rows = events.filter("query is not null and node_id is not null and used is not null and ts is not null").withColumn("query_hash", query_hash(F.col("query")))
@@ -270,9 +273,11 @@ class MemoryEngine:
         co = learning.coaccess_edges(used.select("query", "node_id", "ts"), c.hebb_eta, c.hebb_decay, stored=stored).withColumn("etype", F.lit(graph.COACCESS))
         nodes = self.store.read("nodes", base)
         steps = used.select("node_id", "ts", F.lit(True).alias("helpful"), F.monotonically_increasing_id().alias("rid"))
-        return self._commit_learning(base, nodes, steps, rows, edges.filter(F.col("etype") != graph.COACCESS).unionByName(co.select(*edges.columns)))
+        # Edges that the events left as they were stay where they are stored.
+        co = co.select(*edges.columns).join(stored.select(*edges.columns), edges.columns, "left_anti")
+        return self._commit_learning(base, nodes, steps, rows, co)
 
-    def learn(self, events: DataFrame) -> int:
+    def learn(self, events: DataFrame) -> dict:
         """The same for callers with their own features; needs used and unused rows per query to train."""
         return self.feedback(events)
 
@@ -280,21 +285,24 @@ class MemoryEngine:
         """Raise or lower trust for ``events(node_id, helpful, ts)``; unknown nodes are ignored."""
         base = self.store.version()
         steps = events.select("node_id", "ts", "helpful", F.monotonically_increasing_id().alias("rid"))
-        return self.store.commit({"nodes": self._with_trust(self.store.read("nodes", base), steps)}, base)
+        return self.store.commit({}, base, [("nodes", "upsert", self._with_trust(self.store.read("nodes", base), steps))])
 
     def _with_trust(self, nodes: DataFrame, steps: DataFrame) -> DataFrame:
+        """The nodes of ``steps`` with their new trust."""
         c = self.config
         known = steps.join(nodes.select("node_id"), "node_id", "left_semi")
-        touched = nodes.join(known.select("node_id").distinct(), "node_id", "left_semi").select("node_id", "trust", "trust_updated")
+        nodes = nodes.join(known.select("node_id").distinct(), "node_id", "left_semi")
+        touched = nodes.select("node_id", "trust", "trust_updated")
         folded = learning.trust_fold(known, c.trust_helpful, c.trust_unhelpful, c.trust_half_life_days, stored=touched)
         folded = folded.select("node_id", F.col("trust").alias("__t"), F.col("trust_updated").alias("__u"))
         rows = nodes.join(folded, "node_id", "left")
         return rows.withColumn("trust", F.coalesce("__t", "trust")).withColumn("trust_updated", F.coalesce("__u", "trust_updated")).drop("__t", "__u")
 
-    def _commit_learning(self, base: int, nodes: DataFrame, steps: DataFrame, rows: DataFrame, edges: DataFrame) -> int:
+    def _commit_learning(self, base: int, nodes: DataFrame, steps: DataFrame, rows: DataFrame, edges: DataFrame) -> dict:
         c = self.config
         log = self.store.read("feedback", base)
-        kept = {"nodes": self._with_trust(nodes, steps), "edges": edges}
+        kept, changes = {}, [("nodes", "upsert", self._with_trust(nodes, steps)), ("edges", "upsert", edges)]
+        report = {"applied": rows.count(), "pairs": 0, "loss": 0.0}
         if "features" in rows.columns:
             last = log.agg(F.max("rid")).first()[0] or 0
             fresh = numbered(rows.withColumn("__id", F.monotonically_increasing_id()), "__id", "rid").withColumn("rid", F.col("rid") + last + 1)
@@ -311,8 +319,10 @@ class MemoryEngine:
             plain = lambda ws: [np.asarray(w).tolist() for w in ws]
             state = {"live": plain(learner.live), "calm": plain(learner.calm), "mu": learner.mu.tolist(), "var": learner.var.tolist(), "events": events, "wins": wins, "losses": losses, "seen": learner.seen, "share": float(share)}
             row = self.spark.createDataFrame([("ranker", json.dumps(state))], "key string, value string")
-            kept |= {"feedback": log, "params": self.store.upsert("params", row, base)}
-        return self.store.commit(kept, base)
+            kept = {"feedback": log}
+            changes.append(("params", "upsert", row))
+            report |= {"pairs": learner.pairs, "loss": learner.loss / max(1, learner.pairs), "events": events, "wins": wins, "losses": losses, "share": float(share)}
+        return {"version": self.store.commit(kept, base, changes)} | report
 
     def distill(self, most_pairs: int = 20_000) -> dict:
         """Fit the embedding table to the stored teacher vectors and, if it got better, embed all texts anew.

@@ -50,6 +50,8 @@ class Learner:
     wins: int = 0
     losses: int = 0
     seen: int = 0
+    pairs: int = 0
+    loss: float = 0.0
     mu: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
     var: np.ndarray = field(default_factory=lambda: np.ones(len(FEATURES)))
 
@@ -78,17 +80,27 @@ class Learner:
 
     def train(self, better: np.ndarray, worse: np.ndarray) -> float:
         """One step on the logistic loss of the pair's margin; returns the loss before it."""
-        self.events += 1
+        return self.train_pairs(self.z(better)[None, :], self.z(worse)[None, :])
+
+    def train_pairs(self, better: np.ndarray, worse: np.ndarray) -> float:
+        """The steps of some pairs of normalised rows, taken together at the weights before them; returns the summed loss.
+
+        To first order in ``rate`` this equals one step per pair in turn.
+        """
+        n = len(better)
+        self.events += n
         w1, b1, w2, b2 = self.live
-        z = np.stack([self.z(better), self.z(worse)])
+        z = np.concatenate([better, worse])
         act, slope = _gelu(z @ w1 + b1)
-        margin = float((act[0] - act[1]) @ w2)
-        pull = np.array([-1.0, 1.0]) / (1 + np.exp(min(margin, 30.0)))
+        margin = (act[:n] - act[n:]) @ w2
+        pull = 1 / (1 + np.exp(np.minimum(margin, 30.0)))
+        pull = np.concatenate([-pull, pull])
         down = pull[:, None] * w2 * slope
-        steps = [z.T @ down + self.shrink * w1, down.sum(axis=0), pull @ act + self.shrink * w2, pull.sum()]
+        steps = [z.T @ down + n * self.shrink * w1, down.sum(axis=0), pull @ act + n * self.shrink * w2, pull.sum()]
         self.live = [w - self.rate * s for w, s in zip(self.live, steps)]
-        self.calm = [self.smooth * c + (1 - self.smooth) * w for c, w in zip(self.calm, self.live)]
-        return float(np.logaddexp(0.0, -margin))
+        keep = self.smooth**n
+        self.calm = [keep * c + (1 - keep) * w for c, w in zip(self.calm, self.live)]
+        return float(np.logaddexp(0.0, -margin).sum())
 
 
 def usable_feedback(feedback: DataFrame) -> DataFrame:
@@ -104,7 +116,7 @@ def _flat(weights: list) -> list[float]:
     return np.concatenate([np.ravel(w) for w in weights]).tolist()
 
 
-def train_on_log(feedback: DataFrame, hidden: int = 16, replay: int = 8, window: int = 256, seed: int = 13, shard_rows: int = 50_000, start: Learner | None = None, replayed: DataFrame | None = None) -> Learner:
+def train_on_log(feedback: DataFrame, hidden: int = 16, replay: int = 8, window: int = 256, seed: int = 13, shard_rows: int = 50_000, start: Learner | None = None, replayed: DataFrame | None = None, batch: int = 8) -> Learner:
     """A learner trained on an interaction log ``(rid, ts, query_hash, features, used)``.
 
     The three quarters of the queries that aren't held out are cut into shards of about ``shard_rows`` rows by
@@ -114,7 +126,8 @@ def train_on_log(feedback: DataFrame, hidden: int = 16, replay: int = 8, window:
     mean and variance of all rows.
 
     With ``start`` that learner is trained on and its normaliser continued, by its number of rows ``seen``. Rows of
-    ``replayed`` give no steps of their own; their pairs can be replayed, or met by a row of the log.
+    ``replayed`` give no steps of their own; their pairs can be replayed, or met by a row of the log. The learner's ``pairs``
+    and ``loss`` are the number of new pairs and their summed loss.
     """
     rows = usable_feedback(feedback)
     n = rows.count()
@@ -133,26 +146,40 @@ def train_on_log(feedback: DataFrame, hidden: int = 16, replay: int = 8, window:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "rid"]).reset_index(drop=True)
-        learner, rng, recent, loss = Learner(hidden=hidden, rate=rate, shrink=shrink, seed=seed, mu=mu, var=var), np.random.default_rng(seed), [], 0.0
+        learner, rng, loss = Learner(hidden=hidden, rate=rate, shrink=shrink, seed=seed, mu=mu, var=var), np.random.default_rng(seed), 0.0
+        pairs = 0
         learner.live, learner.calm = list(live), list(calm)
-        x, fresh = np.stack(pdf["features"].to_numpy()).astype(np.float64), pdf["fresh"].to_numpy()
-        for _, q in pdf.groupby("query_hash", sort=False):
-            pairs = [(u, g) for u in q.index[q["used"]] for g in q.index[~q["used"]]]
-            new = [(u, g) for u, g in pairs if fresh[u] or fresh[g]]
-            for u, g in new:
-                loss += learner.train(x[u], x[g])
-            recent = [*recent, *pairs][-window:]
-            for i in rng.integers(0, len(recent), replay if new else 0):
-                learner.train(x[recent[i][0]], x[recent[i][1]])
-        return pd.DataFrame({"events": [learner.events], "live": [_flat(learner.live)], "calm": [_flat(learner.calm)]})
+        x, fresh, used = learner.z(np.stack(pdf["features"].to_numpy()).astype(np.float64)), pdf["fresh"].to_numpy(), pdf["used"].to_numpy(dtype=bool)
+        recent = np.empty((0, 2), dtype=np.int64)
+        # Queries in the order of their first rows.
+        code = pd.factorize(pdf["query_hash"])[0]
+        by_query = np.argsort(code, kind="stable")
+        for rows in np.split(by_query, np.flatnonzero(np.diff(code[by_query])) + 1):
+            better, worse = rows[used[rows]], rows[~used[rows]]
+            total, met = len(better) * len(worse), False
+            for s in range(0, total, batch):
+                at = np.arange(s, min(total, s + batch))
+                u, g = better[at // len(worse)], worse[at % len(worse)]
+                new = fresh[u] | fresh[g]
+                if new.any():
+                    met = True
+                    pairs += int(new.sum())
+                    loss += learner.train_pairs(x[u[new]], x[g[new]])
+            if total:
+                at = np.arange(max(0, total - window), total)
+                recent = np.concatenate([recent, np.stack([better[at // len(worse)], worse[at % len(worse)]], axis=1)])[-window:]
+            if met and replay:
+                again = recent[rng.integers(0, len(recent), replay)]
+                learner.train_pairs(x[again[:, 0]], x[again[:, 1]])
+        return pd.DataFrame({"events": [learner.events], "pairs": [pairs], "loss": [loss], "live": [_flat(learner.live)], "calm": [_flat(learner.calm)]})
 
     rows = rows.withColumn("fresh", F.lit(True))
     if replayed is not None:
         rows = rows.unionByName(usable_feedback(replayed).withColumn("fresh", F.lit(False)))
-    trained = rows.filter("not held_out").withColumn("shard", F.pmod(F.xxhash64("query_hash"), F.lit(shards))).groupBy("shard").applyInPandas(fold, "events long, live array<double>, calm array<double>")
-    trained = trained.filter("events > 0").select("events", F.posexplode(F.arrays_zip("live", "calm")))
+    trained = rows.filter("not held_out").withColumn("shard", F.pmod(F.xxhash64("query_hash"), F.lit(shards))).groupBy("shard").applyInPandas(fold, "events long, pairs long, loss double, live array<double>, calm array<double>")
+    trained = trained.filter("events > 0").select("events", "pairs", "loss", F.posexplode(F.arrays_zip("live", "calm")))
     mean = lambda c: (F.sum(F.col(f"col.{c}") * F.col("events")) / F.sum("events")).alias(c)
-    flat = trained.groupBy("pos").agg(F.sum("events").alias("events"), mean("live"), mean("calm")).orderBy("pos").collect()
+    flat = trained.groupBy("pos").agg(F.sum("events").alias("events"), F.sum("pairs").alias("pairs"), F.sum("loss").alias("loss"), mean("live"), mean("calm")).orderBy("pos").collect()
     start.mu, start.var, start.seen = mu, var, both
     if flat:
         shapes = [np.shape(w) for w in start.live]
@@ -161,6 +188,7 @@ def train_on_log(feedback: DataFrame, hidden: int = 16, replay: int = 8, window:
             parts = np.split(np.array([r[name] for r in flat]), cuts)
             setattr(start, name, [p.reshape(s) if s else float(p[0]) for p, s in zip(parts, shapes)])
         start.events += int(flat[0]["events"])
+        start.pairs, start.loss = int(flat[0]["pairs"]), float(flat[0]["loss"])
     return start
 
 

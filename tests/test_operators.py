@@ -272,7 +272,60 @@ def test_store_commits(spark, tmp_path):
     assert {tuple(r) for r in s.read("texts", 1).collect()} == {("a", "x"), ("b", "y")}
     with pytest.raises(store.ConflictError):
         s.commit({"texts": rows}, base=1)
-    assert s.vacuum() >= 1 and s.read("texts").count() == 2 and s.read("edges").count() == 0
+    assert s.vacuum() == 0 and s.vacuum(older_than=0.0) >= 1 and s.read("texts").count() == 2 and s.read("edges").count() == 0
+
+
+def test_store_changes(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    text = lambda rows: spark.createDataFrame(rows, "node_id string, body string")
+    s.commit({"texts": text([(f"n{i}", "old") for i in range(20)])})
+    want = {f"n{i}": "old" for i in range(20)}
+    for i in range(12):
+        s.commit({}, None, [("texts", "gone", text([(f"n{i + 5}", "")])), ("texts", "upsert", text([(f"n{i}", f"new{i}"), (f"x{i}", "more")]))])
+        want.pop(f"n{i + 5}", None)
+        want |= {f"n{i}": f"new{i}", f"x{i}": "more"}
+        assert len(s._manifest(s.version())["texts"]) <= s.MOST_CHANGES + 1
+    assert dict(map(tuple, s.read("texts").collect())) == want
+    edge = "src string, dst string, etype int, w double, updated double"
+    s.commit({"edges": spark.createDataFrame([("a", "b", 0, 1.0, 0.0), ("a", "b", 3, 1.0, 0.0), ("c", "a", 0, 1.0, 0.0), ("c", "d", 1, 1.0, 0.0)], edge)})
+    one = text([("a", "")])
+    s.commit({}, None, [("edges", "unlinked", one)])
+    assert {tuple(r)[:3] for r in s.read("edges").collect()} == {("a", "b", 3), ("c", "a", 0), ("c", "d", 1)}
+    s.commit({}, None, [("edges", "gone", one)])
+    assert {tuple(r)[:3] for r in s.read("edges").collect()} == {("c", "d", 1)}
+    s.set_param("k", "v")
+    s.set_param("l", "w")
+    assert s.param("k") == "v" and s.set_param("k", None) and s.param("k") is None and s.param("l") == "w"
+
+
+def test_a_dead_writer_blocks_nobody_for_long(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a", "x")], "node_id string, body string")
+    s.commit({"texts": rows})
+    # A claim without a manifest: its writer is at work, or died.
+    (tmp_path / "s" / "_manifests" / f"{2:012d}.claim").write_text("")
+    with pytest.raises(store.ConflictError):
+        s.commit({"texts": rows.limit(0)})
+    assert s.version() == 1 and s.read("texts").count() == 1
+    s.CLAIM_SECONDS = -1.0
+    assert s.commit({"texts": rows.limit(0)}) == 2 and s.read("texts").count() == 0
+
+
+def test_concurrent_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = store.Store(spark, str(tmp_path / "s"))
+    rows = [spark.createDataFrame([(f"w{i}", "x")], "node_id string, body string") for i in range(4)]
+
+    def write(i):
+        try:
+            return s.commit({"texts": rows[i]}, base=0)
+        except store.ConflictError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(write, range(4)))
+    assert sorted(x for x in done if x) == [1] and s.read("texts").count() == 1
 
 
 def test_ring_and_dictionary(spark):
