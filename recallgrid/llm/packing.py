@@ -130,7 +130,7 @@ def pack_texts(documents: DataFrame, capacity: int = 2048, shard_rows: int = 400
     """``doc_id, container, place, token_start, token_end``: every text in containers of ``capacity`` tokens.
 
     Texts are sharded by a lexical signature (the smallest hash of their words), so that shards of about ``shard_rows``
-    rows hold alike texts; a signature with very many texts (see :func:`heavy_codes`) is spread over as many shards as its
+    rows hold alike texts; a signature with very many texts (see :func:`heavy_codes`) is spread in as many parts as its
     own count asks for. Each shard packs its items, in the order of signature, id and text, with its own BM25 index,
     so the same rows give the same containers. A text longer than ``capacity`` is cut into full containers and a rest,
     which is packed like a short text; no other text is cut. Null and empty texts have no tokens and lie
@@ -143,7 +143,9 @@ def pack_texts(documents: DataFrame, capacity: int = 2048, shard_rows: int = 400
     n, heavy = heavy_codes(rows, "signature", share=1 / 1024)
     spark, shards = documents.sparkSession, pieces(n, shard_rows)
     ship(spark, path)
-    wide = [(code, pieces(count, shard_rows)) for code, count in heavy.items() if count > shard_rows]
+    # Parts of an eighth of a shard keep the shards of nearly equal size.
+    part_rows = max(1, shard_rows // 8)
+    wide = [(code, pieces(count, part_rows)) for code, count in heavy.items() if count > part_rows]
     part = F.lit(0).cast("long")
     if wide:
         # At most 2 048 rows, one for each heavy signature.
