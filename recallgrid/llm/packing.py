@@ -143,8 +143,8 @@ def pack_texts(documents: DataFrame, capacity: int = 2048, shard_rows: int = 400
     n, heavy = heavy_codes(rows, "signature", share=1 / 1024)
     spark, shards = documents.sparkSession, pieces(n, shard_rows)
     ship(spark, path)
-    # Parts of an eighth of a shard keep the shards of nearly equal size.
-    part_rows = max(1, shard_rows // 8)
+    # Parts of a 32nd of a shard keep the shards of nearly equal size.
+    part_rows = max(1, shard_rows // 32)
     wide = [(code, pieces(count, part_rows)) for code, count in heavy.items() if count > part_rows]
     part = F.lit(0).cast("long")
     if wide:
