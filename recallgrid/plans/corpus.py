@@ -329,16 +329,16 @@ def _draw(of: int, *parts: str) -> str:
 
 _SWAPS = "case {p} " + " ".join(f"when '{a}' then '{b}'" for a, b in perturb.PARTICLE_SWAPS.items()) + " end"
 _FORM = f"^(.{{2,}})({'|'.join(sorted(perturb.PARTICLE_SWAPS, key=len, reverse=True))})$"
-_TYPOS = rf"""with q as (select doc_id, text as q from documents where text is not null),
-w as (select doc_id, q, list_filter(string_split_regex(q, '\s+'), lambda w: w <> '') as ws from q),
-ww as (select doc_id, q, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from w),
-wd as (select *, regexp_matches(w, '{_FORM}') as fits, {_draw(2**31, 'i::varchar', 'q')} as n from ww),
+_TYPOS = rf"""with q as (select doc_id, text as q, md5(text) as k from documents where text is not null),
+w as (select doc_id, k, list_filter(string_split_regex(q, '\s+'), lambda w: w <> '') as ws from q),
+ww as (select doc_id, k, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from w),
+wd as (select *, regexp_matches(w, '{_FORM}') as fits, {_draw(2**31, 'i::varchar', 'k')} as n from ww),
 wp as (select *, row_number() over (partition by doc_id order by case when fits then n end nulls last, i) = 1 and fits as hit from wd),
 josa as (select doc_id, string_agg(case when hit then regexp_extract(w, '{_FORM}', 1) || {_SWAPS.format(p=f"regexp_extract(w, '{_FORM}', 2)")} else w end, ' ' order by i) as josa, bool_or(hit) as any_hit from wp group by doc_id),
-c as (select doc_id, q, unnest(string_split(q, '')) as c, generate_subscripts(string_split(q, ''), 1) - 1 as i from q),
-cd as (select *, regexp_matches(c, '[가-힣]') as ko, {_draw(2**31, 'i::varchar', 'q')} as n, 1 + {_draw(2, 'q')} as many from c),
+c as (select doc_id, k, unnest(string_split(q, '')) as c, generate_subscripts(string_split(q, ''), 1) - 1 as i from q),
+cd as (select *, regexp_matches(c, '[가-힣]') as ko, {_draw(2**31, 'i::varchar', 'k')} as n, 1 + {_draw(2, 'k')} as many from c),
 cp as (select *, ko and row_number() over (partition by doc_id order by case when ko then n end nulls last, i) <= many as hit, unicode(c) - 44032 as code,
-  {_draw(3, "'kind'", 'i::varchar', 'q')} as kind, {_draw(2**20, "'step'", 'i::varchar', 'q')} as step from cd),
+  {_draw(3, "'kind'", 'i::varchar', 'k')} as kind, {_draw(2**20, "'step'", 'i::varchar', 'k')} as step from cd),
 parts as (select *, code // 588 as lead, code % 588 // 28 as vowel, code % 28 as tail from cp),
 jamo as (select doc_id, bool_or(hit) as any_hit, string_agg(case when hit then chr((44032 + (case when kind = 2 or (kind = 1 and tail = 0) then (lead + 1 + step % 18) % 19 else lead end) * 588
   + (case when kind = 0 then (vowel + 1 + step % 20) % 21 else vowel end) * 28 + case when kind = 1 then 0 else tail end)::int) else c end, '' order by i) as jamo from parts group by doc_id)
