@@ -249,8 +249,8 @@ class MemoryEngine:
         # A score is at most 2.5 times the jaccard.
         best = hygiene.overlapping(asked, sets.select(F.col("node_id").alias("other_id"), "words"), max(0.0, min_score) / 2.5)
         vectors = self._embed(sets.select("node_id", "body"), c.max_doc_tokens)
-        mine = asked.join(vectors, "node_id").select("node_id", "words", "negated", "vec")
-        other = sets.join(vectors, "node_id").select(F.col("node_id").alias("other_id"), F.col("words").alias("other_words"), F.col("negated").alias("other_negated"), F.col("vec").alias("other_vec"))
+        mine = asked.join(vectors, "node_id").select("node_id", "negated", "vec")
+        other = sets.join(vectors, "node_id").select(F.col("node_id").alias("other_id"), F.col("negated").alias("other_negated"), F.col("vec").alias("other_vec"))
         cosine = F.aggregate(F.zip_with("vec", "other_vec", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
         return hygiene.contradictions(best.join(mine, "node_id").join(other, "other_id").withColumn("cosine", cosine), top_k, min_score)
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.config import Config, read_dotenv
 from recallgrid.functions.perturb import head_only, longest_word, mistyped, swapped_particle, translated, unspaced
-from recallgrid.operators import dense, distill, fusion, graph, joins, learning, lexical, metrics, ranker
+from recallgrid.operators import dense, distill, fusion, graph, hygiene, joins, learning, lexical, metrics, ranker
 from recallgrid.operators.features import effective_trust
 from recallgrid.session import numbered
 from recallgrid.sources import notes, store
@@ -389,3 +390,34 @@ def test_batches_of_queries_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK_DOCS", 32)
     monkeypatch.setattr(lexical, "BLOCK_QUERIES", 7)
     assert rows(lexical.bm25_top_k(terms, index, df, 400, 12.0, 5)) == best
+
+
+def test_overlapping_sets_need_no_shuffle_and_agree_with_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = {f"n{i}": (rng.sample([f"w{min(j, rng.randrange(60))}" for j in range(60)], rng.randrange(0, 30)), rng.random() < 0.3) for i in range(80)}
+    sets = {i: (list(dict.fromkeys(w)), neg) for i, (w, neg) in sets.items()}
+    sets["n80"], sets["n81"] = sets["n7"], (sets["n7"][0], not sets["n7"][1])
+    rows = spark.createDataFrame([(i, w, neg) for i, (w, neg) in sets.items()], "other_id string, words array<string>, negated boolean").repartition(3)
+    asked = rows.filter("substr(other_id, 3) in ('', '0', '1', '7')").withColumnRenamed("other_id", "node_id")
+    ids = [r["node_id"] for r in asked.collect()]
+    for blocks, common, words in ((7, 8, 10_000), (1024, 0, 60)):
+        monkeypatch.setattr(hygiene, "BLOCK_SETS", blocks)
+        monkeypatch.setattr(hygiene, "MOST_COMMON_WORDS", common)
+        monkeypatch.setattr(hygiene, "MOST_ASKED_WORDS", words)
+        want = {}
+        for a in ids:
+            for b in sets:
+                x, y = set(sets[a][0]), set(sets[b][0])
+                if a != b and x & y and len(x & y) / len(x | y) >= 0.2 - 1e-9:
+                    want[a, b] = (len(x & y), len(x), len(y))
+        found = hygiene.overlapping(asked, rows, 0.2)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r["node_id"], r["other_id"]): (r["shared"], r["n"], r["m"]) for r in found.collect()} == want
+        scores = {}
+        for (a, b), (c, n, m) in want.items():
+            s = c / (n + m - c) * (max(0.0, 1 - c / (float(n) * m) ** 0.5) + (0.5 if sets[a][1] != sets[b][1] else 0.0))
+            if s >= 0.3:
+                scores.setdefault(a, []).append((-s, b))
+        some = hygiene.overlapping(asked, rows, 0.2, best=(3, 0.3))
+        top = hygiene.contradictions(some.withColumn("cosine", F.col("shared") / F.sqrt(F.col("n").cast("double") * F.col("m"))), 3, 0.3)
+        assert {(r["node_id"], r["other_id"]) for r in top.collect()} == {(a, b) for a, x in scores.items() for _, b in sorted(x)[:3]}
