@@ -421,3 +421,57 @@ def test_overlapping_sets_need_no_shuffle_and_agree_with_all_pairs(spark, monkey
         some = hygiene.overlapping(asked, rows, 0.2, best=(3, 0.3))
         top = hygiene.contradictions(some.withColumn("cosine", F.col("shared") / F.sqrt(F.col("n").cast("double") * F.col("m"))), 3, 0.3)
         assert {(r["node_id"], r["other_id"]) for r in top.collect()} == {(a, b) for a, x in scores.items() for _, b in sorted(x)[:3]}
+
+
+@pytest.mark.parametrize("near, types", [(1.0, 4), (0.02, 4), (-1.0, 4), (1.0, 2)])
+def test_walks_by_reach_and_by_blocks_agree_with_all_edges(spark, monkeypatch, near, types):
+    rng = random.Random(11)
+    monkeypatch.setattr(graph, "NEAR_SHARE", near)
+    monkeypatch.setattr(graph, "HUB_EDGES", 6)
+    monkeypatch.setattr(graph, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(graph, "GROUP_ROWS", 3)
+    edges = {(t, f"n{rng.randrange(150):03}", f"n{0 if rng.random() < 0.1 else rng.randrange(150):03}") for t in range(types) for _ in range(150 + 100 * t)}
+    out = {}
+    for t, s, d in edges:
+        out.setdefault((t, s), []).append(d)
+    adj = spark.createDataFrame([(t, s, d, 1 / len(out[t, s])) for t, s, d in edges], "etype int, src string, dst string, p double")
+    seeds = {q: {f"{'n' if rng.random() < 0.9 else 'x'}{rng.randrange(170):03}": rng.random() for _ in range(4)} for q in range(6)}
+    asked = spark.createDataFrame([(q, n, s) for q, ns in seeds.items() for n, s in ns.items()], "qid long, node_id string, score double")
+    for tolerance in (None, 0.02):
+        want = {}
+        for q, ns in seeds.items():
+            v = {n: s / sum(ns.values()) for n, s in ns.items()}
+            for t in range(types):
+                mass = dict(v)
+                for _ in range(20):
+                    new = {n: 0.5 * s for n, s in v.items()}
+                    for n, m in mass.items():
+                        for d in out.get((t, n), []):
+                            new[d] = new.get(d, 0.0) + 0.5 * m / len(out[t, n])
+                        if (t, n) not in out:
+                            for d, s in v.items():
+                                new[d] += 0.5 * m * s
+                    gap = sum(abs(new.get(n, 0.0) - mass.get(n, 0.0)) for n in {*new, *mass})
+                    mass = new
+                    if tolerance is not None and gap < tolerance:
+                        break
+                want |= {(q, t, n): m for n, m in mass.items()}
+        got = {(r["qid"], r["etype"], r["node_id"]): r["score"] for r in graph.pagerank(adj, asked, tolerance=tolerance).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        few = {(r["qid"], r["etype"], r["node_id"]): r["score"] for r in graph.pagerank(adj, asked, tolerance=tolerance, others=5, digits=4).collect()}
+        for q, ns in seeds.items():
+            most = {}
+            for (k, _, n), m in want.items():
+                if k == q and n not in ns:
+                    most[n] = max(most.get(n, 0.0), m)
+            kept = {*sorted(most, key=lambda n: (-round(most[n], 9), n))[:5], *ns}
+            assert {k for k in few if k[0] == q} == {k for k in want if k[0] == q and k[2] in kept}
+        assert all(abs(few[k] - want[k]) <= 0.5001e-4 for k in few)
+
+
+def test_graphs_are_counted_by_type_before_they_are_walked_by_joins(spark, monkeypatch):
+    rows = [(t, f"n{i}", f"n{i + 1}", 1.0) for t in (0, 1) for i in range(3)]
+    adj = spark.createDataFrame(rows, "etype int, src string, dst string, p double")
+    seeds = spark.createDataFrame([(1, "n0", 1.0)], "qid long, node_id string, score double")
+    monkeypatch.setattr(graph, "pagerank_loop", None)
+    assert graph.pagerank(adj, seeds, tolerance=None, local_edges=3).count() == 8
