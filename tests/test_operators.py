@@ -475,3 +475,30 @@ def test_graphs_are_counted_by_type_before_they_are_walked_by_joins(spark, monke
     seeds = spark.createDataFrame([(1, "n0", 1.0)], "qid long, node_id string, score double")
     monkeypatch.setattr(graph, "pagerank_loop", None)
     assert graph.pagerank(adj, seeds, tolerance=None, local_edges=3).count() == 8
+
+
+def test_walks_move_masses_in_the_core_only(monkeypatch):
+    monkeypatch.setattr(graph, "HUB_EDGES", 6)
+    monkeypatch.setattr(graph, "ROWS_AT_ONCE", 7)
+    rng = np.random.default_rng(9)
+    for both, equal in ((True, True), (True, False), (False, True), (False, False)):
+        a, b = rng.integers(0, 120, 110), np.where(rng.random(110) < 0.2, 0, rng.integers(0, 120, 110))
+        pairs = np.unique(np.concatenate([a * 120 + b, b * 120 + a] if both else [a * 120 + b]))
+        _, ends = np.unique(np.concatenate([pairs // 120, pairs % 120]), return_inverse=True)
+        src, dst, size = ends[: len(pairs)], ends[len(pairs) :], ends.max() + 1
+        w = np.ones(len(src)) if equal else rng.random(len(src))
+        w = 0.5 * w / np.bincount(src, weights=w)[src]
+        starts = np.searchsorted(src, np.arange(size + 1))
+        homes = [np.unique(rng.integers(0, size, 12)) for _ in range(5)]
+        restarts = [np.full(len(h), 0.8 / len(h)) for h in homes]
+        wide = graph._Wide(starts, dst, w)
+        assert wide.n < 0.8 * size
+        for rounds in (1, 2, 19, 20):
+            x, back = wide.walk(homes, restarts, np.full(5, 0.2), 0.5, rounds, None)
+            for j, (h, v) in enumerate(zip(homes, restarts)):
+                mass, alone = np.bincount(h, weights=v, minlength=size), 1.0
+                for _ in range(rounds):
+                    again = 0.5 + 0.5 * (mass[np.diff(starts) == 0].sum() + 0.2 * alone)
+                    mass = np.bincount(dst, weights=mass[src] * w, minlength=size) + again * np.bincount(h, weights=v, minlength=size)
+                    alone = again
+                assert np.abs(x[wide.row, j] - mass).max() < 1e-14 and abs(back[j] - alone) < 1e-14
