@@ -502,3 +502,16 @@ def test_walks_move_masses_in_the_core_only(monkeypatch):
                     mass = np.bincount(dst, weights=mass[src] * w, minlength=size) + again * np.bincount(h, weights=v, minlength=size)
                     alone = again
                 assert np.abs(x[wide.row, j] - mass).max() < 1e-14 and abs(back[j] - alone) < 1e-14
+
+
+def test_frequent_terms_are_added_by_a_product(spark, monkeypatch):
+    index = spark.createDataFrame([(f"t{t}", d, float(1 + (t * d) % 3), 8 + d % 5) for d in range(200) for t in {d % 7, d % 31, 40}], "term string, node_id long, tf double, doc_len int")
+    terms = spark.createDataFrame([(f"q{i}", f"t{t}", 1.0 + i % 3) for i in range(30) for t in {i % 7, i, 40}], "qid string, term string, weight double")
+    df = lexical.document_frequency(terms, index)
+    rows = lambda: {(r["qid"], r["rank"], r["node_id"], round(r["score"], 9)) for r in lexical.bm25_top_k(terms, index, df, 200, 10.0, 4).collect()}
+    want = {(r["qid"], r["rank"], r["node_id"], round(r["score"], 9)) for r in fusion.top_k(lexical.bm25(terms, index, 200, 10.0), 4).collect()}
+    monkeypatch.setattr(lexical, "CELLS_AT_ONCE", 50)
+    monkeypatch.setattr(lexical, "DENSE_TERMS", 2)
+    for share in (0.0, 0.01, 1.0):
+        monkeypatch.setattr(lexical, "DENSE_SHARE", share)
+        assert rows() == want
