@@ -20,6 +20,9 @@ NEAR_SHARE, BLOCK_BYTES = 0.1, 130_000_000
 ROWS_AT_ONCE, HUB_EDGES, GROUP_ROWS = 1_024, 64, 256
 #: Kinds of factors by which the matrix's rows are ordered, at most.
 ALIKE = 256
+#: Walks of more queries than this go by hubs where most reach far: at most so many nodes of more edges than that. The reach of
+#: a query's seeds and of its candidates beside the hubs is this share of the edges at most, and candidates are so many at most; else the query shares the matrix.
+FEW_QUERIES, HUBS, HUB_REACH, HUB_SHARE, HUB_POOL = 32, 32, 256, 0.2, 4_096
 #: Seeds that a task holds, about.
 SEEDS_AT_ONCE = 20_000
 
@@ -126,11 +129,10 @@ def pagerank_loop(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds:
     return pool.join(best.unionByName(seeds.select("qid", "node_id").distinct()), ["qid", "node_id"], "left_semi")
 
 
-def _walk_near(starts, dst, w, slot, home, restart, alone: float, alpha: float, rounds: int, tolerance: float | None, most: int):
-    """Nodes and masses of one query's power iteration, by the edges in its reach alone, and the share that came back to
-    the seeds last; None if more than ``most`` edges are. ``slot`` is a scratch array of -1, ``alone`` the restart of
-    seeds outside the graph, ``w`` the shares times ``1 - alpha``."""
-    # Nodes and edges by the round that reaches them first; only then are masses moved.
+def _reach(starts, dst, w, slot, home, rounds: int, most: int):
+    """The nodes that ``home`` reaches in so many rounds, by the round that reaches them first, the edges between them as numbers in
+    that order, their ``w``, and the nodes that no edge leaves; then the numbers of nodes, edges and such ends up to each round. None
+    if more than ``most`` edges are in reach. ``slot`` is a scratch array of -1."""
     levels, fresh, size, edges = [home], home, len(home), 0
     one, two, part, ends = [], [], [], []
     slot[home] = np.arange(size)
@@ -158,8 +160,19 @@ def _walk_near(starts, dst, w, slot, home, restart, alone: float, alpha: float,
     finally:
         for level in levels:
             slot[level] = -1
-    nodes_at, edges_at, ends_at = (np.cumsum([len(x) for x in c]).tolist() for c in (levels, one, ends))
-    nodes, one, two, part, ends = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (levels, one, two, part, ends))
+    counts = tuple(np.cumsum([len(x) for x in c]).tolist() for c in (levels, one, ends))
+    return tuple(np.concatenate(c) if c else np.empty(0, np.int64) for c in (levels, one, two, part, ends)), counts
+
+
+def _walk_near(starts, dst, w, slot, home, restart, alone: float, alpha: float, rounds: int, tolerance: float | None, most: int):
+    """Nodes and masses of one query's power iteration, by the edges in its reach alone, and the share that came back to
+    the seeds last; None if more than ``most`` edges are. ``slot`` is a scratch array of -1, ``alone`` the restart of
+    seeds outside the graph, ``w`` the shares times ``1 - alpha``."""
+    # Nodes and edges by the round that reaches them first; only then are masses moved.
+    found = _reach(starts, dst, w, slot, home, rounds, most)
+    if found is None:
+        return None
+    (nodes, one, two, part, ends), (nodes_at, edges_at, ends_at) = found
     mass, back = restart, 1.0
     for i in range(rounds):
         e, n = edges_at[min(i, len(edges_at) - 1)], nodes_at[min(i + 1, len(nodes_at) - 1)]
@@ -352,6 +365,167 @@ class _Wide:
         return full, back
 
 
+class _Moves:
+    """Rounds of walks over edges ``src`` to ``to`` with ``w``, for columns of masses. Rows: the nodes that most edges reach first, then as ``near``."""
+
+    def __init__(self, src, to, w, size: int, near):
+        order = np.lexsort((near, -np.bincount(to, minlength=size)))
+        self.row = np.empty(size, dtype=np.int64)
+        self.row[order] = np.arange(size)
+        self.edges = _gathers(self.row[src], self.row[to], w, size)
+
+    def rounds(self, x, rounds: int):
+        """The masses before the first and after each of the rounds; each is overwritten two rounds later."""
+        yield x
+        y, held, hubs = np.empty_like(x), np.empty((2, ROWS_AT_ONCE, x.shape[1])), self.edges[0]
+        for _ in range(rounds):
+            for h, (src, w) in enumerate(hubs):
+                y[h] = w @ x[src]
+            for s in range(len(hubs), len(x), ROWS_AT_ONCE):
+                e = min(s + ROWS_AT_ONCE, len(x))
+                y[s:e] = _gather(self.edges, x, held, s, e)
+            x, y = y, x
+            yield x
+
+
+class _Hubs:
+    """Walks of many queries over a graph of which most is reached through a few nodes, the hubs.
+
+    What a query's seeds pass on stays near them until it comes to a hub, and what a hub passes on is the same for all queries. So masses move without the hubs,
+    round by round, from the seeds forward and from the nodes asked for backward, until they meet half way; the hubs' masses follow from the ways to and between them, and
+    what they pass on is added at the end. All walks of ``homes`` and ``restarts`` (as in :meth:`_Wide.walk`) are prepared at once. Nothing is left out: the masses are those of all rounds over all edges.
+    """
+
+    def __init__(self, starts, dst, w, slot, homes, restarts, alone, alpha: float, rounds: int):
+        size, leaving = len(starts) - 1, np.diff(starts)
+        degree = np.maximum(leaving, np.bincount(dst, minlength=size))
+        hubs = np.argsort(-degree, kind="stable")[:HUBS]
+        self.hubs = np.sort(hubs[degree[hubs] > HUB_REACH])
+        self.place = np.full(size, -1)
+        self.place[self.hubs] = np.arange(len(self.hubs))
+        self.slot, self.alpha, self.total, self.half = slot, alpha, rounds, rounds // 2
+        src = np.repeat(np.arange(size, dtype=np.int32), leaving)
+        #: Edges that don't leave a hub; what each hub passes on.
+        free = self.place[src] < 0
+        free_src, free_dst, free_w = src[free], dst[free], w[free]
+        self.given = [(dst[starts[h] : starts[h + 1]], w[starts[h] : starts[h + 1]]) for h in self.hubs]
+        inner = self.place[free_dst] < 0
+        s, d, p = free_src[inner], free_dst[inner], free_w[inner]
+        self.out = (np.searchsorted(s, np.arange(size + 1)), d, p)
+        by = np.argsort(d, kind="stable")
+        self.into = (np.searchsorted(d[by], np.arange(size + 1)), s[by], p[by])
+        self.most = int(len(dst) * HUB_SHARE)
+        near = _near_order(starts, dst)
+        self.homes, self.restarts = homes, restarts
+        self._arrive(_Moves(free_dst, free_src, free_w, size, near), np.flatnonzero((leaving == 0) & (self.place < 0)), leaving[self.hubs] == 0, np.asarray(alone))
+        self.moves = _Moves(free_src, free_dst, free_w, size, near)
+        #: No walk gets more than this from the hubs at a node, at least without what rounding adds.
+        x = np.zeros((size, 1))
+        for (to, share), most in zip(self.given, self.mass[:rounds].max(axis=(0, 1))):
+            x[self.moves.row[to], 0] += share * most
+        bound = sum(y[:, 0] for y in self.moves.rounds(x, rounds - 1))[self.moves.row]
+        bound[self.hubs] = 0.0
+        self.bound, self.by_bound = bound, np.argsort(-bound)
+        self.falling = -bound[self.by_bound]
+
+    def _columns(self):
+        step = max(1, BLOCK_BYTES // (16 * len(self.place)))
+        return [slice(c, c + step) for c in range(0, len(self.hubs) + 1, step)]
+
+    def _arrive(self, moves, ends, hub_ends, alone):
+        """Per round and query the hubs' masses and what came back to the seeds, by walking backward from the hubs and from the nodes without edges."""
+        size, many, rounds = len(self.place), len(self.hubs), self.total
+        v, first = np.concatenate(self.restarts)[:, None], np.cumsum([0, *(len(h) for h in self.homes[:-1])])
+        seeds = moves.row[np.concatenate(self.homes)]
+        came, between = np.empty((rounds + 1, len(self.homes), many + 1)), np.empty((rounds + 1, many, many + 1))
+        for columns in self._columns():
+            x = np.zeros((size, len(range(*columns.indices(many + 1)))))
+            own = self.hubs[columns]
+            x[moves.row[own], np.arange(len(own))] = 1.0
+            if x.shape[1] > len(own):
+                x[moves.row[ends], len(own)] = 1.0
+            for t, y in enumerate(moves.rounds(x, rounds)):
+                came[t, :, columns] = np.add.reduceat(v * y[seeds], first, axis=0)
+                for h, (to, share) in enumerate(self.given):
+                    between[t, h, columns] = share @ y[moves.row[to]]
+        self.mass, self.back = np.zeros((rounds + 1, len(self.homes), many)), np.ones((rounds + 1, len(self.homes)))
+        for t in range(rounds + 1):
+            now = sum(self.back[t - j][:, None] * came[j] for j in range(t + 1)) + sum(self.mass[j] @ between[t - 1 - j] for j in range(t))
+            self.mass[t] = now[:, :many]
+            if t < rounds:
+                self.back[t + 1] = self.alpha + (1 - self.alpha) * (now[:, many] + self.mass[t] @ hub_ends + alone * self.back[t])
+
+    def pool(self, j: int, others: int):
+        """Nodes besides the seeds that may be among the ``others`` best of the ``j``-th walk, rounded to nine decimals, and the masses half way for :meth:`values`;
+        None if these are too many."""
+        hub = self.place[self.homes[j]] >= 0
+        home, mass, back = self.homes[j][~hub], self.restarts[j][~hub], self.back[:, j]
+        found = _reach(*self.out, self.slot, home, self.half, self.most)
+        if found is None:
+            return None
+        (nodes, one, two, part, _), (nodes_at, edges_at, _) = found
+        held = np.zeros(len(nodes))
+        held[: len(home)] = back[self.total] * mass
+        for i in range(self.half):
+            e, n = edges_at[min(i, len(edges_at) - 1)], nodes_at[min(i + 1, len(nodes_at) - 1)]
+            mass = np.bincount(two[:e], weights=mass[one[:e]] * part[:e], minlength=n).astype(np.float64)
+            held[:n] += back[self.total - i - 1] * mass
+        state = nodes, mass, held
+        # What is still to come in the rounds after these, at most; hubs have all of theirs.
+        rest = back[: self.total - self.half].max() * mass.sum() * sum((1 - self.alpha) ** i for i in range(1, self.total - self.half + 1))
+        other = np.delete(np.arange(len(self.hubs)), self.place[self.homes[j][hub]])
+        fresh, sure = nodes[len(home) :], held[len(home) :]
+        known = np.concatenate([sure, self.mass[self.total, j, other]])
+        cut = np.partition(known, len(known) - others)[len(known) - others] - 2e-9 if 0 < others <= len(known) else 0.0
+        least = cut - rest * (1 + 1e-9)
+        least -= 1e-9 * abs(least)
+        far = self.by_bound[: np.searchsorted(self.falling, -least, side="right")]
+        if len(far) > HUB_POOL:
+            return None
+        pool = np.concatenate([fresh[sure + self.bound[fresh] >= least], far, self.hubs[other][self.mass[self.total, j, other] >= cut]])
+        pool = np.setdiff1d(pool, self.homes[j])
+        return (pool, state) if len(pool) <= HUB_POOL else None
+
+    def values(self, j: int, state, asked):
+        """The masses at the nodes ``asked``, but for what hubs pass on to others (see :meth:`passed`); None if their reach is too far."""
+        hub = self.place[asked]
+        out = np.where(hub >= 0, self.mass[self.total, j, hub] if len(self.hubs) else 0.0, 0.0)
+        home, back = asked[hub < 0], self.back[:, j]
+        steps = self.total - self.half
+        found = _reach(*self.into, self.slot, home, steps, self.most)
+        if found is None:
+            return None
+        (nodes, one, two, part, _), (nodes_at, edges_at, _) = found
+        reached, mass, held = state
+        self.slot[reached] = np.arange(len(reached))
+        at = self.slot[nodes]
+        self.slot[reached] = -1
+        value, mass = (np.where(at >= 0, x[at], 0.0) if len(x) else np.zeros(len(nodes)) for x in (held, mass))
+        value = value[: len(home)]
+        for i in range(steps - 1, -1, -1):
+            e, n = edges_at[min(i, len(edges_at) - 1)], nodes_at[min(i, len(nodes_at) - 1)]
+            mass = np.bincount(one[:e], weights=mass[two[:e]] * part[:e], minlength=n).astype(np.float64)
+            value += back[i] * mass[: len(home)]
+        out[hub < 0] = value
+        return out
+
+    def passed(self, walk, asked):
+        """What hubs pass on to the nodes ``asked`` in the walks ``walk``, all rounds; 0 at hubs, whose masses are whole."""
+        out, rows = np.zeros(len(asked)), self.moves.row[asked]
+        for columns in self._columns():
+            own = range(*columns.indices(len(self.hubs)))
+            if not len(own):
+                continue
+            x = np.zeros((len(self.place), len(own)))
+            for c, h in enumerate(own):
+                x[self.moves.row[self.given[h][0]], c] = self.given[h][1]
+            for i, y in enumerate(self.moves.rounds(x, self.total - 1)):
+                for s in range(0, len(asked), 100_000):
+                    at = slice(s, s + 100_000)
+                    out[at] += (y[rows[at]] * self.mass[self.total - 1 - i][walk[at], columns]).sum(axis=1)
+        return np.where(self.place[asked] < 0, out, 0.0)
+
+
 def _largest(x, k: int):
     """Per column of ``x`` the rows that may be among its ``k`` largest positive values, rounded to nine decimals."""
     cuts = np.arange(0, len(x), GROUP_ROWS)
@@ -371,7 +545,8 @@ def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int =
     largest score over all types), which is what an expansion needs. With ``digits``, scores are rounded (half up).
 
     Up to ``local_edges`` edges of a type (counted first) travel to the tasks once, as integer arrays. There a query
-    walks over the edges in its reach; if these are many, it walks over the whole type, a block of queries at once.
+    walks over the edges in its reach; if these are many, it walks over the whole type, a block of queries at once, or, with ``others``
+    and without a ``tolerance``, by its hubs (:class:`_Hubs`).
     All rounds are made over all edges in both ways. A graph with a larger type is walked by :func:`pagerank_loop`.
     """
     adj = adj.filter("p > 0")
@@ -421,16 +596,52 @@ def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int =
             columns = [pa.repeat(qid, len(mass)), pa.repeat(pa.scalar(etype, pa.int32()), len(mass)), node, pa.array(mass)]
             return pa.RecordBatch.from_arrays(columns, names=["qid", "etype", "node_id", "score"])
 
+        def alone_rows(q, etype, here, back):
+            """Seeds that no edge of the type touches."""
+            if not here.all():
+                score = v[cuts[q] : cuts[q + 1]][~here] * back
+                yield rows(asked.dictionary[q], etype, ids.slice(cuts[q], len(here)).filter(pa.array(~here)).filter(pa.array(score > 0)), score[score > 0])
+
+        def seeds_in(q, own):
+            mine, restart = code[cuts[q] : cuts[q + 1]], v[cuts[q] : cuts[q + 1]]
+            at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+            here = own[at] == mine
+            return at, here, restart, float(restart[~here].sum())
+
+        by_hubs, walk_of, waiting = {}, {}, []
+        if others is not None and tolerance is None and len(asked.dictionary) > FEW_QUERIES:
+            for etype, (own, starts, dst, w) in graphs.items():
+                given = {q: (at[here], restart[here], alone) for q in range(len(asked.dictionary)) for at, here, restart, alone in [seeds_in(q, own)] if here.any()}
+                tried = [_walk_near(starts, dst, w, slots[etype], *x, alpha, rounds, tolerance, int(len(dst) * NEAR_SHARE)) for x in list(given.values())[:8]]
+                if 2 * sum(x is None for x in tried) > len(tried) and len(given) > FEW_QUERIES:
+                    by_hubs[etype] = _Hubs(starts, dst, w, slots[etype], *zip(*given.values()), alpha, rounds)
+                    walk_of[etype] = {q: j for j, q in enumerate(given)}
+
         for low in range(0, len(asked.dictionary), block):
             queries = range(low, min(low + block, len(asked.dictionary)))
             found: dict = {q: {} for q in queries}
+            # What a walk by hubs needs for its second half; queries that share a matrix instead.
+            halves: dict = {}
+
+            def wide_walks(etype, wide):
+                own, starts, dst, w = graphs[etype]
+                if etype not in layouts:
+                    layouts[etype] = _Wide(starts, dst, w, whole=tolerance is not None)
+                    at_rows[etype] = own[np.argsort(layouts[etype].row)]
+                x, back = layouts[etype].walk([at[here] for _, at, here, _, _ in wide], [r[here] for _, _, here, r, _ in wide], np.array([a for *_, a in wide]), alpha, rounds, tolerance)
+                best = list(_largest(x, others + max(len(here) for _, _, here, _, _ in wide))) if others is not None else [None] * len(wide)
+                for j, (q, _, here, _, _) in enumerate(wide):
+                    found[q][etype] = (at_rows[etype], x[:, j], best[j], here, back[j])
+
             for etype, (own, starts, dst, w) in graphs.items():
                 wide = []
                 for q in queries:
-                    mine, restart = code[cuts[q] : cuts[q + 1]], v[cuts[q] : cuts[q + 1]]
-                    at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                    here = own[at] == mine
-                    alone = float(restart[~here].sum())
+                    at, here, restart, alone = seeds_in(q, own)
+                    walks = by_hubs.get(etype)
+                    if walks is not None and here.any() and (half := walks.pool(walk_of[etype][q], others)) is not None:
+                        halves[q, etype] = half[1]
+                        found[q][etype] = (own[half[0]], None, None, here, walks.back[rounds, walk_of[etype][q]])
+                        continue
                     most = int(len(dst) * NEAR_SHARE) // (16 if met[etype][0] >= 8 and not met[etype][1] else 1)
                     near = _walk_near(starts, dst, w, slots[etype], at[here], restart[here], alone, alpha, rounds, tolerance, most)
                     met[etype][near is not None] += 1
@@ -441,42 +652,63 @@ def pagerank(adj: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int =
                     by = np.argsort(place)
                     found[q][etype] = (own[place[by]], mass[by], None, here, back)
                 if wide:
-                    if etype not in layouts:
-                        layouts[etype] = _Wide(starts, dst, w, whole=tolerance is not None)
-                        at_rows[etype] = own[np.argsort(layouts[etype].row)]
-                    at_row = at_rows[etype]
-                    x, back = layouts[etype].walk([at[here] for _, at, here, _, _ in wide], [r[here] for _, _, here, r, _ in wide], np.array([a for *_, a in wide]), alpha, rounds, tolerance)
-                    best = list(_largest(x, others + max(len(here) for _, _, here, _, _ in wide))) if others is not None else [None] * len(wide)
-                    for j, (q, _, here, _, _) in enumerate(wide):
-                        found[q][etype] = (at_row, x[:, j], best[j], here, back[j])
+                    wide_walks(etype, wide)
             for q in queries:
-                qid, mine, restart = asked.dictionary[q], code[cuts[q] : cuts[q + 1]], v[cuts[q] : cuts[q + 1]]
-                own_ids = ids.slice(cuts[q], len(mine))
-                if others is not None:
-                    # Whoever is among the best over all types is so over the type of the largest score.
-                    pool = []
-                    for codes, mass, best, *_ in found[q].values():
-                        best = np.flatnonzero(mass > 0) if best is None else best
-                        best = best[~np.isin(codes[best], mine)]
-                        pool.append(codes[best[np.lexsort((codes[best], -np.round(mass[best], 9)))[:others]]])
-                    pool = np.unique(np.concatenate(pool))
-                    values = {e: _values(x, pool, graphs[e][0], layouts.get(e)) for e, x in found[q].items()}
-                    top = np.round(np.max(list(values.values()), axis=0), 9)
-                    kept = np.sort(np.lexsort((pool, -top))[:others])
-                for etype, (codes, mass, best, here, back) in found[q].items():
-                    if others is None:
+                qid, mine = asked.dictionary[q], code[cuts[q] : cuts[q + 1]]
+                if others is None:
+                    for etype, (codes, mass, _, here, back) in found[q].items():
                         there = np.flatnonzero(mass > 0)
                         yield rows(qid, etype, names.take(pa.array(codes[there])), mass[there])
-                    else:
-                        score = np.concatenate([values[etype][kept], _values(found[q][etype], mine[here], graphs[etype][0], layouts.get(etype))])
-                        there = np.flatnonzero(score > 0)
-                        yield rows(qid, etype, names.take(pa.array(np.concatenate([pool[kept], mine[here]])[there])), score[there])
-                    if not here.all():
-                        # Seeds that no edge of the type touches.
-                        score = restart[~here] * back
-                        yield rows(qid, etype, own_ids.filter(pa.array(~here)).filter(pa.array(score > 0)), score[score > 0])
-
-    width = max(4 * spark.sparkContext.defaultParallelism, pieces(seeds.count(), SEEDS_AT_ONCE))
+                        yield from alone_rows(q, etype, here, back)
+                    continue
+                # Whoever is among the best over all types is so over the type of the largest score.
+                pool = []
+                for codes, mass, best, *_ in found[q].values():
+                    if mass is None:
+                        pool.append(codes)
+                        continue
+                    best = np.flatnonzero(mass > 0) if best is None else best
+                    best = best[~np.isin(codes[best], mine)]
+                    pool.append(codes[best[np.lexsort((codes[best], -np.round(mass[best], 9)))[:others]]])
+                pool = np.setdiff1d(np.concatenate(pool), mine)
+                values, by_hub = {}, {}
+                for etype in list(found[q]):
+                    own, here = graphs[etype][0], found[q][etype][3]
+                    both = np.concatenate([pool, mine[here]])
+                    if (q, etype) in halves:
+                        at = np.minimum(np.searchsorted(own, both), len(own) - 1)
+                        inside, j = np.flatnonzero(own[at] == both), walk_of[etype][q]
+                        if (value := by_hubs[etype].values(j, halves[q, etype], at[inside])) is not None:
+                            values[etype] = np.zeros(len(both))
+                            values[etype][inside] = value
+                            by_hub[etype] = (j, inside, at[inside])
+                            continue
+                        at, here, given_back, alone = seeds_in(q, own)
+                        wide_walks(etype, [(q, at, here, given_back, alone)])
+                    values[etype] = _values(found[q][etype], both, own, layouts.get(etype))
+                waiting.append((q, pool, values, by_hub, {e: x[3:] for e, x in found[q].items()}))
+            if by_hubs and low + block < len(asked.dictionary):
+                continue
+            for etype, walks in by_hubs.items():
+                own = [(values[etype], *by_hub[etype]) for _, _, values, by_hub, _ in waiting if etype in by_hub]
+                if own:
+                    more = walks.passed(np.repeat([j for _, j, _, _ in own], [len(x[2]) for x in own]), np.concatenate([x[3] for x in own]))
+                    for (value, _, inside, _), part in zip(own, np.split(more, np.cumsum([len(x[2]) for x in own])[:-1])):
+                        value[inside] += part
+            for q, pool, values, _, ends in waiting:
+                qid, mine = asked.dictionary[q], code[cuts[q] : cuts[q + 1]]
+                top = np.round(np.max([x[: len(pool)] for x in values.values()], axis=0), 9)
+                kept = np.sort(np.lexsort((pool, -top))[:others])
+                for etype, (here, back) in ends.items():
+                    score = np.concatenate([values[etype][kept], values[etype][len(pool) :]])
+                    there = np.flatnonzero(score > 0)
+                    yield rows(qid, etype, names.take(pa.array(np.concatenate([pool[kept], mine[here]])[there])), score[there])
+                    yield from alone_rows(q, etype, here, back)
+            waiting.clear()
+
+    # Hubs are prepared once in each task, so these are no more than there are cores.
+    shared_work = others is not None and tolerance is None
+    width = max((1 if shared_work else 4) * spark.sparkContext.defaultParallelism, pieces(seeds.count(), (5 if shared_work else 1) * SEEDS_AT_ONCE))
     return _restart(seeds).join(nodes, "node_id", "left").repartition(width, "qid").select("qid", "node_id", "v", "code").mapInArrow(run, f"qid {key}, etype int, node_id {kind}, score double")
 
 

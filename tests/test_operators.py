@@ -504,6 +504,50 @@ def test_walks_move_masses_in_the_core_only(monkeypatch):
                 assert np.abs(x[wide.row, j] - mass).max() < 1e-14 and abs(back[j] - alone) < 1e-14
 
 
+@pytest.mark.parametrize("both, hubs", [(True, 3), (False, 3), (True, 0)])
+def test_far_walks_by_hubs_need_no_matrix_of_all_nodes(spark, monkeypatch, both, hubs):
+    monkeypatch.setattr(graph, "NEAR_SHARE", -1.0)
+    for name, value in (("HUB_EDGES", 6), ("ROWS_AT_ONCE", 7), ("FEW_QUERIES", 0), ("HUBS", hubs), ("HUB_REACH", 12), ("HUB_SHARE", 1.0), ("BLOCK_BYTES", 16_000)):
+        monkeypatch.setattr(graph, name, value)
+    rng = random.Random(5)
+    pairs = {(rng.randrange(500), rng.randrange(3) if rng.random() < 0.25 else rng.randrange(500)) for _ in range(500)}
+    edges = {(0, *p) for p in pairs} | {(0, *p[::-1]) for p in pairs if both or p[1] < 3 and rng.random() < 0.8} | {(1, a, b) for a, b in pairs if a % 3}
+    weight = {e: rng.choice([1.0, 1.0, 2.0]) for e in edges}
+    total, out = {}, {}
+    for (t, s, d), w in weight.items():
+        total[t, s] = total.get((t, s), 0.0) + w
+        out.setdefault((t, s), []).append((d, w))
+    adj = spark.createDataFrame([(t, f"n{s:03}", f"n{d:03}", w / total[t, s]) for (t, s, d), w in weight.items()], "etype int, src string, dst string, p double")
+    # Seeds beside the graph, hubs as seeds, and seeds that share a reach.
+    seeds = {q: {rng.choice([rng.randrange(500), rng.randrange(3), 900 + q]) if i else 40 + q: 1 / (60 + i) for i in range(12)} for q in range(12)}
+    asked = spark.createDataFrame([(q, f"n{n:03}", s) for q, ns in seeds.items() for n, s in ns.items()], "qid long, node_id string, score double")
+    want = {}
+    for q, ns in seeds.items():
+        v = {n: s / sum(ns.values()) for n, s in ns.items()}
+        for t in (0, 1):
+            mass = dict(v)
+            for _ in range(20):
+                new = {n: 0.5 * s for n, s in v.items()}
+                for n, m in mass.items():
+                    for d, w in out.get((t, n), []):
+                        new[d] = new.get(d, 0.0) + 0.5 * m * w / total[t, n]
+                    if (t, n) not in out:
+                        for d, s in v.items():
+                            new[d] += 0.5 * m * s
+                mass = new
+            want |= {(q, t, f"n{n:03}"): m for n, m in mass.items()}
+    monkeypatch.setattr(graph, "_Wide", None)
+    got = {(r["qid"], r["etype"], r["node_id"]): r["score"] for r in graph.pagerank(adj, asked, tolerance=None, others=6).collect()}
+    for q, ns in seeds.items():
+        most = {}
+        for (k, _, n), m in want.items():
+            if k == q and int(n[1:]) not in ns:
+                most[n] = max(most.get(n, 0.0), m)
+        kept = {*sorted(most, key=lambda n: (-round(most[n], 9), n))[:6], *(f"n{n:03}" for n in ns)}
+        assert {k for k in got if k[0] == q} == {k for k in want if k[0] == q and k[2] in kept}
+    assert all(abs(got[k] - want[k]) < 1e-13 for k in got)
+
+
 def test_frequent_terms_are_added_by_a_product(spark, monkeypatch):
     index = spark.createDataFrame([(f"t{t}", d, float(1 + (t * d) % 3), 8 + d % 5) for d in range(200) for t in {d % 7, d % 31, 40}], "term string, node_id long, tf double, doc_len int")
     terms = spark.createDataFrame([(f"q{i}", f"t{t}", 1.0 + i % 3) for i in range(30) for t in {i % 7, i, 40}], "qid string, term string, weight double")
